@@ -1,3 +1,3 @@
 """Registered queries by topic; importing this package registers them all."""
 
-from turnout.checked import counts  # noqa: F401
+from turnout.checked import cleaning, counts, journey, rows, studio  # noqa: F401
