@@ -1,3 +1,11 @@
 """Registered queries by topic; importing this package registers them all."""
 
-from turnout.checked import cleaning, counts, journey, rows, studio  # noqa: F401
+from turnout.checked import (  # noqa: F401
+    cleaning,
+    counts,
+    etl,
+    journey,
+    rows,
+    storage,
+    studio,
+)

@@ -13,7 +13,7 @@ from turnout.plans.registry import query
 @query("explode_tags", """
 SELECT id, row_id, unnest(string_split(tags, ',')) AS programme FROM contacts""")
 def _(t):
-    return cleaning.explode_tags(t.derived("contacts").select("id", "row_id", "tags"))
+    return cleaning.explode_tags(t.extract("contacts").select("id", "row_id", "tags"))
 
 
 @query("split_multi_answer", """
@@ -22,7 +22,7 @@ SELECT timestamp, id, comment, purpose,
 FROM (SELECT timestamp, id, comment, equipment, unnest(string_split(purpose, ', ')) AS purpose
       FROM maker_sign_ins) x""")
 def _(t):
-    return cleaning.split_multi_answer(t.derived("maker_sign_ins"), "purpose", "equipment")
+    return cleaning.split_multi_answer(t.extract("maker_sign_ins"), "purpose", "equipment")
 
 
 @query("split_year_prefix", """
@@ -44,7 +44,7 @@ def _(t):
     return cleaning.rename_faculty(t.people_sheets.select("id", "updated", "faculty"))
 
 
-@query("merge_faculties", """
+@query("faculty_2025_rename", """
 SELECT id, year, CASE WHEN year >= 1999 AND faculty IN ('AUTOMOBILE','MACHINERY') THEN 'MACHINES'
                       WHEN year >= 1999 AND faculty = 'FURNITURE' THEN 'HOUSEHOLD'
                       ELSE faculty END AS faculty FROM participation""")
@@ -80,7 +80,7 @@ def _(t):
 SELECT id, tags AS programme, CASE WHEN id LIKE '%EXTERNAL%' THEN 'EXTERNAL' ELSE row_id END
        AS row_id FROM contacts""")
 def _(t):
-    rows = t.derived("contacts").select("id", F.col("tags").alias("programme"), "row_id")
+    rows = t.extract("contacts").select("id", F.col("tags").alias("programme"), "row_id")
     return cleaning.fill_external(rows)
 
 
@@ -104,13 +104,13 @@ def _(t):
 @query("tag_serial_date", """
 SELECT tags, DATE '1904-01-01' + (TRY_CAST(date AS INT) + 5) AS date FROM tag_list""")
 def _(t):
-    return t.derived("tag_list").select("tags", cleaning.tag_serial_date("date").alias("date"))
+    return t.extract("tag_list").select("tags", cleaning.tag_serial_date("date").alias("date"))
 
 
 @query("training_serial_date", """
 SELECT id, tag_1, DATE '1900-01-01' + (TRY_CAST(date AS INT) - 2) AS date FROM training_sheets""")
 def _(t):
-    return t.derived("training_sheets").select(
+    return t.extract("training_sheets").select(
         "id", "tag_1", cleaning.training_serial_date("date").alias("date")
     )
 
@@ -165,7 +165,7 @@ def _(t):
     return cleaning.fill_zero(sums, "large_orders")
 
 
-@query("name_prefix", """
+@query("escape_regex", """
 SELECT p_partkey, p_name FROM part WHERE left(p_name, 5) = 'blue '""")
 def _(t):
     # a literal prefix needs no pattern, hence no escaping
@@ -179,7 +179,7 @@ FROM (SELECT DISTINCT coalesce(id, 'NA') AS id FROM
       (SELECT id FROM participation UNION ALL SELECT id FROM training_sheets
        UNION ALL SELECT id FROM studio) x) d""")
 def _(t):
-    ids = t.participation.select("id").unionByName(t.derived("training_sheets").select("id"))
+    ids = t.participation.select("id").unionByName(t.extract("training_sheets").select("id"))
     return surrogate_ids(ids.unionByName(t.studio.select("id")))
 
 
@@ -187,7 +187,7 @@ def _(t):
 SELECT CAST(dense_rank() OVER (ORDER BY coalesce(id, 'NA')) AS BIGINT) AS id, date, tag_1
 FROM training_sheets""")
 def _(t):
-    rows = t.derived("training_sheets").select("id", "date", "tag_1")
+    rows = t.extract("training_sheets").select("id", "date", "tag_1")
     return with_surrogate_id(rows, surrogate_ids(rows.select("id")))
 
 
@@ -232,7 +232,7 @@ WITH c AS (SELECT DISTINCT id, tags, row_id FROM contacts)
 SELECT id, tags, row_id FROM c
 WHERE length(tags) = (SELECT max(length(d.tags)) FROM c d WHERE d.id = c.id)""")
 def _(t):
-    return etl.longest_tags_per_id(t.derived("contacts").select("id", "tags", "row_id"))
+    return etl.longest_tags_per_id(t.extract("contacts").select("id", "tags", "row_id"))
 
 
 @query("only_rows_by_null_mask", """

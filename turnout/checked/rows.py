@@ -47,21 +47,21 @@ def _(t):
 @query("starts_with_year", """
 SELECT tags, final_tags FROM tag_list WHERE regexp_matches(tags, '^[0-9]{4}')""")
 def _(t):
-    return filters.keep_year_labelled(t.derived("tag_list"), "tags").select("tags", "final_tags")
+    return filters.keep_year_labelled(t.extract("tag_list"), "tags").select("tags", "final_tags")
 
 
 @query("split_external", """
 SELECT tags, id FROM contacts WHERE id LIKE '%EXTERNAL%'
 UNION ALL SELECT DISTINCT tags, id FROM contacts WHERE id NOT LIKE '%EXTERNAL%'""")
 def _(t):
-    return filters.split_external(t.derived("contacts").select("tags", "id"))
+    return filters.split_external(t.extract("contacts").select("tags", "id"))
 
 
 @query("drop_text_na", """
 SELECT date, id, tag, tag_1 FROM training_sheets
 WHERE date <> 'NA' AND id <> 'NA' AND tag <> 'NA' AND tag_1 <> 'NA'""")
 def _(t):
-    rows = t.derived("training_sheets").select("date", "id", "tag", "tag_1")
+    rows = t.extract("training_sheets").select("date", "id", "tag", "tag_1")
     return filters.drop_text_na(rows, "date", "id", "tag", "tag_1")
 
 
@@ -84,7 +84,7 @@ def _(t):
 
 @query("rename_extract", "SELECT id, tags, row_id FROM contacts")
 def _(t):
-    extract = t.derived("contacts").select(
+    extract = t.extract("contacts").select(
         F.col("row_id").alias("ID"), F.col("id").alias("UoA ID"), F.col("tags").alias("Tags"),
         F.col("export").alias("Not needed"),
     )

@@ -7,7 +7,7 @@ Few functions differ in name; those are the entries of ``DIALECTS``.
 from __future__ import annotations
 
 import hashlib
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,22 +215,33 @@ def check_ctes() -> dict[str, str]:
     return {name: text.format(**plain) for name, text in Texts("duckdb").all().items()}
 
 
-_published: set[str] = set()
+# what this process already wrote and read, by application, folder and table
+_frames: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class StandIn:
     """Tables of one data folder.
 
-    The four published tables are written once per application, in the shared folder, and read
-    from there, as the dashboards read what the upload side published.
+    Published tables and landed extracts are written once per application, in the shared
+    folder, and read from there: dashboards read what the upload side published, and the
+    upload side reads extracts that have landed as files.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        digest = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
+        self._root = own_path(spark, f"tables-{digest}")
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _frames:
+            _frames[key] = make()
+        return _frames[key]
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return self._once(f"source {name}", lambda: self.spark.read.parquet(path))
 
     def _sql(self, text: str, **more: DataFrame) -> DataFrame:
         named = {n: self.source(n) for n in SOURCES if "{" + n + "}" in text}
@@ -240,33 +251,43 @@ class StandIn:
         """A stand-in straight from the provided tables."""
         return self._sql(Texts("spark").all()[name])
 
-    @cached_property
-    def _root(self) -> str:
-        return own_path(self.spark, f"published-{hashlib.sha256(self.folder.encode()).hexdigest()[:12]}")
+    def _write_landed(self, name: str) -> DataFrame:
+        path = f"{self._root}/landed/{name}"
+        rows = self.derived(name)
+        write_table(rows, path, "parquet", *(["sheet"] if "sheet" in rows.columns else []))
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-    def publish(self) -> None:
-        """Write the published tables, unless this application already did."""
-        if self._root in _published:
-            return
-        # sized by Spark per year: large years are split over files, small ones merged
-        participation = self.derived("participation").hint("rebalance", "year")
-        write_table(participation, f"{self._root}/participation", "parquet", "year")
-        programmes = self._read("participation").select(
-            F.col("year").alias("y"), F.col("programme").alias("prog")
-        ).distinct()
-        selection = self._sql(TAG_SELECTION, year_programmes=programmes)
-        write_table(selection.coalesce(1), f"{self._root}/tag_selection")
-        for name in ("studio", "training"):
-            write_table(self.derived(name).distinct(), f"{self._root}/{name}")
-        _published.add(self._root)
-
-    def _read(self, name: str) -> DataFrame:
+    def extract(self, name: str) -> DataFrame:
+        """A landed extract; those with several sheets keep each in a folder of its own."""
+        return self._once(f"landed {name}", lambda: self._write_landed(name))
+
+    def _write_published(self, name: str) -> DataFrame:
         path = f"{self._root}/{name}"
+        if name == "participation":
+            # sized by Spark per year: large years are split over files, small ones merged
+            write_table(self.derived(name).hint("rebalance", "year"), path, "parquet", "year")
+        elif name == "tag_selection":
+            programmes = self.participation.select(
+                F.col("year").alias("y"), F.col("programme").alias("prog")
+            ).distinct()
+            selection = self._sql(TAG_SELECTION, year_programmes=programmes)
+            write_table(selection.coalesce(1), path)
+        else:
+            write_table(self.derived(name).distinct(), path)
         return scan_published(self.spark, name, path, columns=COLUMNS[name], distinct=True)
 
     def _table(self, name: str) -> DataFrame:
-        self.publish()
-        return self._read(name)
+        return self._once(f"published {name}", lambda: self._write_published(name))
+
+    def publish(self) -> None:
+        """Write all published tables, unless this application already did."""
+        for name in COLUMNS:
+            self._table(name)
+
+    def land(self) -> None:
+        """Write all landed extracts, unless this application already did."""
+        for name in EXTRACTS:
+            self.extract(name)
 
     @property
     def participation(self) -> DataFrame:
@@ -295,7 +316,7 @@ class StandIn:
 
     @property
     def people_sheets(self) -> DataFrame:
-        return self.derived("people_sheets")
+        return self.extract("people_sheets")
 
     def landed(self) -> Landed:
         people = self.people_sheets
@@ -314,14 +335,16 @@ class StandIn:
             no_citizenship=workbooks_with_sheet(people, "No citizenship")
             .withColumn("display_name", F.col("birthdate"))
             .select("updated", *citizen),
-            contacts=[self.derived("contacts")],
-            maker_sign_ins=self.derived("maker_sign_ins"),
-            hub_sign_ins=self.derived("hub_sign_ins"),
-            tag_list=self.derived("tag_list"),
-            training=[self.derived("training_sheets")],
+            contacts=[self.extract("contacts")],
+            maker_sign_ins=self.extract("maker_sign_ins"),
+            hub_sign_ins=self.extract("hub_sign_ins"),
+            tag_list=self.extract("tag_list"),
+            training=[self.extract("training_sheets")],
         )
 
 
+EXTRACTS = ("people_sheets", "contacts", "maker_sign_ins", "hub_sign_ins", "tag_list",
+            "training_sheets")
 CITIZEN_SHEET = ["id", "birthdate", "sex", "age", "ethnicity", "residency", "degree"]
 COLUMNS = {
     "participation": [

@@ -25,6 +25,7 @@ LOG_SCHEMA = (
     "name string, action string, version string, fingerprint string, stored_at timestamp_ntz, "
     "sequence long"
 )
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 KEEP_VARIABLE = "TURNOUT_KEEP_VERSIONS"
 
 
@@ -34,7 +35,7 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", *partition_by:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if form == "csv":
-        writer.options(**CSV_OPTIONS).csv(path)
+        writer.options(**{**CSV_OPTIONS, "timestampNTZFormat": CSV_TIME}).csv(path)
     else:
         writer.parquet(path)
 
@@ -89,10 +90,12 @@ def exact_duplicates(files: DataFrame, content: str = "content", folder: str = "
 
 
 def unseen_versions(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Candidates whose name has no stored version with the same fingerprint, once each."""
-    new = candidates.join(catalog.select("name", "fingerprint"), ["name", "fingerprint"],
-                          "left_anti")
-    return new.groupBy("name", "fingerprint").agg(F.min("version").alias("version"))
+    """Candidates whose name has no stored version with the same fingerprint, once each.
+
+    Equal candidates are merged first, so many copies of one content meet the catalog once.
+    """
+    once = candidates.groupBy("name", "fingerprint").agg(F.min("version").alias("version"))
+    return all_but(once, catalog, ["name", "fingerprint"])
 
 
 @dataclass(frozen=True)

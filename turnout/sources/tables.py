@@ -14,7 +14,12 @@ from turnout.functions.nulls import MISSING_TEXT
 from turnout.operators.reshape import stack
 from turnout.schemas import PUBLISHED
 
-CSV_OPTIONS = {"header": True, "nullValue": MISSING_TEXT, "emptyValue": MISSING_TEXT}
+CSV_OPTIONS = {
+    "header": True,
+    "nullValue": MISSING_TEXT,
+    "emptyValue": MISSING_TEXT,
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]['Z']",
+}
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None) -> DataFrame:
