@@ -3,6 +3,7 @@
 from turnout.checked import (  # noqa: F401
     cleaning,
     counts,
+    dashboards,
     etl,
     journey,
     rows,

@@ -261,22 +261,3 @@ FROM (SELECT programme, degree, count(*) AS n FROM participation GROUP BY ALL) x
 def _(t):
     rows = t.participation.groupBy("programme", "degree").agg(F.count("*").alias("count"))
     return counts.with_range(rows, "programme")
-
-
-for _tab in ("velocity", "unleash", "createmaker"):
-
-    @query(f"{_tab}_unique", f"""
-SELECT year, programme, count(DISTINCT id) AS count FROM participation
-WHERE {SLICE.format(_tab)} GROUP BY year, programme""")
-    def _(t, tab=_tab):
-        return counts.unique_by_programme_year(t.slice(tab))
-
-
-@query("curricula_unique", """
-WITH k AS (SELECT tag_programme, max(curricula) AS c, max(co_curricula) AS o FROM tag_selection
-           GROUP BY tag_programme)
-SELECT year, CASE WHEN c = 'Y' THEN 'Curricula' ELSE 'Co-curricula' END AS programme,
-       count(DISTINCT id) AS count
-FROM participation JOIN k ON programme = tag_programme WHERE c = 'Y' OR o = 'Y' GROUP BY ALL""")
-def _(t):
-    return counts.unique_by_programme_year(t.slice("curricula"))

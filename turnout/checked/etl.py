@@ -199,16 +199,21 @@ def _(t):
 WITH {BUILD} SELECT e.* EXCLUDE (id), n.number AS id, CAST(NULL AS STRING) AS month
 FROM enriched e JOIN numbers n ON n.id = e.id""")
 def _(t):
-    return etl.build_published(t.landed())["participation"]
+    return t.built("participation")
 
 
 @query("build_published_studio", f"""
 WITH {BUILD} SELECT s.* EXCLUDE (id), n.number AS id FROM sign_ins s JOIN numbers n ON n.id = s.id""")
 def _(t):
-    return etl.build_published(t.landed())["studio"]
+    return t.built("studio")
 
 
 @query("build_published_training", f"""
 WITH {BUILD} SELECT r.* EXCLUDE (id), n.number AS id FROM trained r JOIN numbers n ON n.id = r.id""")
 def _(t):
-    return etl.build_published(t.landed())["training"]
+    return t.built("training")
+
+
+@query("build_published_tags", f"WITH {SELECTION} SELECT * FROM chosen_tags")
+def _(t):
+    return t.built("tag_selection")

@@ -17,12 +17,17 @@ def enrich_participation(programmes: DataFrame, people: DataFrame) -> DataFrame:
     Many people rows may match one pair, null ids match each other, and pairs without a match
     stay. Both sides are made distinct before the join, which leaves nothing to remove after
     it and shrinks a shared id such as ``EXTERNAL`` to one row per programme beforehand.
+
+    Matched and unmatched pairs are taken apart: adaptive execution can split a hot id on
+    either side of an inner join, but only on the left of an outer one.
     """
     pairs = split_year_prefix(
         programmes.filter(starts_with_year("programme")).select("id", "programme")
     ).distinct()
     facts = people.drop("nsn").distinct()
-    return fill_external(join_null_safe(pairs, facts, ["id"], "left"))
+    matched = join_null_safe(pairs, facts, ["id"])
+    unmatched = join_null_safe(pairs, people.select("id").distinct(), ["id"], "left_anti")
+    return fill_external(matched.unionByName(unmatched, allowMissingColumns=True))
 
 
 def with_tag(rows: DataFrame, tags: DataFrame, c: str = "programme") -> DataFrame:

@@ -29,7 +29,12 @@ def journey_people(data: DataFrame, years, programmes, anchor: str) -> tuple[Dat
         .filter(F.col("programme").isin(list(programmes)))
         .distinct()
     )
-    return labelled, labelled.filter(F.col("programme") == anchor).select("id").distinct()
+    # one programme of one year: the two plain conditions reach the scan
+    year, _, name = anchor.partition(" ")
+    if anchor not in programmes or not year.isdigit():
+        return labelled, labelled.filter(F.lit(False)).select("id")
+    at_anchor = in_years.filter((F.col("year") == int(year)) & (F.col("programme") == name))
+    return labelled, at_anchor.select("id").distinct()
 
 
 def cut_at_anchor(events: DataFrame, selection: DataFrame, anchor: str, after: bool) -> DataFrame:

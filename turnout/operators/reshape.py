@@ -47,7 +47,10 @@ def densify(counts: DataFrame, keys, value: str, fill: int | None = None) -> Dat
     gives the filled result; grouping treats null as a value of its own.
     """
     kind = counts.schema[value].dataType
-    empty = value_grid(counts, keys).withColumn(value, F.lit(fill).cast(kind))
+    # naming the value keeps the grid on the counted rows, whose shuffle is then reused;
+    # without it the optimizer would drop the counting and scan the input again
+    counted = counts.filter(F.col(value) >= 0)
+    empty = value_grid(counted, keys).withColumn(value, F.lit(fill).cast(kind))
     dense = counts.select(*keys, value).unionByName(empty.select(*keys, value))
     return dense.groupBy(*keys).agg(F.sum(value).alias(value))
 

@@ -55,21 +55,21 @@ def first_by_keys(rows: DataFrame, ignored: str, order: Sequence[str]) -> DataFr
 def load_students(students: DataFrame, parity: bool = False) -> DataFrame:
     """Student sheets of all workbooks, cleaned.
 
-    Birth dates are not kept and rows differing only there count once, so the column goes
-    first. Faculties are renamed in every workbook and residencies always normalised; with
-    ``parity`` only the first workbook's faculties are renamed, and residencies only when
-    there are several workbooks.
+    Faculties are renamed in every workbook and residencies always normalised; with ``parity``
+    only the first workbook's faculties are renamed, and residencies only when there are
+    several workbooks. Birth dates are not kept and rows differing only there count once.
+    None of that touches id or admit term, so it comes before the choice of the latest term,
+    which makes rows distinct as its first step.
     """
-    latest = latest_admit_term(students)
     if parity:
         first = students.agg(F.min(WORKBOOK).alias("first")).scalar()
         last = students.agg(F.max(WORKBOOK).alias("last")).scalar()
-        renamed = cleaning.rename_faculty(latest, only_where=F.col(WORKBOOK) == first)
-        normal = cleaning.normalise_residency(renamed, only_where=first != last)
+        named = cleaning.rename_faculty(students, only_where=F.col(WORKBOOK) == first)
+        normal = cleaning.normalise_residency(named, only_where=first != last)
     else:
-        normal = cleaning.normalise_residency(cleaning.rename_faculty(latest))
-    once = normal.drop("birthdate").distinct()
-    return cleaning.normalise_sex(cleaning.mark_alumni(once))
+        normal = cleaning.normalise_residency(cleaning.rename_faculty(students))
+    latest = latest_admit_term(normal.drop("birthdate"))
+    return cleaning.normalise_sex(cleaning.mark_alumni(latest))
 
 
 def load_people(students: DataFrame, applicants: DataFrame, no_affiliation: DataFrame,

@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout import schemas
-from turnout.functions.cleaning import merge_faculties
-from turnout.operators.filters import slice_for_dashboard
-from turnout.operators.joins import classify_curricula
-from turnout.plans.etl import Landed
+from turnout.plans import etl
+from turnout.plans.dashboards import Dashboards
 from turnout.session import own_path
-from turnout.sinks.versions import write_table
+from turnout.sinks.versions import VersionedTables, write_table
 from turnout.sources.tables import scan_published, workbooks_with_sheet
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -284,6 +282,18 @@ class StandIn:
         for name in COLUMNS:
             self._table(name)
 
+    def built(self, name: str) -> DataFrame:
+        """A table of the whole build from the landed extracts, as its current version."""
+        def build() -> DataFrame:
+            target = VersionedTables(self.spark, f"{self._root}/built")
+            etl.publish(self.landed(), target)
+            for table in ("participation", "studio", "training", "tag_selection"):
+                self._once(f"built {table}", lambda: target.read(table))
+            return target.log()
+
+        self._once("build", build)
+        return self._once(f"built {name}", lambda: None)
+
     def land(self) -> None:
         """Write all landed extracts, unless this application already did."""
         for name in EXTRACTS:
@@ -306,19 +316,19 @@ class StandIn:
         """Training with its published column name."""
         return self._table("training").withColumnRenamed("programme", "training")
 
-    def slice(self, dashboard: str) -> DataFrame:
+    @property
+    def dashboards(self) -> Dashboards:
+        return Dashboards(self.participation, self.selection, self.studio, self.training)
+
+    def slice(self, tab: str) -> DataFrame:
         """Participation rows of one dashboard, with merged faculty names."""
-        if dashboard == "curricula":
-            data = classify_curricula(self.participation, self.selection)
-        else:
-            data = slice_for_dashboard(self.participation, self.selection, dashboard)
-        return merge_faculties(data)
+        return self.dashboards.slice(tab)
 
     @property
     def people_sheets(self) -> DataFrame:
         return self.extract("people_sheets")
 
-    def landed(self) -> Landed:
+    def landed(self) -> etl.Landed:
         people = self.people_sheets
 
         def sheet(name: str, columns) -> DataFrame:
@@ -328,7 +338,7 @@ class StandIn:
             "residency", F.col("citizenship")
         )
         citizen = ["display_name" if c == "birthdate" else c for c in CITIZEN_SHEET]
-        return Landed(
+        return etl.Landed(
             students=sheet("Student", schemas.STUDENT_SHEET),
             applicants=sheet("Applicant", schemas.APPLICANT_SHEET),
             no_affiliation=no_affiliation.select("updated", *schemas.NO_AFFILIATION_SHEET),

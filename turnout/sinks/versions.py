@@ -140,6 +140,7 @@ class VersionedTables:
         frame.write.mode("append").parquet(self.log_path)
 
     def _history(self, name: str) -> list:
+        """Log rows of one table, oldest first: a few per publish."""
         return self.log().filter(F.col("name") == name).orderBy("sequence").collect()
 
     def versions(self, name: str) -> DataFrame:
@@ -148,14 +149,18 @@ class VersionedTables:
         pruned = mine.filter("action = 'prune'")
         return all_but(mine.filter("action = 'store'"), pruned, ["name", "version"])
 
+    @staticmethod
+    def _published(history: list) -> list:
+        return [r for r in history if r["action"] == "publish"]
+
     def current_version(self, name: str) -> str | None:
-        published = [r["version"] for r in self._history(name) if r["action"] == "publish"]
-        return published[-1] if published else None
+        published = self._published(self._history(name))
+        return published[-1]["version"] if published else None
 
     def mirror_version(self, name: str) -> str | None:
         """The version that the current one replaced."""
-        published = [r["version"] for r in self._history(name) if r["action"] == "publish"]
-        return published[-2] if len(published) > 1 else None
+        published = self._published(self._history(name))
+        return published[-2]["version"] if len(published) > 1 else None
 
     def version_path(self, name: str, version: str) -> str:
         return f"{self.root}/{name}/version={version}"
@@ -181,7 +186,7 @@ class VersionedTables:
         print_now = fingerprint_text(self.spark.read.schema(df.schema).parquet(path))
 
         history = self._history(name)
-        published = [r for r in history if r["action"] == "publish"]
+        published = self._published(history)
         if published and published[-1]["fingerprint"] == print_now:
             self._delete(path)
             return Published(False, False, published[-1]["version"], [])
@@ -211,14 +216,15 @@ class VersionedTables:
 
     def prune(self, name: str) -> list[str]:
         """Log and delete versions beyond the newest ``keep``; current and mirror stay."""
-        if self.keep < 1:
+        history = self._history(name)
+        if self.keep < 1 or sum(r["action"] == "store" for r in history) <= self.keep:
             return []
-        spared = {self.current_version(name), self.mirror_version(name)}
+        spared = {r["version"] for r in self._published(history)[-2:]}
         stale = stale_versions(self.versions(name), self.keep).collect()
         stale = [r for r in stale if r["version"] not in spared]
         if not stale:
             return []
-        sequence = max(r["sequence"] for r in self._history(name))
+        sequence = max(r["sequence"] for r in history)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         self._append([(name, "prune", r["version"], r["fingerprint"], now, sequence + 1)
                       for r in stale])
