@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from turnout.operators.joins import enrich_participation, replace_tags
+from turnout.operators.reshape import stack
 from turnout.plans import etl
 from turnout.plans.registry import query
 
@@ -189,9 +191,9 @@ def _(t):
         landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship
     )
     visits = etl.load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)[1]
-    programmes = etl.stack(etl.load_programme_tags(*landed.contacts), visits)
+    programmes = stack(etl.load_programme_tags(*landed.contacts), visits)
     selection = etl.load_tag_selection(landed.tag_list)
-    rows = etl.enrich_participation(etl.replace_tags(programmes, selection), people)
+    rows = enrich_participation(replace_tags(programmes, selection), people)
     return rows.select("id", "year", "programme", "updated", "level", "faculty")
 
 

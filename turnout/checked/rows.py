@@ -315,3 +315,13 @@ SELECT programme, count(*) - count(DISTINCT id) AS returns FROM p GROUP BY progr
 def _(t):
     back = counts.return_after_first(counts.distinct_participations(t.participation))
     return back.groupBy("programme").agg(F.count("*").alias("returns"))
+
+
+@query("densify", """
+WITH g AS (SELECT department, year, count(*) AS n FROM participation GROUP BY ALL)
+SELECT d.department, y.year, g.n AS count FROM (SELECT DISTINCT department FROM g) d
+CROSS JOIN (SELECT DISTINCT year FROM g) y
+LEFT JOIN g ON g.department = d.department AND g.year = y.year""")
+def _(t):
+    counted = t.participation.groupBy("department", "year").agg(F.count("*").alias("count"))
+    return reshape.densify(counted, ["department", "year"], "count")

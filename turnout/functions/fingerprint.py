@@ -17,17 +17,35 @@ def row_hash(df: DataFrame, *leading: Column) -> Column:
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row that is equal for frames with the same columns and the same multiset of rows.
 
-    Row count and sums of two differently started row hashes, combined on the map side.
+    Row count, sums of two differently started row hashes, and their exclusive or. Halves of
+    the hashes are summed as plain longs within a task, where they cannot overflow; only the
+    one row per task is added up as decimals.
     """
-    first, second = row_hash(df, F.lit(1)), row_hash(df, F.lit(2))
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in
-                      sorted(df.schema.fields, key=lambda f: f.name))
-    wide = "decimal(38,0)"
-    return df.select(first.alias("_a"), second.alias("_b")).agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(F.col("_a").cast(wide)), F.lit(0)).cast("string").alias("sum_a"),
-        F.coalesce(F.sum(F.col("_b").cast(wide)), F.lit(0)).cast("string").alias("sum_b"),
-        F.coalesce(F.bit_xor("_a"), F.lit(0)).cast("string").alias("xor_a"),
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
+    hashed = df.select(
+        row_hash(df, F.lit(1)).alias("_a"),
+        row_hash(df, F.lit(2)).alias("_b"),
+        F.spark_partition_id().alias("_task"),
+    )
+    halves = {"a": "_a", "b": "_b"}
+    per_task = hashed.groupBy("_task").agg(
+        F.count("*").alias("_rows"),
+        F.bit_xor("_a").alias("_xor"),
+        *[F.sum(F.col(h).bitwiseAND(0xFFFFFFFF)).alias(f"_low_{n}") for n, h in halves.items()],
+        *[F.sum(F.shiftright(h, 32)).alias(f"_high_{n}") for n, h in halves.items()],
+    )
+
+    def total(n: str):
+        wide = "decimal(20,0)"
+        sums = (F.sum(F.col(f"_{part}_{n}").cast(wide)) for part in ("high", "low"))
+        return F.concat_ws(":", *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
+
+    return per_task.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
+        total("a").alias("sum_a"),
+        total("b").alias("sum_b"),
+        F.coalesce(F.bit_xor("_xor"), F.lit(0)).cast("string").alias("xor_a"),
     ).withColumn("columns", F.lit(schema))
 
 

@@ -42,14 +42,18 @@ def surrogate_ids(ids: DataFrame, c: str = "id") -> DataFrame:
     return numbered.select(c, (F.col("_start") + F.col("_position") + 1).alias("number"))
 
 
-def with_surrogate_id(rows: DataFrame, numbers: DataFrame, c: str = "id") -> DataFrame:
-    """Replace ``c`` by its number.
+def with_surrogate_id(rows: DataFrame, numbers: DataFrame, c: str = "id",
+                      into: str | None = None) -> DataFrame:
+    """Add the number of ``c`` as column ``into``, or put it in the place of ``c``.
 
     Rows are many per id; if they are skewed, adaptive execution splits the hot partition, as
     both inputs of the join are plain shuffles.
     """
-    keyed = rows.withColumn(c, F.coalesce(F.col(c), F.lit(MISSING_TEXT)))
-    found = keyed.join(numbers, c)
+    known = numbers.select(F.col(c).alias("_id"), F.col("number").alias("_number"))
+    key = F.coalesce(F.col(c), F.lit(MISSING_TEXT))
+    found = rows.join(known, key == F.col("_id")).drop("_id")
+    if into is not None:
+        return found.withColumnRenamed("_number", into)
     return found.select(
-        *[F.col("number").alias(x) if x == c else F.col(x) for x in rows.columns]
+        *[F.col("_number").alias(x) if x == c else F.col(x) for x in rows.columns]
     )

@@ -11,23 +11,37 @@ from turnout.operators.filters import FLAG
 from turnout.operators.groups import first_in_group, join_null_safe, with_group_stats
 
 
-def enrich_participation(programmes: DataFrame, people: DataFrame) -> DataFrame:
-    """Person data on every (id, programme) pair, with the year split off the programme.
+def programme_pairs(programmes: DataFrame) -> DataFrame:
+    """Distinct (id, year, programme) of year-labelled programmes.
+
+    This shrinks an id that many people share, such as ``EXTERNAL``, to one row per programme.
+    """
+    labelled = programmes.filter(starts_with_year("programme")).select("id", "programme")
+    return split_year_prefix(labelled).distinct()
 
-    Many people rows may match one pair, null ids match each other, and pairs without a match
-    stay. Both sides are made distinct before the join, which leaves nothing to remove after
-    it and shrinks a shared id such as ``EXTERNAL`` to one row per programme beforehand.
 
-    Matched and unmatched pairs are taken apart: adaptive execution can split a hot id on
-    either side of an inner join, but only on the left of an outer one.
+def attach_people(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Person data on every pair; many rows may match, null ids match, no match keeps the pair.
+
+    With both sides distinct there is nothing to remove afterwards. Matched and unmatched pairs
+    are taken apart: adaptive execution can split a hot id on either side of an inner join, but
+    only on the left of an outer one.
     """
-    pairs = split_year_prefix(
-        programmes.filter(starts_with_year("programme")).select("id", "programme")
-    ).distinct()
-    facts = people.drop("nsn").distinct()
     matched = join_null_safe(pairs, facts, ["id"])
-    unmatched = join_null_safe(pairs, people.select("id").distinct(), ["id"], "left_anti")
-    return fill_external(matched.unionByName(unmatched, allowMissingColumns=True))
+    unmatched = join_null_safe(pairs, facts.select("id").distinct(), ["id"], "left_anti")
+    return fill_external(
+        matched.unionByName(unmatched, allowMissingColumns=True),
+        keep=("id", "updated", "year", "programme", "number"),
+    )
+
+
+def enrich_participation(programmes: DataFrame, people: DataFrame) -> DataFrame:
+    """Person data on every (id, programme) pair, with the year split off the programme."""
+    return attach_people(programme_pairs(programmes), person_facts(people))
+
+
+def person_facts(people: DataFrame) -> DataFrame:
+    return people.drop("nsn").distinct()
 
 
 def with_tag(rows: DataFrame, tags: DataFrame, c: str = "programme") -> DataFrame:

@@ -23,7 +23,12 @@ from turnout.operators.filters import (
 )
 from turnout.operators.groups import first_in_group, keep_group_max
 from turnout.operators.identity import surrogate_ids, with_surrogate_id
-from turnout.operators.joins import enrich_participation, replace_tags
+from turnout.operators.joins import (
+    attach_people,
+    person_facts,
+    programme_pairs,
+    replace_tags,
+)
 from turnout.operators.reshape import stack
 from turnout.session import written
 from turnout.sinks.versions import Published, VersionedTables, changed_any
@@ -175,30 +180,36 @@ class Landed:
     training: Sequence[DataFrame]
 
 
-def combined_rows(landed: Landed) -> tuple[DataFrame, DataFrame]:
-    """The filled union of participation, training and sign-ins, and the tag selection."""
+def build_published(landed: Landed) -> dict[str, DataFrame]:
+    """All published tables of a run, ids replaced by surrogate numbers.
+
+    Pairs and people are written once, as each is read several times. Numbers are attached
+    to the pairs, before the join with people makes rows many, and the filled union that is
+    told apart by null dates is never stored: each table only evaluates the parts it keeps.
+    """
     selection = load_tag_selection(landed.tag_list)
     sign_ins, visits = load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)
+    training = load_training(*landed.training)
     programmes = stack(load_programme_tags(*landed.contacts), visits)
+    run = uuid.uuid4().hex
+    pairs = written(programme_pairs(replace_tags(programmes, selection)), f"pairs-{run}")
     people = load_people(
         landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship
     )
-    participation = enrich_participation(replace_tags(programmes, selection), people)
-    participation = participation.withColumn("year", F.col("year").cast("string"))
-    rows = stack(participation, load_training(*landed.training), sign_ins, fill=True)
-    return rows, selection
-
-
-def build_published(landed: Landed) -> dict[str, DataFrame]:
-    """All published tables of a run, ids replaced by surrogate numbers.
-
-    The combined rows are written once: ids, and then each of the tables, are read from there.
-    """
-    rows, selection = combined_rows(landed)
-    rows = written(rows, f"combined-{uuid.uuid4().hex}")
-    numbered = with_surrogate_id(rows, surrogate_ids(rows.select("id")))
-    numbered = numbered.withColumn("id", F.col("id").cast("string"))
-    participation, studio, training = split_by_missing(numbered)
+    facts = written(person_facts(people), f"people-{run}")
+    numbers = surrogate_ids(stack(*[part.select("id") for part in (pairs, training, sign_ins)]))
+
+    participation = attach_people(with_surrogate_id(pairs, numbers, into="number"), facts)
+    participation = participation.withColumn("id", F.col("number")).drop("number")
+    rows = stack(
+        participation.withColumn("year", F.col("year").cast("string")),
+        with_surrogate_id(training, numbers),
+        with_surrogate_id(sign_ins, numbers),
+        fill=True,
+    )
+    participation, studio, training = split_by_missing(
+        rows.withColumn("id", F.col("id").cast("string"))
+    )
     return {
         "participation": participation.withColumn("year", F.col("year").cast("int")),
         "studio": studio,
