@@ -41,6 +41,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus if cpus.isdigit() else "8",
         "spark.ui.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "12g"),
     })

@@ -23,22 +23,26 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def with_group_stats(rows: DataFrame, keys, *stats: Column, salts: int = SALTS) -> DataFrame:
-    """Attach aggregates of each row's group to the row.
-
-    The aggregates combine on the map side, so a hot group costs one record per map task. The
-    rows are then joined on the keys and a salt, which spreads a hot group over ``salts``
-    tasks; both join inputs are plain shuffles, so adaptive execution can split further, and
-    it broadcasts the aggregates when they turn out small. No window gathers a group.
+def join_spread(rows: DataFrame, groups: DataFrame, keys, how: str = "inner",
+                salts: int = SALTS) -> DataFrame:
+    """Null-safe join of many rows per key with one row per key.
 
-    Rows should be distinct: equal rows share a salt.
+    The join is on the keys and a salt, which spreads a hot key over ``salts`` tasks. Both
+    inputs are then plain shuffles, so adaptive execution can split further, and it broadcasts
+    the groups when they turn out small. Equal rows share a salt, so rows should be distinct.
     """
-    keys = list(keys)
-    groups = rows.groupBy(*keys).agg(*stats).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return join_null_safe(salted, groups, [*keys, "_salt"]).drop("_salt")
+    return join_null_safe(salted, groups, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_group_stats(rows: DataFrame, keys, *stats: Column, salts: int = SALTS) -> DataFrame:
+    """Attach aggregates of each row's group to the row. Rows should be distinct.
+
+    The aggregates combine on the map side, so a hot group costs one record per map task, and
+    the join back spreads it. No window gathers a group.
+    """
+    return join_spread(rows, rows.groupBy(*keys).agg(*stats), list(keys), salts=salts)
 
 
 def keep_group_max(rows: DataFrame, keys, value: Column, drop_group_if_null: bool) -> DataFrame:

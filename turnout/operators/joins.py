@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnout.functions.cleaning import fill_external, split_year_prefix
 from turnout.functions.nulls import starts_with_year
 from turnout.operators.filters import FLAG
-from turnout.operators.groups import first_in_group, join_null_safe, with_group_stats
+from turnout.operators.groups import first_in_group, join_null_safe, join_spread, with_group_stats
 
 
 def programme_pairs(programmes: DataFrame) -> DataFrame:
@@ -89,8 +89,9 @@ def replace_tags(programmes: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def of_people(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """Rows whose id occurs in ``people``."""
-    return rows.join(people.select("id"), "id", "left_semi")
+    """Rows whose id occurs in ``people``; a person with very many rows is spread over tasks."""
+    known = people.select("id").filter(F.col("id").isNotNull()).distinct()
+    return join_spread(rows, known, ["id"], "left_semi")
 
 
 def tag_dates(selection: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnout import fixed_values as fixed
 from turnout.functions.nulls import not_in, paste
-from turnout.operators.filters import FLAG
+
 from turnout.operators.joins import of_people, tag_dates
 from turnout.operators.reshape import pivot_sum
 
@@ -34,7 +34,7 @@ def journey_people(data: DataFrame, years, programmes, anchor: str) -> tuple[Dat
     if anchor not in programmes or not year.isdigit():
         return labelled, labelled.filter(F.lit(False)).select("id")
     at_anchor = in_years.filter((F.col("year") == int(year)) & (F.col("programme") == name))
-    return labelled, at_anchor.select("id").distinct()
+    return labelled, at_anchor.select("id")
 
 
 def cut_at_anchor(events: DataFrame, selection: DataFrame, anchor: str, after: bool) -> DataFrame:
