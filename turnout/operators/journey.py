@@ -211,26 +211,35 @@ def journey_edges(events: DataFrame, selection: DataFrame, from_source: bool = F
 def journey_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with 0-based numbers, and the edges with the numbers of their ends.
 
-    ``edges`` is the limited edge list, so the unpartitioned ranks see few rows. Nodes are
-    numbered in the order edges name them, all sources before all targets.
+    Nodes are numbered in the order edges name them, all sources before all targets; an open
+    end is a node too. ``edges`` is the limited edge list, so it fits one row: nodes and
+    numbers then come from array functions, and the journey behind it is evaluated once.
     """
-    by_rank = Window.orderBy(
-        F.col("count").desc(), "source", "target", "source_label", "target_label"
-    )
-    ranked = edges.withColumn("_rank", F.row_number().over(by_rank))
-    ends = ranked.select(F.col("source").alias("name"), F.struct(F.lit(0), "_rank").alias("_at"))
-    ends = ends.unionByName(
-        ranked.select(F.col("target").alias("name"), F.struct(F.lit(1), "_rank").alias("_at"))
+    columns = [c for c in edges.columns if c != "count"]
+    keys = ["source", "target", "source_label", "target_label"]
+    listed = F.struct((-F.col("count")).alias("_rank"), *keys,
+                      *[c for c in columns if c not in keys])
+    gathered = edges.agg(F.sort_array(F.collect_list(listed)).alias("_edges"))
+
+    def ends(c: str):
+        return F.transform("_edges", lambda e: F.struct(e[c].alias("name")))
+
+    named = gathered.select(
+        "_edges", F.array_distinct(F.concat(ends("source"), ends("target"))).alias("_names")
     )
-    first_seen = ends.groupBy("name").agg(F.min("_at").alias("_at"))
-    nodes = first_seen.select(
-        "name", (F.row_number().over(Window.orderBy("_at")) - 1).alias("node")
+    nodes = named.select(F.posexplode("_names").alias("node", "_name")).select("_name.name", "node")
+
+    def number(end: str):
+        place = F.array_position("_names", F.struct(F.col(f"_edge.{end}").alias("name")))
+        return (place - 1).cast("int").alias(f"{end}_node")
+
+    links = named.select("_names", F.explode("_edges").alias("_edge")).select(
+        *[F.col(f"_edge.{c}").alias(c) for c in columns],
+        (-F.col("_edge._rank")).alias("count"),
+        number("source"),
+        number("target"),
     )
-    numbered = edges
-    for end in ("source", "target"):
-        named = nodes.select(F.col("name").alias("_name"), F.col("node").alias(f"{end}_node"))
-        numbered = numbered.join(named, F.col(end).eqNullSafe(F.col("_name"))).drop("_name")
-    return nodes, numbered
+    return nodes, links
 
 
 def journey_label(events: DataFrame, source: str = "", destination: str = "") -> DataFrame:
