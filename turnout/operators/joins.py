@@ -89,9 +89,13 @@ def replace_tags(programmes: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def of_people(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """Rows whose id occurs in ``people``; a person with very many rows is spread over tasks."""
+    """Rows whose id occurs in ``people``; a person with very many rows is spread over tasks.
+
+    An inner join with distinct ids, as a semi join would be moved below the distinct that
+    usually comes before, and so shuffle rows that it removes.
+    """
     known = people.select("id").filter(F.col("id").isNotNull()).distinct()
-    return join_spread(rows, known, ["id"], "left_semi")
+    return join_spread(rows, known, ["id"]).select(*rows.columns)
 
 
 def tag_dates(selection: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from turnout import fixed_values as fixed
 from turnout.functions.nulls import not_in, paste
 
 from turnout.operators.joins import of_people, tag_dates
-from turnout.operators.reshape import pivot_sum
+from turnout.operators.reshape import pivot_sum, stack
 
 EVENT_COLUMNS = ["programme", "id", "date", "year", "count"]
 
@@ -19,16 +19,14 @@ class NoMatchingRows(ValueError):
 
 
 def journey_people(data: DataFrame, years, programmes, anchor: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct year-labelled participations of students, and the ids at the anchor."""
+    """Year-labelled participations of students, and the ids at the anchor."""
     students = data.filter(not_in("faculty", fixed.NOT_STUDENT_FACULTIES))
-    in_years = students.filter(F.col("year").isin([int(y) for y in years]))
+    in_years = students.filter(F.col("year").isin(list(years)))
     # the unlabelled names let the scan skip programmes that no chosen label can end in
     in_years = in_years.filter(F.col("programme").isin(sorted({p[5:] for p in programmes})))
-    labelled = (
-        in_years.select("id", paste("year", "programme").alias("programme"), "year")
-        .filter(F.col("programme").isin(list(programmes)))
-        .distinct()
-    )
+    labelled = in_years.select(
+        "id", paste("year", "programme").alias("programme"), "year"
+    ).filter(F.col("programme").isin(list(programmes)))
     # one programme of one year: the two plain conditions reach the scan
     year, _, name = anchor.partition(" ")
     if anchor not in programmes or not year.isdigit():
@@ -56,35 +54,32 @@ def journey_events(data: DataFrame, selection: DataFrame, training: DataFrame |
     """Events up to the destination, or from the source, of everyone who was there.
 
     A source, when given, wins over a destination. ``data`` is the journey dashboard's slice.
+    All kinds of events are stacked, cut and made distinct first, which combines on the map
+    side, and then meet the people of the journey once.
     """
     anchor = source or destination
     years, programmes = [int(y) for y in years], list(programmes)
     labelled, people = journey_people(data, years, programmes, anchor)
     # an undated event never passes the cut, so the tag join may drop it
     dated = tag_dates(selection).filter(F.col("date").isNotNull())
-    parts = [
-        of_people(labelled, people)
-        .join(dated, F.col("programme") == F.col("final_tags"))
-        .select("programme", "id", "date", "year")
-    ]
+    columns = ["programme", "id", "date", "year"]
+    parts = [labelled.join(dated, F.col("programme") == F.col("final_tags")).select(*columns)]
     if training is not None:
         trained = training.filter(
             F.year("date").isin(years) & F.col("training").isin(programmes)
-        ).select(F.col("training").alias("programme"), "id", "date", F.year("date").alias("year"))
-        parts.append(of_people(trained.distinct(), people).select("programme", "id", "date", "year"))
+        )
+        parts.append(trained.select(
+            F.col("training").alias("programme"), "id", "date", F.year("date").alias("year")
+        ))
     if studio is not None:
         signed_in = studio.filter(
             F.col("year").isin([str(y) for y in years]) & F.col("programme").isin(programmes)
-        ).select("programme", "id", "date", F.col("year").cast("int").alias("year"))
-        parts.append(
-            of_people(signed_in.distinct(), people).select("programme", "id", "date", "year")
         )
-    events = parts[0]
-    for part in parts[1:]:
-        events = events.unionByName(part)
-    events = cut_at_anchor(events, selection, anchor, after=bool(source))
-    if len(parts) > 1:
-        events = events.distinct()
+        parts.append(signed_in.select(
+            "programme", "id", "date", F.col("year").cast("int").alias("year")
+        ))
+    events = cut_at_anchor(stack(*parts), selection, anchor, after=bool(source)).distinct()
+    events = of_people(events, people)
     events = events.withColumn("count", F.lit(1).cast("long")).select(*EVENT_COLUMNS)
     if strict and events.isEmpty():
         raise NoMatchingRows("No matching rows for inputs")
