@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from turnout.functions.fingerprint import content_fingerprint
+from turnout.functions.fingerprint import FINGERPRINT, content_fingerprint
 from turnout.plans.registry import query
 from turnout.plans.standin import COLUMNS
 from turnout.session import own_path
@@ -171,16 +171,14 @@ def _(t):
     rows = t.participation
     edited = rows.withColumn("level", F.concat("level", F.lit("!")))
     prints = [
-        content_fingerprint(x).select("n_rows", "sum_a", "sum_b", "xor_a")
+        content_fingerprint(x).select("n_rows", F.concat_ws("|", *FINGERPRINT).alias("text"))
         for x in (rows, rows.repartition(3, "degree"), edited)
     ]
-    first = prints[0].select("n_rows", F.array("sum_a", "sum_b", "xor_a").alias("a"))
-    second = prints[1].select(F.array("sum_a", "sum_b", "xor_a").alias("b")).scalar()
-    third = prints[2].select(F.array("sum_a", "sum_b", "xor_a").alias("c")).scalar()
-    return first.select(
+    reordered, changed = [p.select("text").scalar() for p in prints[1:]]
+    return prints[0].select(
         "n_rows",
-        (F.col("a") == second).alias("same_when_reordered"),
-        (F.col("a") != third).alias("differs_when_edited"),
+        (F.col("text") == reordered).alias("same_when_reordered"),
+        (F.col("text") != changed).alias("differs_when_edited"),
     )
 
 

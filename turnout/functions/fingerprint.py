@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+FINGERPRINT = ["n_rows", "hash_sum", "hash_xor", "columns"]
 
-def row_hash(df: DataFrame, *leading: Column) -> Column:
+
+def row_hash(df: DataFrame) -> Column:
     """64-bit hash of a row. A null changes the hash, so nulls cannot trade places unseen."""
-    parts = list(leading)
+    parts = []
     for c in sorted(df.columns):
         parts += [F.col(f"`{c}`").isNull(), F.col(f"`{c}`")]
     return F.xxhash64(*parts)
@@ -17,39 +19,31 @@ def row_hash(df: DataFrame, *leading: Column) -> Column:
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """One row that is equal for frames with the same columns and the same multiset of rows.
 
-    Row count, sums of two differently started row hashes, and their exclusive or. Halves of
-    the hashes are summed as plain longs within a task, where they cannot overflow; only the
-    one row per task is added up as decimals.
+    Row count, and sum and exclusive or of the row hashes. Halves of the hashes are summed as
+    plain longs within a task, where they cannot overflow; only the one row per task is added
+    up as decimals.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
     schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
-    hashed = df.select(
-        row_hash(df, F.lit(1)).alias("_a"),
-        row_hash(df, F.lit(2)).alias("_b"),
-        F.spark_partition_id().alias("_task"),
-    )
-    halves = {"a": "_a", "b": "_b"}
+    hashed = df.select(row_hash(df).alias("_hash"), F.spark_partition_id().alias("_task"))
     per_task = hashed.groupBy("_task").agg(
         F.count("*").alias("_rows"),
-        F.bit_xor("_a").alias("_xor"),
-        *[F.sum(F.col(h).bitwiseAND(0xFFFFFFFF)).alias(f"_low_{n}") for n, h in halves.items()],
-        *[F.sum(F.shiftright(h, 32)).alias(f"_high_{n}") for n, h in halves.items()],
+        F.bit_xor("_hash").alias("_xor"),
+        F.sum(F.shiftright("_hash", 32)).alias("_high"),
+        F.sum(F.col("_hash").bitwiseAND(0xFFFFFFFF)).alias("_low"),
     )
-
-    def total(n: str):
-        wide = "decimal(20,0)"
-        sums = (F.sum(F.col(f"_{part}_{n}").cast(wide)) for part in ("high", "low"))
-        return F.concat_ws(":", *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
-
+    sums = [
+        F.coalesce(F.sum(F.col(half).cast("decimal(20,0)")), F.lit(0)).cast("string")
+        for half in ("_high", "_low")
+    ]
     return per_task.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
-        total("a").alias("sum_a"),
-        total("b").alias("sum_b"),
-        F.coalesce(F.bit_xor("_xor"), F.lit(0)).cast("string").alias("xor_a"),
+        F.concat_ws(":", *sums).alias("hash_sum"),
+        F.coalesce(F.bit_xor("_xor"), F.lit(0)).cast("string").alias("hash_xor"),
     ).withColumn("columns", F.lit(schema))
 
 
 def fingerprint_text(df: DataFrame) -> str:
     """The fingerprint as one text; runs a job and brings one row to the driver."""
     r = content_fingerprint(df).first()
-    return "|".join(str(r[c]) for c in ("n_rows", "sum_a", "sum_b", "xor_a", "columns"))
+    return "|".join(str(r[c]) for c in FINGERPRINT)
