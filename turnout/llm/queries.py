@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnout.llm import simhash
+from turnout.llm import decontaminate, simhash
 from turnout.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +23,12 @@ def query(run):
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents")).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(read_table(spark, folder, "documents"),
+                                  read_table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
