@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import decontaminate, mixing, simhash
+from turnout.llm import decontaminate, mixing, simhash, tokens
 from turnout.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.tokenized(read_table(spark, folder, "documents")).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
