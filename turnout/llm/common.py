@@ -73,3 +73,57 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
     return label
+
+
+def with_values(docs: DataFrame, names: list[str], values) -> DataFrame:
+    """``docs`` with double columns ``names``: ``values(texts)`` gives an array for each.
+
+    Rows keep their columns and stay as they are; null texts are passed as empty ones. Text goes
+    through in steps of STEP_BYTES. ``names`` must not clash with columns of ``docs``.
+    """
+    schema = docs.select("*", *[F.lit(0.0).alias(n) for n in names]).schema
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary())
+            sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts),
+                                np.int64, len(texts))
+            low = 0
+            while low < batch.num_rows:
+                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), STEP_BYTES, "right")))
+                found = values([t or b"" for t in texts.slice(low, high - low).to_pylist()])
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *[pa.array(v, pa.float64()) for v in found]],
+                    [*part.schema.names, *names])
+                low = high
+
+    return docs.mapInArrow(run, schema)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or that with underscores in front, whichever ``docs`` doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def held_out(parts: int, which: int):
+    """Whether a row is held out: crc32 of doc_id as text modulo ``parts`` is ``which``."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == which, F.lit(False))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; the last weight is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + penalty * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(bend + 1e-9 * np.eye(len(w)), slope)
+        w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+    return w

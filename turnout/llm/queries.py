@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import decontaminate, mixing, simhash, tokens
-from turnout.llm.common import read_table
+from turnout.llm import decontaminate, mixing, quality, simhash, tokens, toxicity
+from turnout.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,29 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op1_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.tokenized(read_table(spark, folder, "documents")).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _judged(scored: DataFrame, parts: int, which: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(parts, which).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, folder, "labels"))
+    return _judged(quality.scored(docs, model), 3, 1, quality.THRESHOLD)
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, folder, "labels"))
+    return _judged(toxicity.scored(docs, model), 4, 2, toxicity.THRESHOLD)
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

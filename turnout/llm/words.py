@@ -60,3 +60,16 @@ class Words:
     def text_of(self) -> np.ndarray:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
+
+    def prefixes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of each word's first bytes, one array for each size; zero for words that
+        aren't longer."""
+        out, sums = [], np.zeros(len(self.starts), np.uint64)
+        power = _power(_BASE, max(sizes))
+        long = self.stops - self.starts
+        for j in range(max(sizes)):
+            sums += _VALUE[_LOWER[self.bytes[np.minimum(self.starts + j, len(self.bytes) - 1)]]] * power[j]
+            if j + 1 in sizes:
+                mixed = (sums ^ sums >> np.uint64(31)) * (MIX + np.uint64(2 * j + 2))
+                out.append(np.where(long > j + 1, mixed ^ mixed >> np.uint64(29), np.uint64(0)))
+        return out
