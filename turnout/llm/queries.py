@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import decontaminate, mixing, quality, simhash, tokens, toxicity
+from turnout.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, urls
 from turnout.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,14 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(read_table(spark, folder, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, folder, "embeddings"))
