@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm import decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, urls
+from turnout.llm import (
+    decontaminate,
+    embeddings,
+    mixing,
+    passages,
+    quality,
+    simhash,
+    substrings,
+    tokens,
+    toxicity,
+    urls,
+)
 from turnout.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +92,16 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_embedding_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.without_repeats(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(read_table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
