@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 import turnout.checked  # noqa: F401  registers the queries
@@ -43,6 +44,7 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="turnout-bench-"),
         "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "12g"),
     })
     spark.sparkContext.setLogLevel("ERROR")

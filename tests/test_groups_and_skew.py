@@ -36,11 +36,33 @@ def test_group_stats_on_every_row(spark, rows, skewed):
     assert rows(counted) == sorted(((k, n, v, size[k]) for k, n, v in skewed), key=repr)
 
 
-def test_hot_group_is_spread_over_salts(spark, skewed):
-    df = spark.createDataFrame(skewed, "k string, n int, v int").filter("k = 'hot'")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(groups.SALTS))
-    sizes = [r["count"] for r in df.groupBy(salt).count().collect()]
-    assert len(sizes) == groups.SALTS and max(sizes) < 2000 / groups.SALTS * 1.5
+def test_groups_are_repeated_only_on_demand(spark, rows, skewed):
+    df = spark.createDataFrame(skewed, "k string, n int, v int")
+    plain = groups.with_group_stats(df, ["k"], F.count("*").alias("total"))
+    salted = groups.with_group_stats(df, ["k"], F.count("*").alias("total"), salts=8)
+    assert rows(plain) == rows(salted)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (plain, salted)]
+    assert "Generate" not in plans[0] and "Generate" in plans[1]
+
+
+def test_group_with_a_null_value_is_dropped_whole(spark, rows):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", None), ("b", 2), ("b", 2), ("b", 1), ("c", None), (None, 3)],
+        "k string, v int")
+    drop = groups.keep_group_max(df, ["k"], F.col("v"), drop_group_if_null=True)
+    assert rows(drop) == [("b", 2), (None, 3)]
+    keep = groups.keep_group_max(df, ["k"], F.col("v"), drop_group_if_null=False)
+    assert rows(keep) == [("a", 1), ("b", 2), (None, 3)]
+    plan = drop._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Join" not in plan
+
+
+def test_null_ids_on_both_sides_meet(spark, rows):
+    pairs = spark.createDataFrame([(None, 1, "p"), (None, 2, "p"), ("a", 1, "p")],
+                                  "id string, year int, programme string")
+    facts = spark.createDataFrame([(None, "x"), (None, "y"), ("b", "z")], "id string, sex string")
+    assert rows(joins.attach_people(pairs, facts), "id", "year", "sex") == sorted(
+        [(None, 1, "x"), (None, 1, "y"), (None, 2, "x"), (None, 2, "y"), ("a", 1, None)], key=repr)
 
 
 def test_first_in_group_is_limited_before_the_shuffle(spark, rows, skewed):

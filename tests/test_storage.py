@@ -1,6 +1,9 @@
 """Versioned tables, archives, year folders, sheets and column checks."""
 
+import os
+
 import pytest
+from pyspark.sql import types as T
 
 from turnout.functions.fingerprint import fingerprint_text
 from turnout.sinks import versions
@@ -17,9 +20,65 @@ def frames(table):
 def test_uploads_are_archived_outside_the_year_folders(spark, frames, tmp_path):
     root = str(tmp_path)
     path = versions.archive_upload(frames[0], root, "2026", "sample")
-    assert path == f"{root}/uploads/2026/sample"
+    assert path.startswith(f"{root}/uploads/2026/sample/")
     assert spark.read.parquet(path).count() == 2
     assert not (tmp_path / "2026").exists()
+    later = versions.archive_upload(frames[1], root, "2026", "sample")
+    kept = versions.archived_uploads(spark, root, "2026", "sample")
+    assert path != later and kept.count() == 5 and kept.select("upload").distinct().count() == 2
+
+
+def test_a_lost_run_leaves_the_tables_of_the_last_one(spark, frames, tmp_path):
+    target = versions.VersionedTables(spark, str(tmp_path))
+    target.publish_all(dict(zip(("a", "b"), frames)))
+    before = target.current_versions()
+    broken = frames[0].selectExpr("CAST(raise_error('lost') AS INT) AS id", "value")
+    with pytest.raises(Exception, match="lost"):
+        target.publish_all({"a": frames[1], "b": broken})
+    assert target.current_versions() == before and target.read("a").count() == 2
+
+
+def test_published_years_are_partitions(spark, table, tmp_path):
+    target = versions.VersionedTables(spark, str(tmp_path))
+    target.publish_all({"studio": table("id string, year string", ("1", "2019"), ("2", "2020"))})
+    chosen = target.read("studio").filter("year IN ('2020')")
+    assert [r["id"] for r in chosen.collect()] == ["2"]
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1][:60]
+
+
+def test_the_log_is_compacted(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "COMPACT_FROM", 3)
+    target = versions.VersionedTables(spark, str(tmp_path), keep=0)
+    for n in range(1, 6):
+        target.publish_all({"a": table("id int", *[(i,) for i in range(n)])})
+    assert len(spark.read.parquet(target.log_path).inputFiles()) < 3
+    assert target.versions("a").count() == 5 and target.read("a").count() == 5
+
+
+def test_duplicate_files_are_removed_in_every_folder(spark, tmp_path):
+    for name, text, age in [("x/a", "one", 1), ("x/b", "one", 2), ("y/c", "one", 3), ("y/z/d", "two", 1),
+                            ("y/z/e", "two", 1), ("y/z/f", "three", 0)]:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+        os.utime(path, (1e9 + age, 1e9 + age))
+    assert versions.remove_duplicate_files(spark, str(tmp_path)) == 2
+    left = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".crc")
+    assert left == ["x/a", "y/c", "y/z/d", "y/z/f"]
+    assert versions.remove_duplicate_files(spark, str(tmp_path)) == 0
+
+
+def test_columns_of_year_folders_go_by_name(spark, tmp_path, rows):
+    for year, text in [("2019", "ID,Sex\n1,F\n"), ("2020", "Sex,ID\nM,2\n"), ("2021", "ID,Age\n3,30\n")]:
+        (tmp_path / year).mkdir()
+        (tmp_path / year / "From A.csv").write_text(text)
+    found = tables.scan_year_folders(spark, str(tmp_path), "From*.csv")
+    assert rows(found, "updated", "ID", "Sex", "Age") == [
+        ("2019", "1", "F", None), ("2020", "2", "M", None), ("2021", "3", None, "30")]
+    typed = tables.scan_year_folders(
+        spark, str(tmp_path), "From*.csv", T.StructType.fromDDL("ID int, Sex string"))
+    assert rows(typed) == [("2019", 1, "F"), ("2020", 2, "M"), ("2021", 3, None)]
 
 
 def test_versions_only_when_content_changes(spark, frames, tmp_path):
@@ -61,6 +120,8 @@ def test_number_of_kept_versions(monkeypatch):
     assert versions.versions_to_keep() == 5
     monkeypatch.setenv(versions.KEEP_VARIABLE, "2")
     assert versions.versions_to_keep() == 2
+    monkeypatch.setenv(versions.KEEP_VARIABLE, "many")
+    assert versions.versions_to_keep() == 0
 
 
 def test_changed_any(spark, frames, tmp_path):

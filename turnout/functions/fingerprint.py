@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 FINGERPRINT = ["n_rows", "hash_sum", "hash_xor", "columns"]
@@ -43,6 +45,29 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     ).withColumn("columns", F.lit(schema))
 
 
+def observed_fingerprint(df: DataFrame) -> tuple[DataFrame, Callable[[], str]]:
+    """``df``, watched, and what gives its fingerprint once it was written.
+
+    The figures are gathered by the job that evaluates the frame, so nothing is read twice. As
+    text they equal ``fingerprint_text``.
+    """
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
+    seen, h = Observation(), row_hash(df)
+    low = h.bitwiseAND(0xFFFFFFFF).cast("decimal(20,0)")
+    high = F.shiftright(h, 32).cast("decimal(20,0)")
+    watched = df.observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), F.sum(high).alias("high"), F.sum(low).alias("low"),
+        F.bit_xor(h).alias("hash_xor"))
+
+    def text() -> str:
+        r = seen.get
+        sums = f"{r['high'] or 0}:{r['low'] or 0}"
+        return f"{r['n_rows']}|{sums}|{r['hash_xor'] or 0}|{schema}"
+
+    return watched, text
+
+
 def fingerprint_text(df: DataFrame) -> str:
     """The fingerprint as one text; runs a job and brings one row to the driver."""
     r = content_fingerprint(df).first()

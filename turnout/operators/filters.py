@@ -57,10 +57,12 @@ def keep_year_labelled(df: DataFrame, c: str) -> DataFrame:
 
 
 def split_external(df: DataFrame, id_column: str = "id") -> DataFrame:
-    """Distinct rows for known people, every row for external ones."""
-    external = df.filter(F.col(id_column).contains(fixed.EXTERNAL))
-    known = df.filter(not_containing(id_column, fixed.EXTERNAL))
-    return external.unionByName(known.distinct())
+    """Distinct rows for known people, every row for external ones.
+
+    One pass: external rows are told apart by a row number, the others share its null.
+    """
+    number = F.when(F.col(id_column).contains(fixed.EXTERNAL), F.monotonically_increasing_id())
+    return df.withColumn("_row", number).distinct().drop("_row")
 
 
 def drop_text_na(df: DataFrame, *columns: str) -> DataFrame:

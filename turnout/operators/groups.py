@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null; the right side's keys are dropped."""
@@ -23,41 +21,43 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def join_spread(rows: DataFrame, groups: DataFrame, keys, how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys, how: str = "inner",
+                salts: int = 0) -> DataFrame:
     """Null-safe join of many rows per key with one row per key.
 
-    The join is on the keys and a salt, which spreads a hot key over ``salts`` tasks. Both
-    inputs are then plain shuffles, so adaptive execution can split further, and it broadcasts
-    the groups when they turn out small. Equal rows share a salt, so rows should be distinct.
+    By default a plain join: both inputs are shuffles on the keys, so adaptive execution splits
+    a hot partition, and broadcasts the groups when they turn out small. ``salts`` repeats each
+    group that often and spreads its rows over as many tasks from the start, for callers that
+    know a key to be hot. Equal rows share a salt, so rows should then be distinct.
     """
+    if salts < 2:
+        return join_null_safe(rows, groups, list(keys), how)
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return join_null_safe(salted, groups, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_group_stats(rows: DataFrame, keys, *stats: Column, salts: int = SALTS) -> DataFrame:
-    """Attach aggregates of each row's group to the row. Rows should be distinct.
+def with_group_stats(rows: DataFrame, keys, *stats: Column, salts: int = 0) -> DataFrame:
+    """Attach aggregates of each row's group to the row.
 
     The aggregates combine on the map side, so a hot group costs one record per map task, and
-    the join back spreads it. No window gathers a group.
+    adaptive execution can split it in the join back. No window gathers a group.
     """
-    return join_spread(rows, rows.groupBy(*keys).agg(*stats), list(keys), salts=salts)
+    return join_groups(rows, rows.groupBy(*keys).agg(*stats), list(keys), salts=salts)
 
 
 def keep_group_max(rows: DataFrame, keys, value: Column, drop_group_if_null: bool) -> DataFrame:
     """Distinct rows at their group's maximum of ``value``, ties included.
 
     With ``drop_group_if_null`` a group holding any null value is dropped whole; otherwise
-    nulls are ignored.
+    nulls are ignored. The rows are read once: the rank filter is a limit per group that Spark
+    applies before the shuffle. A null that ranks first stands for its group, which then goes.
     """
-    stats = [F.max("_value").alias("_top")]
-    if drop_group_if_null:
-        stats.append(F.max(F.col("_value").isNull()).alias("_has_null"))
-    valued = with_group_stats(rows.distinct().withColumn("_value", value), keys, *stats)
-    kept = valued.filter(F.col("_value") == F.col("_top"))
-    if drop_group_if_null:
-        kept = kept.filter(~F.col("_has_null"))
+    first = F.col("_value").desc_nulls_first() if drop_group_if_null else (
+        F.col("_value").desc_nulls_last())
+    ranked = rows.distinct().withColumn("_value", value).withColumn(
+        "_rank", F.rank().over(Window.partitionBy(*keys).orderBy(first)))
+    kept = ranked.filter(F.col("_rank") == 1).filter(F.col("_value").isNotNull())
     return kept.select(*rows.columns)
 
 

@@ -11,13 +11,14 @@ from turnout.functions.nulls import MISSING_TEXT
 from turnout.session import written
 
 
-def surrogate_ids(ids: DataFrame, c: str = "id") -> DataFrame:
+def surrogate_ids(ids: DataFrame, c: str = "id", place: str | None = None) -> DataFrame:
     """(id, number): 1-based dense numbers in the order of the distinct ids.
 
     Distinct ids are range-partitioned, sorted and written once, with partition and position
     taken from the row's place in its partition. The write fixes the partition bounds, which
     are sampled and could differ on a second run. A partition's numbers then start after the
-    sizes of the partitions before it, a sum over one row per partition.
+    sizes of the partitions before it, a sum over one row per partition. ``place`` names the
+    written table, for callers that remove it afterwards.
     """
     distinct = ids.select(F.coalesce(F.col(c), F.lit(MISSING_TEXT)).alias(c)).distinct()
     placed = (
@@ -31,7 +32,7 @@ def surrogate_ids(ids: DataFrame, c: str = "id") -> DataFrame:
         F.shiftright("_place", 33).cast("int").alias("_part"),
         F.col("_place").bitwiseAND((1 << 33) - 1).alias("_position"),
     )
-    fixed_places = written(placed, f"surrogate-{uuid.uuid4().hex}")
+    fixed_places = written(placed, place or f"surrogate-{uuid.uuid4().hex}")
     sizes = fixed_places.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

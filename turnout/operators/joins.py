@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnout.functions.cleaning import fill_external, split_year_prefix
 from turnout.functions.nulls import starts_with_year
 from turnout.operators.filters import FLAG
-from turnout.operators.groups import first_in_group, join_null_safe, join_spread, with_group_stats
+from turnout.operators.groups import first_in_group, join_groups, join_null_safe, with_group_stats
 
 
 def programme_pairs(programmes: DataFrame) -> DataFrame:
@@ -23,14 +23,11 @@ def programme_pairs(programmes: DataFrame) -> DataFrame:
 def attach_people(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Person data on every pair; many rows may match, null ids match, no match keeps the pair.
 
-    With both sides distinct there is nothing to remove afterwards. Matched and unmatched pairs
-    are taken apart: adaptive execution can split a hot id on either side of an inner join, but
-    only on the left of an outer one.
+    With both sides distinct there is nothing to remove afterwards. One left join reads each
+    side once; pairs, whose ids can be hot, are on the left, where adaptive execution splits.
     """
-    matched = join_null_safe(pairs, facts, ["id"])
-    unmatched = join_null_safe(pairs, facts.select("id").distinct(), ["id"], "left_anti")
     return fill_external(
-        matched.unionByName(unmatched, allowMissingColumns=True),
+        join_null_safe(pairs, facts, ["id"], "left"),
         keep=("id", "updated", "year", "programme", "number"),
     )
 
@@ -89,13 +86,14 @@ def replace_tags(programmes: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def of_people(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """Rows whose id occurs in ``people``; a person with very many rows is spread over tasks.
+    """Rows whose id occurs in ``people``. Null ids are nobody's, so they match nothing.
 
     An inner join with distinct ids, as a semi join would be moved below the distinct that
-    usually comes before, and so shuffle rows that it removes.
+    usually comes before, and so shuffle rows that it removes. Adaptive execution splits a
+    person with very many rows.
     """
     known = people.select("id").filter(F.col("id").isNotNull()).distinct()
-    return join_spread(rows, known, ["id"]).select(*rows.columns)
+    return join_groups(rows, known, ["id"]).select(*rows.columns)
 
 
 def tag_dates(selection: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,32 @@ class NoMatchingRows(ValueError):
     """Raised by strict journeys without any event."""
 
 
+def among(rows: DataFrame, c: str, values) -> DataFrame:
+    """Rows whose value is one of ``values``; all with a value if ``values`` is None."""
+    return rows.filter(F.col(c).isNotNull() if values is None else F.col(c).isin(list(values)))
+
+
+def dated_in(rows: DataFrame, years, c: str = "date") -> DataFrame:
+    """Rows dated in one of the years. The range of dates reaches the scan, the years don't."""
+    years = sorted(int(y) for y in years)
+    if not years:
+        return rows.filter(F.lit(False))
+    first, last = datetime.date(years[0], 1, 1), datetime.date(years[-1], 12, 31)
+    return rows.filter(F.col(c).between(F.lit(first), F.lit(last)) & F.year(c).isin(years))
+
+
 def journey_people(data: DataFrame, years, programmes, anchor: str) -> tuple[DataFrame, DataFrame]:
     """Year-labelled participations of students, and the ids at the anchor."""
     students = data.filter(not_in("faculty", fixed.NOT_STUDENT_FACULTIES))
     in_years = students.filter(F.col("year").isin(list(years)))
     # the unlabelled names let the scan skip programmes that no chosen label can end in
-    in_years = in_years.filter(F.col("programme").isin(sorted({p[5:] for p in programmes})))
-    labelled = in_years.select(
-        "id", paste("year", "programme").alias("programme"), "year"
-    ).filter(F.col("programme").isin(list(programmes)))
+    if programmes is not None:
+        in_years = in_years.filter(F.col("programme").isin(sorted({p[5:] for p in programmes})))
+    labelled = in_years.select("id", paste("year", "programme").alias("programme"), "year")
+    labelled = among(labelled, "programme", programmes)
     # one programme of one year: the two plain conditions reach the scan
     year, _, name = anchor.partition(" ")
-    if anchor not in programmes or not year.isdigit():
+    if programmes is not None and anchor not in programmes or not year.isdigit():
         return labelled, labelled.filter(F.lit(False)).select("id")
     at_anchor = in_years.filter((F.col("year") == int(year)) & (F.col("programme") == name))
     return labelled, at_anchor.select("id")
@@ -54,27 +70,26 @@ def journey_events(data: DataFrame, selection: DataFrame, training: DataFrame |
     """Events up to the destination, or from the source, of everyone who was there.
 
     A source, when given, wins over a destination. ``data`` is the journey dashboard's slice.
+    ``programmes`` of None are all programmes, trainings and spaces.
     All kinds of events are stacked, cut and made distinct first, which combines on the map
     side, and then meet the people of the journey once.
     """
     anchor = source or destination
-    years, programmes = [int(y) for y in years], list(programmes)
+    years = [int(y) for y in years]
+    programmes = None if programmes is None else list(programmes)
     labelled, people = journey_people(data, years, programmes, anchor)
     # an undated event never passes the cut, so the tag join may drop it
     dated = tag_dates(selection).filter(F.col("date").isNotNull())
     columns = ["programme", "id", "date", "year"]
     parts = [labelled.join(dated, F.col("programme") == F.col("final_tags")).select(*columns)]
     if training is not None:
-        trained = training.filter(
-            F.year("date").isin(years) & F.col("training").isin(programmes)
-        )
+        trained = among(dated_in(training, years), "training", programmes)
         parts.append(trained.select(
             F.col("training").alias("programme"), "id", "date", F.year("date").alias("year")
         ))
     if studio is not None:
-        signed_in = studio.filter(
-            F.col("year").isin([str(y) for y in years]) & F.col("programme").isin(programmes)
-        )
+        signed_in = among(
+            studio.filter(F.col("year").isin([str(y) for y in years])), "programme", programmes)
         parts.append(signed_in.select(
             "programme", "id", "date", F.col("year").cast("int").alias("year")
         ))
@@ -96,6 +111,11 @@ def events_per_participant(events: DataFrame) -> DataFrame:
     return totals.groupBy("total").agg(F.count("*").alias("num_students"))
 
 
+def total_choices(events: DataFrame) -> DataFrame:
+    """The numbers of events that participants have, ascending; the first is the default."""
+    return events_per_participant(events).select("total").orderBy("total")
+
+
 def first_appearance_order(events: DataFrame) -> DataFrame:
     """Programmes by the date of their first event."""
     firsts = events.groupBy("programme").agg(F.min("date").alias("date"))

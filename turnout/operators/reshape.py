@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -73,7 +74,10 @@ def journey_programme_choices(data: DataFrame, training: DataFrame, studio: Data
     programmes = data.filter(F.col("year").isin(years)).select(
         F.concat_ws(" ", F.col("year").cast("string"), "programme").alias("programme")
     )
-    trained = training.filter(F.year("date").isin(years)).select(
+    # the range of dates reaches the scan, the years don't
+    span = F.col("date").between(F.lit(datetime.date(min(years), 1, 1)), F.lit(
+        datetime.date(max(years), 12, 31))) if years else F.lit(False)
+    trained = training.filter(span & F.year("date").isin(years)).select(
         F.col("training").alias("programme")
     )
     spaces = studio.filter(F.col("year").isin([str(y) for y in years])).select("programme")

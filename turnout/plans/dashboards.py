@@ -11,6 +11,8 @@ from turnout.functions.cleaning import merge_faculties
 from turnout.operators import counts, filters, journey, studio
 from turnout.operators.joins import classify_curricula
 from turnout.operators.reshape import first_months
+from turnout.sinks.versions import VersionedTables
+from turnout.sources.tables import clean_published
 
 PROGRAMME_TABS = ("programme", "curricula", "velocity", "unleash", "createmaker")
 # tabs that show shares and let chosen filters replace the year as key
@@ -20,7 +22,10 @@ SPACES = {"unleash": "hub", "createmaker": "maker"}
 
 @dataclass(frozen=True)
 class Choices:
-    """What a user picked. Empty programmes mean all; ``filters`` maps columns to values."""
+    """What a user picked; ``filters`` maps columns to values.
+
+    Programmes of None are all of them, in every tab; an empty list is none.
+    """
 
     years: Sequence[int]
     programmes: Sequence[str] | None = None
@@ -84,11 +89,12 @@ class Dashboards:
         return filters.studio_slice(self.studio, SPACES[tab], choices.years)
 
     def events(self, choices: Choices) -> DataFrame:
-        key = (tuple(choices.years), tuple(choices.programmes or ()), choices.source,
-               choices.destination)
+        programmes = choices.programmes
+        key = (tuple(choices.years), None if programmes is None else tuple(programmes),
+               choices.source, choices.destination)
         return self._remember(key, lambda: journey.journey_events(
             self.slice("journey"), self.selection, self.training, self.studio, choices.years,
-            choices.programmes or (), choices.source, choices.destination))
+            programmes, choices.source, choices.destination))
 
     def output(self, tab: str, name: str, choices: Choices) -> DataFrame:
         """One output. ``outputs()`` lists what there is."""
@@ -161,6 +167,18 @@ class Dashboards:
         return nodes if name == "nodes" else numbered
 
 
+def published(tables: VersionedTables, keep: bool = False) -> Dashboards:
+    """Dashboards over the current version of every table, all of one run.
+
+    Each table is cleaned as every reader does, and training gets its published name back.
+    """
+    names = tables.current_versions()
+    read = {n: clean_published(n, tables.read(n, names[n]), distinct=True) for n in
+            ("participation", "tag_selection", "studio", "training")}
+    return Dashboards(read["participation"], read["tag_selection"], read["studio"],
+                      read["training"].withColumnRenamed("programme", "training"), keep)
+
+
 ATTRIBUTES = {
     "faculty": "faculty",
     "affiliation": "level",

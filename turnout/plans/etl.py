@@ -30,7 +30,7 @@ from turnout.operators.joins import (
     replace_tags,
 )
 from turnout.operators.reshape import stack
-from turnout.session import written
+from turnout.session import own_path, remove_path, written
 from turnout.sinks.versions import Published, VersionedTables, changed_any
 
 # a student row belongs to a workbook; ``updated`` names its year folder
@@ -103,9 +103,14 @@ def load_people(students: DataFrame, applicants: DataFrame, no_affiliation: Data
 
 def load_programme_tags(*contacts: DataFrame) -> DataFrame:
     """(programme, id) per year-labelled tag of every contact."""
+    return split_external(programme_tags(*contacts))
+
+
+def programme_tags(*contacts: DataFrame) -> DataFrame:
+    """(programme, id) per year-labelled tag, for callers that make them distinct themselves."""
     rows = stack(*[drop_incomplete(c.select("id", "tags", "row_id")) for c in contacts])
     tagged = keep_year_labelled(cleaning.explode_tags(rows.select("id", "tags")), "programme")
-    return split_external(tagged.select("programme", "id"))
+    return tagged.select("programme", "id")
 
 
 def load_sign_ins(maker: DataFrame, hub: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,45 +185,60 @@ class Landed:
     training: Sequence[DataFrame]
 
 
-def build_published(landed: Landed) -> dict[str, DataFrame]:
+def build_published(landed: Landed, place: str | None = None) -> dict[str, DataFrame]:
     """All published tables of a run, ids replaced by surrogate numbers.
 
-    Pairs and people are written once, as each is read several times. Numbers are attached
-    to the pairs, before the join with people makes rows many, and the filled union that is
-    told apart by null dates is never stored: each table only evaluates the parts it keeps.
+    Every extract is read once: sign-ins, training, participations and people are cleaned and
+    written under ``place``, and the four tables come from those. Numbers are attached to the
+    participations before the join with people makes rows many. Sign-ins and training without a
+    time count as participations, as in the filled union that null dates tell apart; only those
+    rows go through it. ``place`` holds raw ids, so ``publish`` removes it afterwards.
     """
-    selection = load_tag_selection(landed.tag_list)
-    sign_ins, visits = load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)
-    training = load_training(*landed.training)
-    programmes = stack(load_programme_tags(*landed.contacts), visits)
-    run = uuid.uuid4().hex
-    pairs = written(programme_pairs(replace_tags(programmes, selection)), f"pairs-{run}")
+    place = place or f"build-{uuid.uuid4().hex}"
+    selection = written(load_tag_selection(landed.tag_list), f"{place}/selection")
+    answers, _ = load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)
+    sign_ins = written(answers, f"{place}/sign-ins")
+    training = written(load_training(*landed.training), f"{place}/training")
+    programmes = stack(programme_tags(*landed.contacts), sign_ins.select("programme", "id"))
+    pairs = written(programme_pairs(replace_tags(programmes, selection)), f"{place}/pairs")
     people = load_people(
         landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship
     )
-    facts = written(person_facts(people), f"people-{run}")
-    numbers = surrogate_ids(stack(*[part.select("id") for part in (pairs, training, sign_ins)]))
+    facts = written(person_facts(people), f"{place}/people")
+    ids = stack(*[part.select("id") for part in (pairs, training, sign_ins)])
+    numbers = surrogate_ids(ids, place=f"{place}/numbers")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        out = with_surrogate_id(rows, numbers)
+        return out.withColumn("id", F.col("id").cast("string"))
 
     participation = attach_people(with_surrogate_id(pairs, numbers, into="number"), facts)
-    participation = participation.withColumn("id", F.col("number")).drop("number")
-    rows = stack(
+    participation = participation.withColumn("id", F.col("number").cast("string")).drop("number")
+    undated = stack(
         participation.withColumn("year", F.col("year").cast("string")),
-        with_surrogate_id(training, numbers),
-        with_surrogate_id(sign_ins, numbers),
+        numbered(training.filter(F.col("date").isNull())),
+        numbered(sign_ins.filter(F.col("timestamp").isNull())),
         fill=True,
     )
-    participation, studio, training = split_by_missing(
-        rows.withColumn("id", F.col("id").cast("string"))
-    )
+    participation, _, _ = split_by_missing(undated)
+    _, studio, _ = split_by_missing(numbered(sign_ins).withColumn(
+        "training", F.lit(None).cast("string")))
     return {
         "participation": participation.withColumn("year", F.col("year").cast("int")),
         "studio": studio,
-        "training": training,
+        "training": numbered(training.filter(F.col("date").isNotNull())).select(
+            "id", "date", "training"),
         "tag_selection": selection,
     }
 
 
 def publish(landed: Landed, target: VersionedTables) -> tuple[bool, dict[str, Published]]:
-    """Build and write every table that changed; tells whether readers must reload."""
-    results = target.publish_all(build_published(landed))
+    """Build and write every table that changed; tells whether readers must reload.
+
+    What the build wrote for itself is removed, also when the run fails."""
+    spark, place = landed.students.sparkSession, f"build-{uuid.uuid4().hex}"
+    try:
+        results = target.publish_all(build_published(landed, place))
+    finally:
+        remove_path(spark, own_path(spark, place))
     return changed_any(results.values()), results

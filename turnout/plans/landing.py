@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from turnout import fixed_values as fixed
 from turnout import schemas
 from turnout.operators.filters import renamed
 from turnout.plans.etl import TAG_SHEET, WORKBOOK, Landed
-from turnout.sinks.versions import archive_upload, write_table
+from turnout.operators.reshape import stack
+from turnout.session import path_exists
+from turnout.sinks.versions import archive_upload, new_run
 from turnout.sources.conformance import ColumnMismatch, conform
 from turnout.sources.tables import as_text
 
@@ -30,6 +33,12 @@ CITIZEN_SHEET = [
     "id", "sex", "age", "ethnic_group", "ethnicity", "iwi_flag", "iwi", "nsn", "residency",
     "status", "acad_prog", "level", "degree", "department", "faculty",
 ]
+# the sheet that an upload of a kind must hold
+REQUIRED = {kind: fixed.REQUIRED_SHEETS.get(kind, fixed.REQUIRED_SHEETS["sign_in"])
+            for kind in ("tags", "contacts", "maker_sign_ins", "hub_sign_ins")}
+LANDING_LOG = "kind string, sheet string, updated string, upload string, path string"
+# kinds of which one upload is in force, whatever its year
+SINGLE_KINDS = ("tags", "training")
 EQUIPMENT_SHEETS = fixed.PICKABLE_SHEETS[:8]
 # (kind, sheet) -> columns a landed sheet may have, all text
 LANDED_COLUMNS = {
@@ -53,12 +62,13 @@ SHEET_NAMES = {
 
 
 def question_names(columns: Iterable[str], wanted: Iterable[str]) -> dict[str, str]:
-    """Form question -> column, by the word that each question holds."""
+    """Form question -> column, by the words that just one question must hold as words."""
     columns, names = list(columns), {}
     for c in wanted:
-        found = [q for q in columns if SIGN_IN_WORDS[c] in q and q not in names]
-        if not found:
-            raise ColumnMismatch(f"no question with '{SIGN_IN_WORDS[c]}'")
+        words = re.compile(rf"(?<!\w){re.escape(SIGN_IN_WORDS[c])}(?!\w)")
+        found = [q for q in columns if words.search(q)]
+        if len(found) != 1:
+            raise ColumnMismatch(f"{len(found)} questions with '{SIGN_IN_WORDS[c]}'")
         names[found[0]] = c
     return names
 
@@ -81,42 +91,87 @@ def canonical(df: DataFrame, kind: str, sheet: str) -> DataFrame:
     return as_text(renamed(df, {old: new for old, new in names.items() if new in wanted}))
 
 
-def landed_path(root: str, kind: str, sheet: str) -> str:
-    return f"{root}/landed/{kind}/{sheet}"
+def _log_path(root: str) -> str:
+    return f"{root}/landed/_log"
 
 
-def accept_upload(df: DataFrame, root: str, kind: str, sheet: str, year: str,
-                  *templates: Iterable[str]) -> str:
-    """Check an upload against its templates, archive it as it came, and land it.
+def _landed_key(kind: str, year: str) -> str:
+    """The tag list and the training workbook are one each, whatever the year."""
+    return "" if kind in SINGLE_KINDS else year
+
+
+def _record(spark: SparkSession, root: str, rows: list[tuple]) -> None:
+    """One file of log rows, so the sheets of a workbook change together."""
+    spark.createDataFrame(rows, LANDING_LOG).coalesce(1).write.mode("append").parquet(_log_path(root))
+
+
+def landed_sheets(spark: SparkSession, root: str) -> DataFrame:
+    """(kind, sheet, updated, path) of the sheets in force: the last word on each in the log."""
+    if not path_exists(spark, _log_path(root)):
+        return spark.createDataFrame([], "kind string, sheet string, updated string, path string")
+    log = spark.read.schema(LANDING_LOG).parquet(_log_path(root))
+    last = log.groupBy("kind", "sheet", "updated").agg(F.max(F.struct("upload", "path"))["path"].alias("path"))
+    return last.filter(F.col("path").isNotNull())
 
-    Contacts may have further columns; any other kind must match a template exactly. A later
-    upload of the same kind, sheet and year replaces the earlier one.
+
+def accept_workbook(sheets: Mapping[str, DataFrame], root: str, kind: str, year: str,
+                    templates: Mapping[str, Sequence[Iterable[str]]] | None = None,
+                    whole: bool = True) -> dict[str, str]:
+    """Check the sheets of an upload, archive them as they came, and land them together.
+
+    Each sheet must match one of its templates, contacts may have further columns. A workbook
+    must hold its kind's required sheet and takes the place of the earlier one of that kind and
+    year; sheets it lacks are gone with that. There is one tag list and one training workbook,
+    so those replace the earlier one of whatever year. Nothing is written over: data goes to
+    folders of the upload, and one log append puts it in force. Returns the landed paths.
     """
-    if (kind, sheet) not in LANDED_COLUMNS:
-        raise ColumnMismatch(f"{kind} has no sheet named '{sheet}'")
-    checked = conform(df, *templates, allow_extra=kind == "contacts") if templates else df
-    archive_upload(df, root, year, f"{kind}-{sheet}")
-    path = f"{landed_path(root, kind, sheet)}/{WORKBOOK}={year}"
-    write_table(canonical(checked, kind, sheet), path)
-    return path
+    templates = templates or {}
+    for sheet in sheets:
+        if (kind, sheet) not in LANDED_COLUMNS:
+            raise ColumnMismatch(f"{kind} has no sheet named '{sheet}'")
+    required = REQUIRED.get(kind)
+    if whole and required is not None and required not in sheets:
+        raise ColumnMismatch(f"{kind} needs a sheet named '{required}'")
+    ready = {}
+    for sheet, df in sheets.items():
+        wanted = templates.get(sheet, ())
+        checked = conform(df, *wanted, allow_extra=kind == "contacts") if wanted else df
+        ready[sheet] = canonical(checked, kind, sheet)
+    upload, spark = new_run(), next(iter(sheets.values())).sparkSession
+    key, rows = _landed_key(kind, year), []
+    for sheet, df in sheets.items():
+        archive_upload(df, root, year, f"{kind}-{sheet}", upload)
+        path = f"{root}/landed/{kind}/{upload}/{sheet}"
+        ready[sheet].write.parquet(path)
+        rows.append((kind, sheet, key, upload, path))
+    gone = [s for k, s in LANDED_COLUMNS if k == kind and s not in sheets] if whole else []
+    _record(spark, root, [*rows, *[(kind, s, key, upload, None) for s in gone]])
+    return {r[1]: r[4] for r in rows}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def accept_upload(df: DataFrame, root: str, kind: str, sheet: str, year: str,
+                  *templates: Iterable[str]) -> str:
+    """Check, archive and land one sheet; other sheets of the same workbook stay in force."""
+    return accept_workbook({sheet: df}, root, kind, year, {sheet: templates}, whole=False)[sheet]
 
 
 def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFrame:
     """All years of a sheet, with the year in ``updated``; empty when it never landed.
 
-    The columns are declared, so years may differ in the columns they have.
+    The columns are declared, so years may differ in the columns they have. The one tag list
+    keeps the columns that it came with: whether it has the co-curricula flag makes a difference.
     """
-    path = landed_path(root, kind, sheet)
     names = [*LANDED_COLUMNS[kind, sheet], WORKBOOK]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    if not _exists(spark, path):
+    # one row per year of the sheet
+    found = landed_sheets(spark, root).filter((F.col("kind") == kind) & (F.col("sheet") == sheet)).collect()
+    if not found:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    if kind == "tags":
+        return spark.read.parquet(found[0]["path"]).withColumn(WORKBOOK, F.lit(found[0]["updated"]))
+    plain = T.StructType(schema.fields[:-1])
+    return stack(*[spark.read.schema(plain).parquet(r["path"]).withColumn(WORKBOOK, F.lit(r["updated"]))
+                   for r in sorted(found, key=lambda r: r["updated"])])
 
 
 def load_landed(spark: SparkSession, root: str) -> Landed:

@@ -1,30 +1,42 @@
 """Sinks: plain tables, and versioned tables that are written only when content changes.
 
-A versioned table is a folder ``<root>/<table>/version=<name>/`` per stored version and one
-append-only log of small rows under ``<root>/_log``. Data is written before the log row that
-names it, so a reader never sees a half-written version and a lost job leaves nothing but an
-unreferenced folder. The previous version stays in place as the mirror; nothing is copied.
+A versioned table is a folder ``<root>/<table>/version=<run>/`` per stored version and one log of
+small rows under ``<root>/_log``. A run writes the data of all its tables first and then appends
+one file of log rows that names a version of each table, changed or not. So readers see the
+tables of one run together, never a half-written version, and a lost run leaves nothing but
+unreferenced folders. The previous version stays in place as the mirror; nothing is copied.
+
+Runs have ids of their own, so two publishers never write to one folder; the later log row wins.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnout import fixed_values as fixed
-from turnout.functions.fingerprint import fingerprint_text
+from turnout.functions.fingerprint import observed_fingerprint
 from turnout.operators.groups import newest_in_group
+from turnout.schemas import PUBLISHED
+from turnout.session import path_exists, remove_path
 from turnout.sources.tables import CSV_OPTIONS
 
 LOG_SCHEMA = (
     "name string, action string, version string, fingerprint string, stored_at timestamp_ntz, "
-    "sequence long"
+    "run string"
 )
+# log files from which the log is written anew as one
+COMPACT_FROM = 64
+# the column that the files of a published table are split by, which its readers filter on
+LAYOUT = {"participation": "year", "studio": "year"}
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 KEEP_VARIABLE = "TURNOUT_KEEP_VERSIONS"
 
@@ -40,15 +52,33 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", *partition_by:
         writer.parquet(path)
 
 
-def archive_upload(df: DataFrame, root: str, year: str, name: str) -> str:
-    """Keep an upload as it came, under a folder that the year scans do not read."""
-    path = f"{root}/uploads/{year}/{name}"
-    write_table(df, path)
+def new_run(now: datetime | None = None) -> str:
+    """An id that sorts by time and is unique."""
+    now = now or datetime.now(timezone.utc)
+    return f"{now.strftime('%Y-%m-%dT%H-%M-%S-%f')}-{uuid.uuid4().hex[:8]}"
+
+
+def archive_upload(df: DataFrame, root: str, year: str, name: str, run: str | None = None) -> str:
+    """Keep an upload as it came, under a folder that the year scans do not read.
+
+    Every upload has a folder of its own; none is ever written over.
+    """
+    path = f"{root}/uploads/{year}/{name}/{run or new_run()}"
+    df.write.parquet(path)
     return path
 
 
+def archived_uploads(spark: SparkSession, root: str, year: str, name: str) -> DataFrame:
+    """All uploads of that name and year, with the upload in column ``upload``."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{root}/uploads/{year}/{name}/*")
+    upload = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    return rows.select(upload.alias("upload"), *[F.col(f"`{c}`") for c in rows.columns])
+
+
 def versions_to_keep() -> int:
-    return int(os.environ.get(KEEP_VARIABLE, fixed.VERSIONS_KEPT))
+    """How many versions stay; text that is no number keeps all."""
+    text = os.environ.get(KEEP_VARIABLE, str(fixed.VERSIONS_KEPT)).strip()
+    return int(text) if re.fullmatch(r"[+-]?[0-9]+", text) else 0
 
 
 def all_but(rows: DataFrame, kept: DataFrame, keys) -> DataFrame:
@@ -89,6 +119,32 @@ def exact_duplicates(files: DataFrame, content: str = "content", folder: str = "
     return all_but(files.select(folder, name, age), kept, [folder, name])
 
 
+def with_prefix(files: DataFrame, prefix: str, c: str = "name") -> DataFrame:
+    """Files whose name begins with ``prefix``, of which no character is special."""
+    return files.filter(F.col(c).startswith(prefix))
+
+
+def duplicate_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, name, modified) of the files to remove: in every folder below ``root``, all but
+    the oldest of files with the same content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    parts = files.select(
+        F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"),
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+        F.col("modificationTime").alias("modified"), "content")
+    return exact_duplicates(parts)
+
+
+def remove_duplicate_files(spark: SparkSession, root: str) -> int:
+    """Remove the duplicates and tell how many there were. Names come to the driver one
+    partition at a time; files are removed one by one, so a second call finishes a lost one."""
+    n = 0
+    for r in duplicate_files(spark, root).toLocalIterator():
+        remove_path(spark, f"{r['folder']}/{r['name']}")
+        n += 1
+    return n
+
+
 def unseen_versions(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Candidates whose name has no stored version with the same fingerprint, once each.
 
@@ -114,34 +170,38 @@ class VersionedTables:
         self.root = root.rstrip("/")
         self.keep = versions_to_keep() if keep is None else keep
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _exists(self, path: str) -> bool:
-        p = self._path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _delete(self, path: str) -> None:
-        p = self._path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
     @property
     def log_path(self) -> str:
         return f"{self.root}/_log"
 
     def log(self) -> DataFrame:
-        """Every store, publish and prune so far: a handful of rows per run."""
-        if not self._exists(self.log_path):
+        """Every store, publish and prune so far: a handful of rows per run. Rows are distinct,
+        as a compaction that was cut short leaves them in two files."""
+        if not path_exists(self.spark, self.log_path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
+        return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path).distinct()
 
     def _append(self, rows: list[tuple]) -> None:
+        """One file, so its rows are seen together."""
         frame = self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1)
         frame.write.mode("append").parquet(self.log_path)
 
-    def _history(self, name: str) -> list:
-        """Log rows of one table, oldest first: a few per publish."""
-        return self.log().filter(F.col("name") == name).orderBy("sequence").collect()
+    def compact(self) -> None:
+        """Write the log as one file more, then remove the files it was made of."""
+        before = sorted(self.spark.read.parquet(self.log_path).inputFiles())
+        if len(before) < COMPACT_FROM:
+            return
+        self.log().coalesce(1).write.mode("append").parquet(self.log_path)
+        for path in before:
+            remove_path(self.spark, path)
+
+    def _history(self) -> dict[str, list]:
+        """Log rows of each table, oldest first. The log of published tables is small: rows of
+        pruned versions aside, a few per table and kept run matter, and all stay readable."""
+        history: dict[str, list] = {}
+        for r in self.log().orderBy("stored_at", "run", F.col("action").desc()).collect():
+            history.setdefault(r["name"], []).append(r)
+        return history
 
     def versions(self, name: str) -> DataFrame:
         """Stored versions of a table that were not pruned."""
@@ -151,15 +211,24 @@ class VersionedTables:
 
     @staticmethod
     def _published(history: list) -> list:
-        return [r for r in history if r["action"] == "publish"]
+        """Publish rows at which the version changed."""
+        rows = []
+        for r in history:
+            if r["action"] == "publish" and (not rows or rows[-1]["version"] != r["version"]):
+                rows.append(r)
+        return rows
+
+    def current_versions(self) -> dict[str, str]:
+        """The version of each table as the last run left it, from one look at the log."""
+        published = {n: self._published(h) for n, h in self._history().items()}
+        return {n: p[-1]["version"] for n, p in published.items() if p}
 
     def current_version(self, name: str) -> str | None:
-        published = self._published(self._history(name))
-        return published[-1]["version"] if published else None
+        return self.current_versions().get(name)
 
     def mirror_version(self, name: str) -> str | None:
         """The version that the current one replaced."""
-        published = self._published(self._history(name))
+        published = self._published(self._history().get(name, []))
         return published[-2]["version"] if len(published) > 1 else None
 
     def version_path(self, name: str, version: str) -> str:
@@ -169,71 +238,79 @@ class VersionedTables:
         version = version or self.current_version(name)
         if version is None:
             raise LookupError(f"no version of {name}")
-        return self.spark.read.parquet(self.version_path(name, version))
+        path = self.version_path(name, version)
+        found = self.spark.read.parquet(path)
+        declared = PUBLISHED.get(name)
+        if declared is None:
+            return found
+        # the columns of the version (a tag list may lack one) with their declared types
+        types = [declared[f.name] if f.name in declared.fieldNames() else f for f in found.schema]
+        return self.spark.read.schema(T.StructType(types)).parquet(path)
 
     def write_if_changed(self, df: DataFrame, name: str) -> Published:
-        """Publish ``df`` unless the current version has the same content.
+        """Publish one table unless its current version has the same content."""
+        return self.publish_all({name: df})[name]
+
+    def _write(self, df: DataFrame, name: str, version: str) -> str:
+        """Write a version in its table's layout; the fingerprint is observed on the way."""
+        key = LAYOUT.get(name)
+        if key in df.columns:
+            df = df.hint("rebalance", key)  # large years over several files, small ones merged
+        watched, text = observed_fingerprint(df)
+        writer = watched.write
+        if key in df.columns:
+            writer = writer.partitionBy(key)
+        writer.parquet(self.version_path(name, version))
+        return text()
 
-        ``df`` is evaluated once, by writing it; the comparison then reads what was written,
-        and a version that turns out to be no news is removed again. Content equal to an older
-        kept version makes that one current. All but the newest versions are pruned, sparing
-        current and mirror.
+    def publish_all(self, tables: dict[str, DataFrame]) -> dict[str, Published]:
+        """Publish the tables of one run together.
+
+        Each frame is evaluated once, by writing it. A version that turns out to be no news is
+        removed again; content equal to an older kept version makes that one current. One append
+        then names the current version of every table of the run. All but the newest versions
+        are pruned, sparing current and mirror.
         """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        version = self._free_name(name, now)
-        path = self.version_path(name, version)
-        df.write.parquet(path)
-        print_now = fingerprint_text(self.spark.read.schema(df.schema).parquet(path))
-
-        history = self._history(name)
-        published = self._published(history)
-        if published and published[-1]["fingerprint"] == print_now:
-            self._delete(path)
-            return Published(False, False, published[-1]["version"], [])
-
-        gone = {r["version"] for r in history if r["action"] == "prune"}
-        kept = {r["fingerprint"]: r["version"] for r in history
-                if r["action"] == "store" and r["version"] not in gone}
-        sequence = max((r["sequence"] for r in history), default=0)
-        stored = print_now not in kept
-        rows = []
-        if stored:
-            rows.append((name, "store", version, print_now, now, sequence + 1))
-        else:
-            self._delete(path)
-            version = kept[print_now]
-        rows.append((name, "publish", version, print_now, now, sequence + 2))
+        run = new_run(now)
+        prints = {name: self._write(df, name, run) for name, df in tables.items()}
+        history, rows, found = self._history(), [], {}
+        for name, text in prints.items():
+            mine = history.get(name, [])
+            published = self._published(mine)
+            gone = {r["version"] for r in mine if r["action"] == "prune"}
+            kept = {r["fingerprint"]: r["version"] for r in mine
+                    if r["action"] == "store" and r["version"] not in gone}
+            same = bool(published) and published[-1]["fingerprint"] == text
+            stored = text not in kept
+            version = run if stored else published[-1]["version"] if same else kept[text]
+            if stored:
+                rows.append((name, "store", version, text, now, run))
+            rows.append((name, "publish", version, text, now, run))
+            found[name] = (not same, stored, version)
         self._append(rows)
-        return Published(True, stored, version, self.prune(name))
-
-    def _free_name(self, name: str, now: datetime) -> str:
-        stamp = now.strftime("%Y-%m-%dT%H-%M-%S")
-        version, counter = stamp, 0
-        while self._exists(self.version_path(name, version)):
-            counter += 1
-            version = f"{stamp}-{counter}"
-        return version
+        for name, (_, stored, _) in found.items():
+            if not stored:
+                remove_path(self.spark, self.version_path(name, run))
+        pruned = {name: self.prune(name) for name in tables}
+        self.compact()
+        return {name: Published(*f, pruned[name]) for name, f in found.items()}
 
     def prune(self, name: str) -> list[str]:
         """Log and delete versions beyond the newest ``keep``; current and mirror stay."""
-        history = self._history(name)
+        history = self._history().get(name, [])
         if self.keep < 1 or sum(r["action"] == "store" for r in history) <= self.keep:
             return []
         spared = {r["version"] for r in self._published(history)[-2:]}
         stale = stale_versions(self.versions(name), self.keep).collect()
-        stale = [r for r in stale if r["version"] not in spared]
+        stale = sorted((r["version"], r["fingerprint"]) for r in stale if r["version"] not in spared)
         if not stale:
             return []
-        sequence = max(r["sequence"] for r in history)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        self._append([(name, "prune", r["version"], r["fingerprint"], now, sequence + 1)
-                      for r in stale])
-        for r in stale:
-            self._delete(self.version_path(name, r["version"]))
-        return [r["version"] for r in stale]
-
-    def publish_all(self, tables: dict[str, DataFrame]) -> dict[str, Published]:
-        return {name: self.write_if_changed(df, name) for name, df in tables.items()}
+        self._append([(name, "prune", version, text, now, new_run(now)) for version, text in stale])
+        for version, _ in stale:
+            remove_path(self.spark, self.version_path(name, version))
+        return [version for version, _ in stale]
 
 
 def changed_any(results: Iterable[Published]) -> bool:

@@ -65,14 +65,29 @@ def scan_year_folders(spark: SparkSession, root: str, file_pattern: str,
                       schema: T.StructType | None = None) -> DataFrame:
     """All files of one kind under ``root/<year>/``, with the year in column ``updated``.
 
-    A folder counts when its name holds digits; ``file_pattern`` is a glob on file names.
+    A folder counts when its name holds digits; ``file_pattern`` is a glob on file names. Columns
+    go by name: each file is read by its own header and files are stacked, absent columns null.
+    With a ``schema`` the columns are its own, cast to its types.
     """
-    reader = spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", file_pattern)
-    if schema is not None:
-        reader = reader.schema(schema)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", file_pattern).load(
+        f"{root}/*[0-9]*")
+    # one path per landed file; headers of files of one kind may differ
+    paths = sorted(r["path"] for r in listed.select("path").collect())
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(tuple(read_csv(spark, path).columns), []).append(path)
     year = F.regexp_extract("_metadata.file_path", r"/[^/]*?(\d+)[^/]*/[^/]+$", 1)
-    df = reader.csv(f"{root}/*[0-9]*")
-    return df.select(year.alias("updated"), *[F.col(f"`{c}`") for c in df.columns])
+    parts = []
+    for header, files in by_header.items():
+        df = read_csv(spark, files)
+        parts.append(df.select(year.alias("updated"), *[F.col(f"`{c}`") for c in header]))
+    if schema is None:
+        return stack(*parts, fill=True)
+    kinds = {f.name: f.dataType for f in schema}
+    parts = [p.select("updated", *[F.col(f"`{c}`").cast(kinds[c]) for c in p.columns if c in kinds])
+             for p in parts]
+    empty = spark.createDataFrame([], T.StructType([T.StructField("updated", T.StringType()), *schema]))
+    return stack(empty, *parts, fill=True)
 
 
 def union_files_by_name(*files: DataFrame, columns: Iterable[str]) -> DataFrame:
