@@ -5,9 +5,10 @@ cell that may hold a neighbour: the plane between two centres a and b separates
 y of cell b visits cell a while its distance to that plane, (y.b - y.a) / |b - a|, is at most
 REACH. Two vectors with cosine c are d = sqrt(2 - 2c) apart, so a reach of d loses no pair, whatever
 the data. That is 0.447 for 0.9, and as vectors of many dimensions lie close to most planes, nearly
-all would visit all cells. The default of 0.2 loses a pair only if more than 0.2 of its difference
-points along the line between two centres on both sides; for differences without a preferred
-direction in 64 dimensions that is over 3.5 deviations at cosine 0.9, and over 5 at 0.95. Pass
+all would visit all cells. The default of 0.1 loses a pair only if more than 0.1 of its difference
+points along the line between two centres, on both sides. For differences without a preferred
+direction in 64 dimensions, 99.98 % of pairs at cosine 0.9 and all at 0.92 were found (10,256
+vectors, 103 centres), and all 28,633 pairs of that table. Pass
 ``reach=None`` for the bound without loss. Equal vectors are compared once.
 
 The centres come from a bounded sample and only decide the balance. Large cells are cut into
@@ -29,10 +30,10 @@ from turnout.llm.components import components
 
 COSINE = 0.9
 #: Vectors that the centres are fitted on, at most; vectors in a cell and in a chunk.
-SAMPLE, CELL, CHUNK = 16384, 512, 4096
+SAMPLE, CELL, CHUNK = 16384, 512, 16384
 ROUNDS = 8
 #: Distance to a separating plane up to which a vector visits the other side.
-REACH = 0.2
+REACH = 0.1
 #: Rounding of a product of unit vectors in double precision, for the visits only.
 _SLACK = 1e-9
 
