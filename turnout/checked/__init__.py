@@ -9,4 +9,5 @@ from turnout.checked import (  # noqa: F401
     rows,
     storage,
     studio,
+    uploads,
 )

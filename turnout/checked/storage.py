@@ -242,3 +242,21 @@ def _(t):
     root = new_folder(t, "data")
     upload = t.extract("contacts").select("id", "tags", "row_id")
     return t.spark.read.parquet(versions.archive_upload(upload, root, "2026", "contacts"))
+
+
+@query("half_a_run", """
+SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM training) x) AS n_training
+FROM (SELECT DISTINCT * FROM studio) y""")
+def _(t):
+    target = versions.VersionedTables(t.spark, new_folder(t, "versions"))
+    target.publish_all({"studio": t.studio, "training": t.training})
+    lost = t.training.select("id", "date", F.raise_error(F.lit("lost")).cast("string").alias("training"))
+    try:
+        target.publish_all({"studio": t.studio.limit(1), "training": lost})
+    except Exception as e:  # noqa: BLE001  the loss is the point
+        if "lost" not in str(e):
+            raise
+    # a run that is lost after its first table leaves both tables of the run before
+    n = target.read("training").count()
+    return target.read("studio").agg(F.count("*").alias("n_rows")).withColumn(
+        "n_training", F.lit(n).cast("long"))

@@ -33,6 +33,8 @@ CITIZEN_SHEET = [
     "id", "sex", "age", "ethnic_group", "ethnicity", "iwi_flag", "iwi", "nsn", "residency",
     "status", "acad_prog", "level", "degree", "department", "faculty",
 ]
+# sheets of which an absent column means something: no co-curricula flag, or staff
+OWN_COLUMNS = (("tags", "Tags"), ("people", "No citizenship"))
 # the sheet that an upload of a kind must hold
 REQUIRED = {kind: fixed.REQUIRED_SHEETS.get(kind, fixed.REQUIRED_SHEETS["sign_in"])
             for kind in ("tags", "contacts", "maker_sign_ins", "hub_sign_ins")}
@@ -158,8 +160,8 @@ def accept_upload(df: DataFrame, root: str, kind: str, sheet: str, year: str,
 def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFrame:
     """All years of a sheet, with the year in ``updated``; empty when it never landed.
 
-    The columns are declared, so years may differ in the columns they have. The one tag list
-    keeps the columns that it came with: whether it has the co-curricula flag makes a difference.
+    The columns are declared, so years may differ in the columns they have. Where it makes a
+    difference whether a sheet has a column at all, it keeps the columns that it came with.
     """
     names = [*LANDED_COLUMNS[kind, sheet], WORKBOOK]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -167,11 +169,10 @@ def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFr
     found = landed_sheets(spark, root).filter((F.col("kind") == kind) & (F.col("sheet") == sheet)).collect()
     if not found:
         return spark.createDataFrame([], schema)
-    if kind == "tags":
-        return spark.read.parquet(found[0]["path"]).withColumn(WORKBOOK, F.lit(found[0]["updated"]))
     plain = T.StructType(schema.fields[:-1])
-    return stack(*[spark.read.schema(plain).parquet(r["path"]).withColumn(WORKBOOK, F.lit(r["updated"]))
-                   for r in sorted(found, key=lambda r: r["updated"])])
+    reader = spark.read if (kind, sheet) in OWN_COLUMNS else spark.read.schema(plain)
+    return stack(*[reader.parquet(r["path"]).withColumn(WORKBOOK, F.lit(r["updated"]))
+                   for r in sorted(found, key=lambda r: r["updated"])], fill=True)
 
 
 def load_landed(spark: SparkSession, root: str) -> Landed:

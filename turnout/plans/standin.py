@@ -7,14 +7,15 @@ Few functions differ in name; those are the entries of ``DIALECTS``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout import schemas
-from turnout.plans import etl
-from turnout.plans.dashboards import Dashboards
+from turnout.plans import etl, landing
+from turnout.plans.dashboards import Dashboards, published
 from turnout.session import own_path
 from turnout.sinks.versions import VersionedTables, write_table
 from turnout.sources.tables import scan_published, workbooks_with_sheet
@@ -294,6 +295,71 @@ class StandIn:
         self._once("build", build)
         return self._once(f"built {name}", lambda: None)
 
+    def upload_all(self) -> str:
+        """Land everything the way uploads come, and return the folder.
+
+        A workbook of people for each year, contacts, both forms, then a tag list and a training
+        workbook, each followed by a replacement under another year.
+        """
+        root = f"{self._root}/uploads-{uuid.uuid4().hex}"
+        people = self.people_sheets.withColumn(
+            "residency", F.when(F.col("sheet") == "No Affil", F.col("citizenship")).otherwise(F.col("residency")))
+        years = [r["updated"] for r in people.select("updated").distinct().orderBy("updated").collect()]
+        for year in years:
+            own = people.filter(F.col("updated") == year)
+            landing.accept_workbook(
+                {sheet: own.filter(F.col("sheet") == sheet).select(
+                    *[F.col(c).alias(h) for h, c in headers.items()])
+                 for sheet, headers in UPLOAD_HEADERS.items()}, root, "people", year)
+
+        def upload(df: DataFrame, kind: str, year: str, sheet: str, names: dict[str, str]) -> None:
+            landing.accept_upload(df.select(*[F.col(c).alias(h) for h, c in names.items()]),
+                                  root, kind, sheet, year)
+
+        upload(self.extract("contacts"), "contacts", "1998", "contacts",
+               {"ID": "row_id", "UoA ID": "id", "Tags": "tags"})
+        questions = {"Timestamp": "timestamp", "Student ID": "id", "What are you here for today:": "purpose"}
+        upload(self.extract("hub_sign_ins"), "hub_sign_ins", "2024", "Form Responses 1", questions)
+        upload(self.extract("maker_sign_ins"), "maker_sign_ins", "2024", "Form Responses 1", {
+            **questions, "Which equipment will you use?": "equipment", "Any comments?": "comment"})
+        tags = self.extract("tag_list")
+        for year, rows in (("1994", tags), ("1995", tags.filter(~F.col("tags").endswith(" ECONOMY")))):
+            upload(rows, "tags", year, "Tags", {f"Column {n}": c for n, c in enumerate(etl.TAG_SHEET)})
+        training = self.extract("training_sheets")
+        headers = {"Date.Stamp...do.not.copy.into.here": "date", "ID": "id", "Tag": "tag",
+                   "Tag.1": "tag_1", "Tag.2": "tag_2"}
+        sheets = {flag: training.filter(F.col("sheet") == flag).select(
+            *[F.col(c).alias(h) for h, c in headers.items()]) for flag in ("A", "N", "R")}
+        first, second = landing.EQUIPMENT_SHEETS[:2]
+        landing.accept_workbook({first: sheets["A"], second: sheets["N"]}, root, "training", "1994")
+        landing.accept_workbook({first: sheets["R"]}, root, "training", "1995")
+        return root
+
+    def _publish_uploads(self, root: str) -> Dashboards:
+        target = VersionedTables(self.spark, f"{root}/published")
+        etl.publish(landing.load_landed(self.spark, root), target)
+        return published(target)
+
+    def _uploaded(self) -> tuple[str, Dashboards]:
+        return self._once("uploads", lambda: (lambda root: (root, self._publish_uploads(root)))(
+            self.upload_all()))
+
+    @property
+    def uploaded(self) -> Dashboards:
+        """Dashboards over what the uploads were published as."""
+        return self._uploaded()[1]
+
+    @property
+    def uploaded_without_flag(self) -> Dashboards:
+        """The same after one more upload: the whole tag list without the co-curricula column."""
+        def again() -> Dashboards:
+            root, _ = self._uploaded()
+            tags = self.extract("tag_list").select(*[c for c in etl.TAG_SHEET if c != "co_curricula"])
+            landing.accept_upload(tags, root, "tags", "Tags", "1996")
+            return self._publish_uploads(root)
+
+        return self._once("uploads without flag", again)
+
     def land(self) -> None:
         """Write all landed extracts, unless this application already did."""
         for name in EXTRACTS:
@@ -353,6 +419,18 @@ class StandIn:
         )
 
 
+def _headers(names: dict[str, str], columns) -> dict[str, str]:
+    """Upload header -> column, the last header of each column."""
+    found = {new: old for old, new in names.items() if new in columns}
+    return {old: new for new, old in found.items()}
+
+
+UPLOAD_HEADERS = {
+    "Student": _headers(schemas.PEOPLE_COLUMNS, schemas.STUDENT_SHEET),
+    "Applicant": _headers(schemas.APPLICANT_COLUMNS, schemas.APPLICANT_SHEET),
+    "No Affil": _headers(schemas.NO_AFFILIATION_COLUMNS, schemas.NO_AFFILIATION_SHEET),
+    "No citizenship": _headers(schemas.PEOPLE_COLUMNS, ["id", "sex", "age", "ethnicity", "residency", "degree"]),
+}
 EXTRACTS = ("people_sheets", "contacts", "maker_sign_ins", "hub_sign_ins", "tag_list",
             "training_sheets")
 CITIZEN_SHEET = ["id", "birthdate", "sex", "age", "ethnicity", "residency", "degree"]
