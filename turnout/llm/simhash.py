@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
 
     Of several rows with that id one stays. Rows without an id stay, as nothing names them.
