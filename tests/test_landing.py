@@ -126,7 +126,31 @@ def test_uploads_are_checked(spark, tmp_path):
                               ["ID", "UoA ID", "Tags"])
     with pytest.raises(ColumnMismatch, match="no sheet"):
         landing.accept_upload(df, str(tmp_path), "people", "Notes", "2019")
+    with pytest.raises(ColumnMismatch, match="needs a sheet named 'Tags'"):
+        landing.accept_workbook({}, str(tmp_path), "tags", "2019")
+    with pytest.raises(ColumnMismatch, match="2 questions with 'ID'"):
+        landing.accept_upload(frame(spark, ["Timestamp", "ID", "Your ID", "What for today"], *[("1",) * 4]),
+                              str(tmp_path), "hub_sign_ins", "Form Responses 1", "2019")
+    covid = ["Timestamp", "Had COVID?", "Student ID", "What are you here for today:"]
+    assert landing.question_names(covid, landing.HUB_FORM)["Student ID"] == "id"
     with pytest.raises(ColumnMismatch, match="for today"):
         landing.accept_upload(frame(spark, ["Timestamp", "Student ID"], ("1", "2")),
                               str(tmp_path), "hub_sign_ins", "Form Responses 1", "2019")
     assert not list((tmp_path).glob("landed/*"))
+
+
+def test_a_workbook_replaces_the_earlier_one_whole(spark, tmp_path, rows):
+    root = str(tmp_path)
+    no_affil = ["ID", "Sex", "NSN", "Ethnic.grp.description", "Citizenship.Passport", "Descr"]
+    people = {"Student": frame(spark, STUDENT, student("1", "1193")),
+              "No Affil": frame(spark, no_affil, ("6", "M", "n", "g", "AUS", "h"))}
+    landing.accept_workbook(people, root, "people", "2019")
+    landing.accept_workbook({"Student": people["Student"]}, root, "people", "2020")
+    assert rows(landing.read_landed(spark, root, "people", "Student"), "updated") == [("2019",), ("2020",)]
+    landing.accept_workbook({"Student": frame(spark, STUDENT, student("2", "1193"))}, root, "people", "2019")
+    assert rows(landing.read_landed(spark, root, "people", "Student"), "updated", "id") == [
+        ("2019", "2"), ("2020", "1")]
+    assert landing.read_landed(spark, root, "people", "No Affil").isEmpty()
+    landing.accept_upload(frame(spark, TAGS[:9] + TAGS[10:], *[("2019 A",) * 12]), root, "tags", "Tags", "2019")
+    landing.accept_upload(frame(spark, TAGS, *[("2019 B",) * 13]), root, "tags", "Tags", "2018")
+    assert rows(landing.read_landed(spark, root, "tags", "Tags"), "tags") == [("2019 B",)]

@@ -9,6 +9,8 @@ from turnout.plans import registry
 SMALLEST = "/root/testdata/sf0.001"
 QUERIES = {k: v for k, v in entry_points.queries().items() if k in registry.QUERIES}
 TEXTS = entry_points.oracle_sql()
+# queries without any row at this scale
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def engine():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
     problem = compare(QUERIES[name](spark, SMALLEST), engine, TEXTS.get(name))
-    assert problem in ("", "EMPTY")
+    assert problem == ("EMPTY" if name in EMPTY else "")
 
 
 def test_entry(spark):

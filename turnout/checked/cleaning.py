@@ -8,6 +8,7 @@ from turnout.operators import filters
 from turnout.operators.identity import surrogate_ids, with_surrogate_id
 from turnout.plans import etl
 from turnout.plans.registry import query
+from turnout.sinks.versions import with_prefix
 
 
 @query("explode_tags", """
@@ -169,8 +170,7 @@ def _(t):
 SELECT p_partkey, p_name FROM part WHERE left(p_name, 5) = 'blue '""")
 def _(t):
     # a literal prefix needs no pattern, hence no escaping
-    parts = t.source("part").select("p_partkey", "p_name")
-    return parts.filter(F.col("p_name").startswith("blue "))
+    return with_prefix(t.source("part").select("p_partkey", "p_name"), "blue ", "p_name")
 
 
 @query("surrogate_id", """

@@ -73,6 +73,21 @@ def _(t):
     return to_destination(t, training=True)
 
 
+ANY_LABEL = TO_WITH_TRAINING.replace(f"AND programme IN ({LABELS})", "AND programme IS NOT NULL")
+
+
+@query("journey_events_all_programmes", f"{ANY_LABEL} SELECT * FROM events_of")
+def _(t):
+    return journey.journey_events(t.slice("journey"), t.selection, t.training, t.studio, YEARS,
+                                  None, destination=DESTINATION)
+
+
+@query("journey_total_choices", f"""{TO_WITH_TRAINING}
+SELECT DISTINCT count(*) AS total FROM events_of GROUP BY id""")
+def _(t):
+    return journey.total_choices(to_destination(t, training=True))
+
+
 @query("journey_events_plain", f"{TO_ANCHOR} SELECT * FROM events_of")
 def _(t):
     return to_destination(t)

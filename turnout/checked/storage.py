@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from turnout.functions.fingerprint import FINGERPRINT, content_fingerprint
+from turnout.plans import landing
 from turnout.plans.registry import query
 from turnout.plans.standin import COLUMNS
 from turnout.session import own_path
@@ -123,6 +124,20 @@ def _(t):
     return tables.sheet_choices(tables.sheet_catalog(t.people_sheets))
 
 
+@query("required_sheets_of_uploads", """
+SELECT export AS kind, bool_or(tags IS NOT NULL) AS has_sheet FROM contacts WHERE export = 'F' GROUP BY export
+UNION ALL SELECT 'tags', FALSE""")
+def _(t):
+    root = new_folder(t, "uploads")
+    contacts = t.extract("contacts").select(
+        F.col("row_id").alias("ID"), F.col("id").alias("UoA ID"), F.col("tags").alias("Tags"))
+    landing.accept_upload(contacts, root, "contacts", "contacts", "2026")
+    catalog = landing.landed_sheets(t.spark, root)
+    return t.spark.createDataFrame(
+        [("F", tables.has_required_sheet(catalog, "contacts")),
+         ("tags", tables.has_required_sheet(catalog, "tags"))], "kind string, has_sheet boolean")
+
+
 @query("required_sheets_none", "SELECT 'None' AS sheet FROM training_sheets LIMIT 1")
 def _(t):
     return tables.sheet_choices(t.extract("training_sheets"))
