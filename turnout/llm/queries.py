@@ -11,6 +11,7 @@ from turnout.llm import (
     decontaminate,
     embeddings,
     mixing,
+    oracles,
     passages,
     quality,
     simhash,
@@ -22,7 +23,12 @@ from turnout.llm import (
 from turnout.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_embedding_near_duplicates": oracles.EMBEDDINGS,
+    "op3_suffix_array_dedup": oracles.SUBSTRINGS,
+    "op7_substring_dedup": oracles.PASSAGES,
+    "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def query(run):
