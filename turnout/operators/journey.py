@@ -223,13 +223,15 @@ def journey_edges(events: DataFrame, selection: DataFrame, from_source: bool = F
     return most_frequent(with_edge_labels(counted, selection))
 
 
-def journey_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def journey_graph(edges: DataFrame, limit: int = fixed.EDGE_LIMIT) -> tuple[DataFrame, DataFrame]:
     """Nodes with 0-based numbers, and the edges with the numbers of their ends.
 
     Nodes are numbered in the order edges name them, all sources before all targets; an open
-    end is a node too. ``edges`` is the limited edge list, so it fits one row: nodes and
-    numbers then come from array functions, and the journey behind it is evaluated once.
+    end is a node too. ``edges`` is the list that was limited to the most frequent ones; no more
+    than ``limit`` are taken, so it fits one row: nodes and numbers then come from array
+    functions, and the journey behind it is evaluated once.
     """
+    edges = edges.limit(limit)
     columns = [c for c in edges.columns if c != "count"]
     keys = ["source", "target", "source_label", "target_label"]
     listed = F.struct((-F.col("count")).alias("_rank"), *keys,
