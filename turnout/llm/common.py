@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows, about the first by a hash of ``columns``: a bounded sample to fit on.
+
+    Larger tables are thinned by the hash first, so no task and not the driver gets ``n`` rows
+    from every partition."""
+    total, order = rows.count(), F.xxhash64(*columns, F.lit(17))
+    if total > 4 * n:
+        share = math.ceil((1 << 30) * 2 * n / total)
+        rows = rows.where(F.shiftrightunsigned(order, 34) < share)
+    return rows.orderBy(order).limit(n)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -40,9 +40,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _bucket_filter(hashes: DataFrame) -> np.ndarray:
     """Which of BUCKETS buckets hold a value of ``hashes``' only column: a bounded collect."""
     name = hashes.columns[0]
-    rows = hashes.select(F.col(name).bitwiseAND(BUCKETS - 1).alias("b")).distinct().collect()
+    rows = hashes.select(F.col(name).bitwiseAND(BUCKETS - 1).alias("b")).distinct().toArrow()
     held = np.zeros(BUCKETS, bool)
-    held[[r.b for r in rows]] = True
+    held[rows.column("b").to_numpy()] = True
     return held
 
 

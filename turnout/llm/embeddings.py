@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import local_components, stored
+from turnout.llm.common import first_by_hash, local_components, stored
 from turnout.llm.components import components
 
 COSINE = 0.9
@@ -143,7 +143,7 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
            reach: float | None) -> DataFrame:
     """Rows (a, n) with the links of each vector in a cell, and (a, b) that span groups."""
     spark = own.sparkSession
-    some = own.orderBy(F.xxhash64("key")).limit(sample).select("v").toArrow()  # bounded
+    some = first_by_hash(own.select("key", "v"), sample, "key").select("v").toArrow()  # bounded
     points = _units(some.column("v").to_pylist())
     k = max(1, min(len(points), math.ceil(n / cell)))
     shared = spark.sparkContext.broadcast(centres(points, k))  # at most ``sample`` vectors

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import free_name, held_out, logistic, text_steps, with_values
+from turnout.llm.common import first_by_hash, free_name, held_out, logistic, text_steps, with_values
 from turnout.llm.words import NONSPACE, Words
 
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         F.length(F.coalesce("text", F.lit(""))) <= chars)
-    few = chosen.orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
+    few = first_by_hash(chosen, sample, "doc_id", "quality")
     rows = texts.join(F.broadcast(few), "doc_id").select(F.col("quality").cast("long").alias("quality"), "text")
 
     def run(batches):

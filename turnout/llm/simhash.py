@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import local_components, stored, text_steps
+from turnout.llm.common import first_by_hash, local_components, stored, text_steps
 from turnout.llm.components import components
 
 WORDS = 4
@@ -171,7 +171,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, c
           sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) between ``n`` distinct fingerprints ``fp`` that span each group of links."""
     spark, masks = distinct.sparkSession, _masks(radius)
-    rows = distinct.orderBy(F.xxhash64("fp")).limit(sample).collect()  # bounded by the parameter
+    rows = first_by_hash(distinct.select("fp"), sample, "fp").collect()  # bounded by the parameter
     points = np.array([r.fp for r in rows], np.int64).view(np.uint64)
     small = max(4, leaf * len(points) // max(1, n))
     reach = radius // len(masks)

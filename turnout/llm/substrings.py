@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import repeats
-from turnout.llm.common import partitions
+from turnout.llm.common import first_by_hash, partitions
 from turnout.llm.repeats import Kind
 
 WINDOW, CORE = 100, 50
@@ -113,8 +113,10 @@ def _rows_as_text(table: np.ndarray) -> np.ndarray:
 
 def _splitters(docs: DataFrame, kind: Kind, parts: int, sample: int) -> np.ndarray:
     """Range bounds of the suffixes' first ``core`` bytes from a bounded sample, for balance."""
-    texts = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"),
-                        F.xxhash64("id", "th").alias("h")).orderBy("h").limit(sample).collect()
+    few = first_by_hash(docs.select("doc_id"), sample, "doc_id").select(F.col("doc_id").alias("chosen"))
+    texts = docs.join(F.broadcast(few.distinct()), F.col("doc_id") == F.col("chosen")).select(
+        F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).limit(4 * sample).collect()
+    texts.sort()
     values, bounds, _ = kind.symbols([r.text.encode() for r in texts])
     found = repeats.blocks(values, bounds, kind)
     if not len(found.at):
@@ -244,7 +246,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE) ->
     kind, spark = Kind(False, window, core), docs.sparkSession
     parts, rows = partitions(spark), repeats.keyed(docs)
     found, frequent = repeats.candidates(rows, kind)
-    runs = repeats.beside_texts(rows, found, _RUNS, _runs(kind, frequent, parts, _splitters(rows, kind, parts, SAMPLE)))
+    runs = repeats.beside_texts(rows, found, _RUNS, _runs(kind, frequent, parts, _splitters(docs, kind, parts, SAMPLE)))
     marked = runs.repartitionById(parts, "part").mapInArrow(_merged(kind, parts), repeats._PLACES)
 
     def finish(state, steps):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import free_name, held_out, logistic, stored, text_steps, with_values
+from turnout.llm.common import first_by_hash, free_name, held_out, logistic, stored, text_steps, with_values
 from turnout.llm.words import ALNUM, Words
 
 BUCKETS = 1 << 22
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     spark = docs.sparkSession
     chosen = labels.where(~held_out(4, 2) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("labelled"), (F.col("toxic") > 0).cast("long").alias("label")).distinct()
-    few = stored(chosen.orderBy(F.xxhash64("labelled"), "label").limit(sample), "labelled")
+    few = stored(first_by_hash(chosen, sample, "labelled", "label"), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     match = F.col("doc_id") == F.col("labelled")
     learn = texts.join(F.broadcast(few), match)  # at most ``sample`` rows of two numbers
