@@ -16,7 +16,7 @@ from turnout.session import own_path
 #: Words of the contracts that split on ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one step of a task holds as arrays; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
