@@ -1,0 +1,76 @@
+import re
+
+import numpy as np
+import pytest
+
+from turnout.llm import simhash, similar
+
+
+def grams(text, words=5):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def brute(texts, similarity=0.8):
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def corpus():
+    rng = np.random.default_rng(4)
+    words = [f"W{i}é" for i in range(3000)]
+    texts = [None, "", " \t\n", "One two", "one  TWO", "one two three four five", "One Two three four five six"]
+    line = " ".join(rng.choice(words, 12))
+    for k in range(60):  # copies with 0 to 8 changed words, a sentence more or less, another beginning
+        base = list(rng.choice(words, rng.integers(20, 400)))
+        for changes in range(k % 4):
+            copy = list(base)
+            for _ in range(rng.integers(0, 9)):
+                copy[rng.integers(len(copy))] = str(rng.integers(1000))
+            cut = int(rng.integers(0, 12))
+            texts.append(" ".join(copy[cut:] + list(rng.choice(words, rng.integers(0, 12)))))
+        texts.append(line + " " + " ".join(base))
+    hot = list(rng.choice(words, 150))
+    for _ in range(120):  # a large group in which most pairs are below the bound
+        copy = list(hot)
+        for _ in range(rng.integers(0, 8)):
+            copy[rng.integers(len(copy))] = str(rng.integers(1000))
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("sizes", [{}, {"long": 4, "chunk": 20}, {"sample": 30, "long": 1000}])
+def test_groups_equal_brute_force(spark, sizes):
+    texts = corpus()
+    expected = brute(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    out = {r.key: r.root for r in similar.groups(frame, **sizes).collect()}
+    least = {}
+    for k in range(len(texts)):
+        least.setdefault(out[k], k)
+    assert [least[out[k]] for k in range(len(texts))] == [expected.index(r) for r in expected]
+    assert 100 < len(set(expected)) < len(texts) - 50
+
+
+def test_deduplicate_takes_five_words_and_jaccard(documents):
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    for i in (20, 60):
+        near[i] = "changed"  # 86 of 106 shingles
+    for i in (20, 50, 80):
+        far[i] = "other"  # 81 of 111
+    kept = simhash.deduplicate(documents((1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 2000, rng.integers(1, 600)).astype(np.uint64) * np.uint64(977)) for _ in "ab")
+        assert similar.apart(similar.parities(a), similar.parities(b)) <= len(np.setxor1d(a, b))

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnout.llm import similar
 from turnout.llm.common import first_by_hash, local_components, stored, text_steps
 from turnout.llm.components import components
 
@@ -250,13 +251,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
 
+    Groups are chains of texts with a Jaccard similarity of at least ``similarity`` over shingles of
+    ``words`` words (see ``similar``), not of close fingerprints: of two texts with a similarity of
+    0.8 the fingerprints are expected to differ in some 10 bits, which no radius tells from others
+    without losing pairs.
     Of several rows with that id one stays. Rows without an id stay, as nothing names them.
     """
-    found = near_duplicates(docs, words, radius)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    found = stored(similar.groups(texts, words, similarity), "similar")
+    least = found.groupBy("root").agg(F.min("key").alias("least"))
+    gone = found.join(least, "root").where("key != least").select(F.col("key").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return named.unionByName(kept.where("doc_id IS NULL"))
