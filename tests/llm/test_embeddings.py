@@ -49,3 +49,21 @@ def test_near_duplicates(spark, chunk, reach):
 
 def test_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"cell": 50, "chunk": 30}])
+def test_default_loses_no_pair_of_a_dense_cluster(spark, sizes):
+    """A hot cluster just above the bound with a centre for every few members."""
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=64)
+    hot /= np.linalg.norm(hot)
+    noise = rng.normal(size=(500, 64)) / 8
+    rows = [(k, [float(e) for e in hot + 0.34 * x]) for k, x in enumerate(noise)]
+    rows += [(1000 + k, [float(e) for e in rng.normal(size=64)]) for k in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = embeddings.near_duplicates(frame, **sizes)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert links[:500].sum() > 1000
+    assert {r.vec_id: r.n_links for r in out.collect()} == {i: int(n) for (i, _), n in zip(rows, links)}

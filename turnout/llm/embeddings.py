@@ -3,17 +3,15 @@
 Unit vectors are dealt to the cell of their most similar centre. A vector also visits every other
 cell that may hold a neighbour: the plane between two centres a and b separates their cells, and
 y of cell b visits cell a while its distance to that plane, (y.b - y.a) / |b - a|, is at most
-REACH. Two vectors with cosine c are d = sqrt(2 - 2c) apart, so a reach of d loses no pair, whatever
-the data. That is 0.447 for 0.9, and as vectors of many dimensions lie close to most planes, nearly
-all would visit all cells. The default of 0.1 loses a pair only if more than 0.1 of its difference
-points along the line between two centres, on both sides. For differences without a preferred
-direction in 64 dimensions, 99.98 % of pairs at cosine 0.9 and all at 0.92 were found (10,256
-vectors, 103 centres), and all 28,633 pairs of that table. Pass
-``reach=None`` for the bound without loss. Equal vectors are compared once.
+``reach``. Two vectors with cosine c are d = sqrt(2 - 2c) apart, so a reach of d, which is the
+default, loses no pair, whatever the data. Nor does a vector visit a cell if its angle to the centre
+exceeds that of all members by more than acos(c). In many dimensions neither keeps vectors without
+clusters apart, so cells are few and large, and at worst all vectors are compared. A smaller ``reach``
+is faster and loses pairs. Equal vectors are compared once.
 
 The centres come from a bounded sample and only decide the balance. Large cells are cut into
-chunks whose pairs are separate tasks. A task returns the number of links of each vector, and
-links that span its groups, never all pairs.
+chunks of members and chunks of visitors. Pairs of chunks with members are separate tasks. A task
+returns the number of links of each vector, and links that span its groups, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +28,12 @@ from turnout.llm.components import components
 
 COSINE = 0.9
 #: Vectors that the centres are fitted on, at most; vectors in a cell and in a chunk.
-SAMPLE, CELL, CHUNK = 16384, 512, 16384
+SAMPLE, CELL, CHUNK = 16384, 65536, 16384
 ROUNDS = 8
-#: Distance to a separating plane up to which a vector visits the other side.
-REACH = 0.1
+#: Distance to a separating plane up to which a vector visits the other side; None loses no pair.
+REACH = None
+#: More than the chunks of a cell.
+_CHUNKS = 1 << 24
 #: Rounding of a product of unit vectors in double precision, for the visits only.
 _SLACK = 1e-9
 
@@ -150,41 +150,70 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     exact = math.sqrt(2 - 2 * least)
     reach = exact if reach is None else min(reach, exact)
 
+    def angle(cosine):
+        return np.arccos(np.clip(cosine, -1, 1))
+
+    def widest(batches):
+        found = np.full(k, -1.0)
+        for batch in batches:
+            x = _units(batch.column("v").to_pylist())
+            for low in range(0, len(x), 1024):
+                close = x[low:low + 1024] @ shared.value.T
+                np.maximum.at(found, close.argmax(axis=1), angle(close.max(axis=1)))
+        some = np.flatnonzero(found >= 0)
+        yield pa.record_batch([pa.array(some), pa.array(found[some])], ["cell", "angle"])
+
+    # a number for each centre; a cell without members has no visitors
+    radius = np.full(k, -math.inf)
+    for r in own.mapInArrow(widest, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+        radius[r.cell] = r.angle
+    least_close = np.cos(np.clip(radius + math.acos(least) + 1e-6, 0, math.pi)) - _SLACK
+    least_close[np.isinf(radius)] = 2
+
     def routed(batch):
         found, x = shared.value, _units(batch.column("v").to_pylist())
+        gaps = np.sqrt(np.maximum(2 - 2 * np.clip(found @ found.T, -1, 1), 0))
         for low in range(0, len(x), 1024):
             part = x[low:low + 1024]
             close = part @ found.T
             home = close.argmax(axis=1)
             best = close[np.arange(len(part)), home]
-            gap = np.sqrt(np.maximum(2 - 2 * np.clip(found @ found.T, -1, 1), 0))[home]
-            visit = _visits(best[:, None], close, gap, reach)
+            visit = _visits(best[:, None], close, gaps[home], reach)
+            visit &= close >= least_close
             visit[np.arange(len(part)), home] = True
             row, to = np.nonzero(visit)
             yield row + low, to, home[row], x
 
     def count(batches):
-        sums = np.zeros(k, np.int64)
+        sums = np.zeros((2, k), np.int64)
         for batch in batches:
-            for _, to, _, _ in routed(batch):
-                sums += np.bincount(to, minlength=k)
-        some = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(some), pa.array(sums[some])], ["cell", "n"])
-
-    # a row for each large cell: at most as many as centres
-    large = {r.cell: -(-r.n // chunk) for r in own.mapInArrow(count, "cell long, n long").groupBy("cell").agg(
-        F.sum("n").alias("n")).where(F.col("n") > chunk).collect()}
+            for _, to, home, _ in routed(batch):
+                for side in (0, 1):
+                    sums[side] += np.bincount(to[(to == home) == (side == 0)], minlength=k)
+        some = np.flatnonzero(sums.sum(axis=0))
+        yield pa.record_batch([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])],
+                              ["cell", "members", "visitors"])
+
+    # a row for each large cell, at most as many as centres: chunks of members, of visitors
+    members, visitors = np.ones(k, np.int64), np.zeros(k, np.int64)
+    for r in own.mapInArrow(count, "cell long, members long, visitors long").groupBy("cell").agg(
+            F.sum("members").alias("members"), F.sum("visitors").alias("visitors")).where(
+            F.col("members") + F.col("visitors") > chunk).collect():
+        members[r.cell], visitors[r.cell] = max(1, -(-r.members // chunk)), -(-r.visitors // chunk)
 
     def deal(batches):
         for batch in batches:
             keys, weight = batch.column("key").to_numpy(), batch.column("copies").to_numpy()
             for row, to, cell_of, x in routed(batch):
                 home = to == cell_of
-                g = np.array([large.get(int(c), 1) for c in to])
-                own = (keys[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
+                m, v = members[to], visitors[to]
+                mixed = (keys[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                # visitors of a small cell are in its only chunk
+                own = np.where(home | (v == 0), mixed % m, m + mixed % np.maximum(v, 1))
+                g = np.where(home, m + v, m)  # visitors meet members only
                 for j in range(int(g.max(initial=1))):
                     on = np.flatnonzero(j < g)
-                    pair = np.minimum(own[on], j) * 4096 + np.maximum(own[on], j)
+                    pair = np.minimum(own[on], j) * _CHUNKS + np.maximum(own[on], j)
                     vectors = pa.FixedSizeBinaryArray.from_buffers(
                         pa.binary(8 * x.shape[1]), len(on), [None, pa.py_buffer(np.ascontiguousarray(x[row[on]]).tobytes())])
                     yield pa.record_batch(
@@ -199,7 +228,7 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
         order, links, moved, root = _compare(
             x, table.column("copies").to_numpy(), table.column("home").to_numpy(zero_copy_only=False),
             table.column("chunk").to_numpy(), table.column("own_cell").to_numpy(), key[0].as_py(),
-            pair // 4096 == pair % 4096, least, shared.value, reach)
+            pair // _CHUNKS == pair % _CHUNKS, least, shared.value, reach)
         keys = keys[order]
         on = np.flatnonzero(links)
         return pa.table({
