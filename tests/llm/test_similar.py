@@ -74,3 +74,10 @@ def test_parities_never_exceed_the_difference():
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 2000, rng.integers(1, 600)).astype(np.uint64) * np.uint64(977)) for _ in "ab")
         assert similar.apart(similar.parities(a), similar.parities(b)) <= len(np.setxor1d(a, b))
+
+
+def test_rows_with_repeated_or_no_ids(documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = documents((1, a), (7, a), (7, b), (9, c), (9, c), (None, b), (None, b + " more"), (None, b))
+    out = [sorted((r.doc_id or 0, r.text[0]) for r in simhash.deduplicate(docs.repartition(n)).collect()) for n in (1, 5)]
+    assert out[0] == out[1] == [(0, "b"), (1, "a"), (7, "b"), (9, "c")]

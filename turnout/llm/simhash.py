@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import similar
-from turnout.llm.common import first_by_hash, local_components, stored, text_steps
+from turnout.llm.common import first_by_hash, free_name, local_components, stored, text_steps
 from turnout.llm.components import components
 
 WORDS = 4
@@ -258,12 +258,16 @@ def deduplicate(docs: DataFrame, words: int = similar.WORDS, similarity: float =
     ``words`` words (see ``similar``), not of close fingerprints: of two texts with a similarity of
     0.8 the fingerprints are expected to differ in some 10 bits, which no radius tells from others
     without losing pairs.
-    Of several rows with that id one stays. Rows without an id stay, as nothing names them.
+    Of several texts with that id the one whose row has the least hash stays, and rows that are
+    equal in all columns are one. Rows without an id are judged among themselves, one of each group
+    stays: a copy without an id doesn't displace a named document, nor the other way round.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
-    found = stored(similar.groups(texts, words, similarity), "similar")
-    least = found.groupBy("root").agg(F.min("key").alias("least"))
-    gone = found.join(least, "root").where("key != least").select(F.col("key").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    key = free_name(docs, "row_key")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    # a null doesn't change the hash, so each column is preceded by whether it is null
+    rows = docs.withColumn(key, F.xxhash64(*[x for c in plain for x in (F.col(c).isNull(), F.col(c))]))
+    found = stored(similar.groups(rows.select(F.col(key).alias("key"), "text"), words, similarity), "similar")
+    named = rows.select(F.col(key).alias("key"), "doc_id").join(found.distinct(), "key")
+    best = named.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    kept = rows.join(best.select(F.col("best.key").alias(key)), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)
