@@ -53,6 +53,28 @@ def test_null_ids(documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 7]
 
 
+def test_deduplicate_keeps_the_first_of_each_group(documents):
+    rng = np.random.default_rng(6)
+    words = [f"W{i}é" for i in range(60)]
+    pairs = [(4, None), (2, ""), (3, " \t\n"), (9, " x y"), (9, " x y"), (7, "X  y")]
+    for k in range(30):
+        copy = list(rng.choice(words, rng.integers(200, 300)))
+        for id_ in (500 - k, 700 + k):
+            pairs.append((id_, " ".join(copy)))
+            copy[rng.integers(len(copy))] = "changed"
+    kept = simhash.deduplicate(documents(*pairs, extra=True))
+    assert kept.columns == documents(extra=True).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _, root in brute(pairs) if i == root})
+    assert simhash.deduplicate(documents()).count() == 0
+
+
+def test_deduplicate_with_maps_and_repeated_ids(spark):
+    rows = [(1, "a b", {"k": 1}), (1, "a b", {"k": 1}), (1, "a b", {"k": 2}), (1, "other words", {"k": 1}),
+            (2, "other words", None), (None, "a b", None), (None, "a b", {"k": 3})]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row_key map<string, int>"))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == [(0, "a b"), (1, "a b"), (1, "other words")]
+
+
 def test_links_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**64, 900, dtype=np.uint64)

@@ -88,6 +88,18 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def text_slices(batch: pa.RecordBatch, text: str = "text"):
+    """(rows of ``batch``, their texts as bytes) of at most STEP_BYTES of text, or of one longer
+    text; null is empty."""
+    texts = batch.column(text).cast(pa.large_binary())
+    sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), np.int64, len(texts))
+    low = 0
+    while low < batch.num_rows:
+        high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), STEP_BYTES, "right")))
+        yield batch.slice(low, high - low), [t or b"" for t in texts.slice(low, high - low).to_pylist()]
+        low = high
+
+
 def with_values(docs: DataFrame, names: list[str], values) -> DataFrame:
     """``docs`` with double columns ``names``: ``values(texts)`` gives an array for each.
 
@@ -98,18 +110,10 @@ def with_values(docs: DataFrame, names: list[str], values) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts),
-                                np.int64, len(texts))
-            low = 0
-            while low < batch.num_rows:
-                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), STEP_BYTES, "right")))
-                found = values([t or b"" for t in texts.slice(low, high - low).to_pylist()])
-                part = batch.slice(low, high - low)
+            for part, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *[pa.array(v, pa.float64()) for v in found]],
+                    [*part.columns, *[pa.array(v, pa.float64()) for v in values(texts)]],
                     [*part.schema.names, *names])
-                low = high
 
     return docs.mapInArrow(run, schema)
 

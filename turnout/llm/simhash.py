@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm import similar
-from turnout.llm.common import first_by_hash, free_name, local_components, stored, text_steps
+from turnout.llm.common import first_by_hash, free_name, local_components, stored, text_slices
 from turnout.llm.components import components
 
 WORDS = 4
@@ -32,6 +31,8 @@ SEED = 42
 SAMPLE = 1 << 16
 #: Fingerprints that a leaf should hold, and that a task compares with one another.
 LEAF, CHUNK = 512, 16384
+#: A pair of chunks is the number first * PAIRS + second.
+PAIRS = 1 << 31
 
 _BYTES = np.array([(b + 32 if 65 <= b <= 90 else b) for b in range(256)], np.uint8).tobytes()
 
@@ -75,15 +76,17 @@ def fingerprint_texts(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
+    """The columns of ``docs`` but ``text``, and ``fp``: the fingerprint as a signed long."""
+    names = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*names, F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
-        for keys, texts in text_steps(batches):
-            yield pa.record_batch([pa.array(keys, pa.int64()),
-                                   pa.array(fingerprint_texts(texts, words).view(np.int64))],
-                                  ["doc_id", "fp"])
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                prints = pa.array(fingerprint_texts(texts, words).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], prints], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, schema)
 
 
 class Tree:
@@ -210,7 +213,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, c
                     out = []
                     for k in range(int(g.max())):
                         with_ = np.flatnonzero(k < g)
-                        pair = np.minimum(own[with_], k) * 4096 + np.maximum(own[with_], k)
+                        pair = np.minimum(own[with_], k) * PAIRS + np.maximum(own[with_], k)
                         out.append((row[with_], leaves[with_], home[with_], pair, own[with_]))
                 for r, lf, h, pair, own in out:
                     yield pa.record_batch([pa.array(lf), pa.array(pair), pa.array(own),
@@ -221,13 +224,24 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, c
         pair = key[1].as_py()
         a, b = _links(table.column("fp").to_numpy().view(np.uint64),
                       table.column("home").to_numpy(zero_copy_only=False),
-                      table.column("chunk").to_numpy(), pair // 4096, pair % 4096, radius)
+                      table.column("chunk").to_numpy(), pair // PAIRS, pair % PAIRS, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = distinct.mapInArrow(deal, "leaf long, pair long, chunk long, home boolean, fp long")
     return dealt.groupBy("leaf", "pair").applyInArrow(compare, "a long, b long")
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of each distinct fingerprint in ``prints``; groups share a root."""
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    n = distinct.count()
+    if not n:
+        return distinct.select("fp", F.col("fp").alias("root"))
+    found = components(links(distinct, n, radius))
+    return distinct.join(found, distinct.fp == found.node, "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -235,39 +249,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     ``component_id`` is the smallest doc_id of the group, null if all its ids are null. An empty
     table gives no rows; further columns of ``docs`` are ignored.
     """
-    prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    n = distinct.count()
-    found = components(links(distinct.select("fp"), n, radius)) if n else None
-    if found is None:
-        roots = distinct.select("fp", F.col("fp").alias("root"), "least")
-    else:
-        roots = distinct.join(found, distinct.fp == found.node, "left").select(
-            "fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = stored(roots, "roots")
+    prints = stored(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), words), "fingerprints")
+    roots = stored(_grouped(prints, radius).join(
+        prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = roots.join(least, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = similar.WORDS, similarity: float = similar.SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
 
-    Groups are chains of texts with a Jaccard similarity of at least ``similarity`` over shingles of
-    ``words`` words (see ``similar``), not of close fingerprints: of two texts with a similarity of
-    0.8 the fingerprints are expected to differ in some 10 bits, which no radius tells from others
-    without losing pairs.
-    Of several texts with that id the one whose row has the least hash stays, and rows that are
-    equal in all columns are one. Rows without an id are judged among themselves, one of each group
-    stays: a copy without an id doesn't displace a named document, nor the other way round.
+    Groups are those of ``near_duplicates``. Of several texts with that id the one whose row has
+    the least hash stays, and rows that are equal in all columns are one. Rows without an id are
+    judged among themselves, one of each group stays: a copy without an id doesn't displace a named
+    document, nor the other way round.
     """
-    key = free_name(docs, "row_key")
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
-    # a null doesn't change the hash, so each column is preceded by whether it is null
-    rows = docs.withColumn(key, F.xxhash64(*[x for c in plain for x in (F.col(c).isNull(), F.col(c))]))
-    found = stored(similar.groups(rows.select(F.col(key).alias("key"), "text"), words, similarity), "similar")
-    named = rows.select(F.col(key).alias("key"), "doc_id").join(found.distinct(), "key")
-    best = named.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "key")).alias("best"))
-    kept = rows.join(best.select(F.col("best.key").alias(key)), key, "left_semi")
-    return kept.dropDuplicates([key]).select(*docs.columns)
+    # a null doesn't change a hash, so each column is preceded by whether it is null; maps have none
+    parts = [x for c, kind in docs.dtypes for x in (
+        F.col(c).isNull(), F.to_json(F.struct(c)) if "map<" in kind else F.col(c))]
+    keys = [free_name(docs, "row_key"), free_name(docs, "row_check")]
+    rows = docs.withColumns({keys[0]: F.xxhash64(*parts), keys[1]: F.xxhash64(F.lit(words), *parts[::-1])})
+    prints = stored(fingerprints(rows.select("doc_id", *[F.col(k).alias(n) for k, n in zip(keys, "kc", strict=True)],
+                                             "text"), words), "fingerprints")
+    named = prints.join(stored(_grouped(prints, radius), "roots"), "fp")
+    best = named.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "k", "c")).alias("best"))
+    best = best.select(F.col("best.k").alias(keys[0]), F.col("best.c").alias(keys[1]))
+    return rows.join(best, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
