@@ -19,6 +19,7 @@ from turnout.llm import (
     tokens,
     toxicity,
     urls,
+    whitening,
 )
 from turnout.llm.common import held_out, read_table
 
@@ -111,3 +112,8 @@ def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.without_repeats(read_table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components(read_table(spark, folder, "embeddings"))
