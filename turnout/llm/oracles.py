@@ -73,3 +73,45 @@ per_item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTI
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per_doc USING (doc_id) LEFT JOIN per_item USING (doc_id)"""
+
+
+_ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(name: str, pattern: str) -> str:
+    """(doc_id, text between matches, match) by place: matches are put between marks, then split there."""
+    return f"""
+{name}_parts AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (
+  SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS p
+  FROM d) y),
+{name}_all AS (SELECT doc_id, split_part(x, chr(57345), 1) AS m, i, sum(length(x) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (
+  PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM {name}_parts),
+{name} AS (SELECT doc_id, m, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS z FROM {name}_all WHERE i > 1)"""
+
+
+# marks are characters of the private use area
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(57344)) AS owner, coalesce(text, '') AS t FROM documents),
+{_matches("assigned", _ASSIGN)},
+{_matches("access", "AKIA[A-Z0-9]+")},
+{_matches("hexes", "[0-9a-f]+")},
+{_matches("tokens", "[A-Za-z0-9_-]+")},
+base AS (SELECT doc_id, 0 AS k, a, z, regexp_extract(m, '{_ASSIGN}', 2) AS v FROM assigned
+         WHERE length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6
+         UNION ALL SELECT doc_id, 1, a, z, m FROM access WHERE length(m) >= 20
+         UNION ALL SELECT doc_id, 2, a, z, m FROM hexes WHERE length(m) >= 24),
+bare AS (SELECT doc_id, 3 AS k, a, z, m AS v FROM tokens t WHERE length(m) >= 12
+         AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND len(list_distinct(string_split(m, ''))) >= 8
+         AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.a < t.z AND t.a < b.z)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+counts AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT t) AS repositories, min(k) < 3 AS named
+           FROM every JOIN d USING (doc_id) GROUP BY v),
+spans AS (SELECT doc_id, k, a, z, (['assign', 'access', 'hex', 'live'])[k + 1] || ':' || a || ':' || z AS s
+          FROM every JOIN counts USING (v)
+          WHERE k < 3 OR owners = 1 AND repositories <= 10 AND (length(v) >= 20 OR named)),
+texts AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+                 count(*) FILTER (k = 2) AS n_hex, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+                 string_agg(s, ',' ORDER BY a, k) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (doc_id)"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout.llm import (
+    credentials,
     decontaminate,
     embeddings,
     mixing,
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {
     "op3_suffix_array_dedup": oracles.SUBSTRINGS,
     "op7_substring_dedup": oracles.PASSAGES,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op12_secret_scan": oracles.SECRETS,
 }
 
 
@@ -117,3 +119,13 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.components(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = credentials.scan(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "live")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(credentials.listed(base), 256).alias("base_sha256"),
+                        credentials.listed("spans").alias("spans"))
