@@ -23,11 +23,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends in files that outlive
     executors. Each call has a folder of its own."""
     path = own_path(df.sparkSession, f"llm/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,14 +88,14 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def text_slices(batch: pa.RecordBatch, text: str = "text"):
-    """(rows of ``batch``, their texts as bytes) of at most STEP_BYTES of text, or of one longer
+def text_slices(batch: pa.RecordBatch, text: str = "text", step: int = STEP_BYTES):
+    """(rows of ``batch``, their texts as bytes) of at most ``step`` bytes of text, or of one longer
     text; null is empty."""
     texts = batch.column(text).cast(pa.large_binary())
     sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), np.int64, len(texts))
     low = 0
     while low < batch.num_rows:
-        high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), STEP_BYTES, "right")))
+        high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), step, "right")))
         yield batch.slice(low, high - low), [t or b"" for t in texts.slice(low, high - low).to_pylist()]
         low = high
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout.llm import (
+    alignment,
     credentials,
     decontaminate,
     embeddings,
@@ -129,3 +130,8 @@ def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
               for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(credentials.listed(base), 256).alias("base_sha256"),
                         credentials.listed("spans").alias("spans"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(read_table(spark, folder, "documents"))
