@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FINGERPRINT = ["n_rows", "hash_sum", "hash_xor", "columns"]
 
@@ -45,14 +47,11 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     ).withColumn("columns", F.lit(schema))
 
 
-def observed_fingerprint(df: DataFrame) -> tuple[DataFrame, Callable[[], str]]:
-    """``df``, watched, and what gives its fingerprint once it was written.
+def observed_figures(df: DataFrame) -> tuple[DataFrame, Callable[[], Figures]]:
+    """``df``, watched, and what gives its figures once it was written.
 
-    The figures are gathered by the job that evaluates the frame, so nothing is read twice. As
-    text they equal ``fingerprint_text``.
+    They are gathered by the job that evaluates the frame, so nothing is read twice.
     """
-    fields = sorted(df.schema.fields, key=lambda f: f.name)
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
     seen, h = Observation(), row_hash(df)
     low = h.bitwiseAND(0xFFFFFFFF).cast("decimal(20,0)")
     high = F.shiftright(h, 32).cast("decimal(20,0)")
@@ -60,15 +59,50 @@ def observed_fingerprint(df: DataFrame) -> tuple[DataFrame, Callable[[], str]]:
         seen, F.count(F.lit(1)).alias("n_rows"), F.sum(high).alias("high"), F.sum(low).alias("low"),
         F.bit_xor(h).alias("hash_xor"))
 
-    def text() -> str:
+    def figures() -> Figures:
         r = seen.get
-        sums = f"{r['high'] or 0}:{r['low'] or 0}"
-        return f"{r['n_rows']}|{sums}|{r['hash_xor'] or 0}|{schema}"
+        return Figures(r["n_rows"], int(r["high"] or 0), int(r["low"] or 0), r["hash_xor"] or 0)
 
-    return watched, text
+    return watched, figures
 
 
 def fingerprint_text(df: DataFrame) -> str:
     """The fingerprint as one text; runs a job and brings one row to the driver."""
     r = content_fingerprint(df).first()
     return "|".join(str(r[c]) for c in FINGERPRINT)
+
+
+@dataclass(frozen=True)
+class Figures:
+    """Row count, sums of both halves of the row hashes and their exclusive or. Figures of parts
+    add up to those of the whole."""
+
+    n_rows: int = 0
+    high: int = 0
+    low: int = 0
+    hash_xor: int = 0
+
+    def __add__(self, other: Figures) -> Figures:
+        return Figures(self.n_rows + other.n_rows, self.high + other.high, self.low + other.low,
+                       self.hash_xor ^ other.hash_xor)
+
+    def text(self, schema: StructType) -> str:
+        """What ``fingerprint_text`` gives for rows with these figures."""
+        columns = ",".join(f"{f.name}:{f.dataType.simpleString()}"
+                           for f in sorted(schema.fields, key=lambda f: f.name))
+        return f"{self.n_rows}|{self.high}:{self.low}|{self.hash_xor}|{columns}"
+
+
+def part_figures(df: DataFrame, part: Column) -> dict[str, Figures]:
+    """Figures of the rows of each value of ``part``, of which there are few (years of a table).
+
+    Like the content fingerprint: longs within a task, decimals over one row per task and part.
+    """
+    hashed = df.select(part.alias("_part"), row_hash(df).alias("_hash"), F.spark_partition_id().alias("_task"))
+    per_task = hashed.groupBy("_part", "_task").agg(
+        F.count("*").alias("_rows"), F.bit_xor("_hash").alias("_xor"),
+        F.sum(F.shiftright("_hash", 32)).alias("_high"), F.sum(F.col("_hash").bitwiseAND(0xFFFFFFFF)).alias("_low"))
+    total = per_task.groupBy("_part").agg(
+        F.sum("_rows").alias("n"), F.bit_xor("_xor").alias("x"),
+        *[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("_high", "_low")])
+    return {r["_part"]: Figures(r["n"], int(r["_high"]), int(r["_low"]), r["x"]) for r in total.collect()}

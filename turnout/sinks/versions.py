@@ -1,7 +1,9 @@
-"""Sinks: plain tables, and versioned tables that are written only when content changes.
+"""Sinks: plain tables, and versioned tables of which only what changed is written.
 
-A versioned table is a folder ``<root>/<table>/version=<run>/`` per stored version and one log of
-small rows under ``<root>/_log``. A run writes the data of all its tables first and then appends
+A version is a manifest: the parts of the table (its years, or the whole), each with its content
+figures and the folder that holds it. Parts that an earlier kept version has are referred to, so a
+run writes ``<root>/<table>/version=<run>/`` with the new parts alone. Manifests are rows of one
+small log under ``<root>/_log``. A run writes the data of all its tables first and then appends
 one file of log rows that names a version of each table, changed or not. So readers see the
 tables of one run together, never a half-written version, and a lost run leaves nothing but
 unreferenced folders. The previous version stays in place as the mirror; nothing is copied.
@@ -11,19 +13,22 @@ Runs have ids of their own, so two publishers never write to one folder; the lat
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Collection, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnout import fixed_values as fixed
-from turnout.functions.fingerprint import observed_fingerprint
+from turnout.functions.fingerprint import Figures, observed_figures, part_figures
 from turnout.operators.groups import newest_in_group
 from turnout.schemas import PUBLISHED
 from turnout.session import path_exists, remove_path
@@ -31,12 +36,15 @@ from turnout.sources.tables import CSV_OPTIONS
 
 LOG_SCHEMA = (
     "name string, action string, version string, fingerprint string, stored_at timestamp_ntz, "
-    "run string"
+    "run string, columns string, parts array<struct<part: string, folder: string, n_rows: long, "
+    "high: decimal(38,0), low: decimal(38,0), hash_xor: long>>"
 )
 # log files from which the log is written anew as one
 COMPACT_FROM = 64
 # the column that the files of a published table are split by, which its readers filter on
 LAYOUT = {"participation": "year", "studio": "year"}
+# the folder of rows without a value for that column
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 KEEP_VARIABLE = "TURNOUT_KEEP_VERSIONS"
 
@@ -154,6 +162,13 @@ def unseen_versions(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     return all_but(once, catalog, ["name", "fingerprint"])
 
 
+def together(*steps: Callable) -> list:
+    """Results of independent steps, run side by side so that the jobs of one fill the cores that
+    another leaves idle. The first failure is raised once all have ended."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 @dataclass(frozen=True)
 class Published:
     changed: bool
@@ -162,6 +177,29 @@ class Published:
     pruned: list[str]
 
 
+@dataclass(frozen=True)
+class Part:
+    part: str
+    folder: str
+    figures: Figures
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A version as the log has it. Those of older logs name no parts: they are one folder."""
+
+    version: str
+    fingerprint: str
+    columns: str | None
+    parts: tuple[Part, ...]
+
+    @staticmethod
+    def of(row) -> Stored:
+        parts = [Part(p["part"], p["folder"], Figures(p["n_rows"], int(p["high"]), int(p["low"]), p["hash_xor"]))
+                 for p in row["parts"] or []]
+        return Stored(row["version"], row["fingerprint"], row["columns"], tuple(parts))
+
+
 class VersionedTables:
     """Versioned tables under one root folder."""
 
@@ -175,29 +213,41 @@ class VersionedTables:
         return f"{self.root}/_log"
 
     def log(self) -> DataFrame:
-        """Every store, publish and prune so far: a handful of rows per run. Rows are distinct,
-        as a compaction that was cut short leaves them in two files."""
+        """Every store, publish and prune that still matters: a handful of rows per run. Rows are
+        distinct, as a compaction that was cut short leaves them in two files."""
         if not path_exists(self.spark, self.log_path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path).distinct()
 
     def _append(self, rows: list[tuple]) -> None:
         """One file, so its rows are seen together."""
-        frame = self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1)
-        frame.write.mode("append").parquet(self.log_path)
+        width = len(T.StructType.fromDDL(LOG_SCHEMA))
+        frame = self.spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], LOG_SCHEMA)
+        frame.coalesce(1).write.mode("append").parquet(self.log_path)
 
     def compact(self) -> None:
-        """Write the log as one file more, then remove the files it was made of."""
-        before = sorted(self.spark.read.parquet(self.log_path).inputFiles())
+        """Write what is in force as one file more, then remove the files it was made of.
+
+        In force are the versions that were not pruned, and each table's last two publishes with
+        different versions. So the log stays as small as the number of tables and kept versions.
+        Files go oldest first: a prune never goes before the version that it ended.
+        """
+        files = self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
+        before = files.groupBy("_metadata.file_path").agg(
+            F.max("_metadata.file_modification_time").alias("at")).orderBy("at", "file_path").collect()
         if len(before) < COMPACT_FROM:
             return
-        self.log().coalesce(1).write.mode("append").parquet(self.log_path)
-        for path in before:
-            remove_path(self.spark, path)
+        live = []
+        for history in self._history().values():
+            kept = self._kept(history)
+            live += [r for r in history if r["action"] == "store" and r["version"] in kept]
+            live += self._published(history)[-2:]
+        self._append([tuple(r) for r in live])
+        for r in before:
+            remove_path(self.spark, r["file_path"])
 
     def _history(self) -> dict[str, list]:
-        """Log rows of each table, oldest first. The log of published tables is small: rows of
-        pruned versions aside, a few per table and kept run matter, and all stay readable."""
+        """Log rows of each table, oldest first; compaction keeps them few."""
         history: dict[str, list] = {}
         for r in self.log().orderBy("stored_at", "run", F.col("action").desc()).collect():
             history.setdefault(r["name"], []).append(r)
@@ -218,6 +268,13 @@ class VersionedTables:
                 rows.append(r)
         return rows
 
+    @staticmethod
+    def _kept(history: list) -> dict[str, Stored]:
+        """Stored versions that were not pruned, oldest first."""
+        gone = {r["version"] for r in history if r["action"] == "prune"}
+        return {r["version"]: Stored.of(r) for r in history
+                if r["action"] == "store" and r["version"] not in gone}
+
     def current_versions(self) -> dict[str, str]:
         """The version of each table as the last run left it, from one look at the log."""
         published = {n: self._published(h) for n, h in self._history().items()}
@@ -232,85 +289,167 @@ class VersionedTables:
         return published[-2]["version"] if len(published) > 1 else None
 
     def version_path(self, name: str, version: str) -> str:
+        """Where a run writes the parts that are new with it."""
         return f"{self.root}/{name}/version={version}"
 
+    def parts(self, name: str, version: str | None = None) -> dict[str, Part]:
+        """The parts of a version by name (a year, or nothing for a table that is one part)."""
+        return {p.part: p for p in self._find(name, version).parts}
+
+    def _find(self, name: str, version: str | None) -> Stored:
+        history = self._history().get(name, [])
+        published = self._published(history)
+        version = version or (published[-1]["version"] if published else None)
+        found = self._kept(history).get(version)
+        if found is None:
+            raise LookupError(f"no version {version or ''} of {name}")
+        return found
+
     def read(self, name: str, version: str | None = None) -> DataFrame:
-        version = version or self.current_version(name)
-        if version is None:
-            raise LookupError(f"no version of {name}")
-        path = self.version_path(name, version)
-        found = self.spark.read.parquet(path)
+        """The current version of a table, or another one; years are partitions of the scan."""
+        found = self._find(name, version)
+        if found.columns is None:
+            path = self.version_path(name, found.version)
+            seen = self.spark.read.parquet(path).schema
+            return self.spark.read.schema(self._declared(name, seen)).parquet(path)
+        # the columns of the version (a tag list may lack one) with their declared types
+        schema = self._declared(name, T.StructType.fromJson(json.loads(found.columns)))
+        if not found.parts:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        if LAYOUT.get(name) in schema.names:
+            reader = reader.option("basePath", f"{self.root}/{name}")
+        return reader.parquet(*[f"{self.root}/{name}/{p.folder}" for p in found.parts]).select(*schema.names)
+
+    @staticmethod
+    def _declared(name: str, schema: T.StructType) -> T.StructType:
         declared = PUBLISHED.get(name)
         if declared is None:
-            return found
-        # the columns of the version (a tag list may lack one) with their declared types
-        types = [declared[f.name] if f.name in declared.fieldNames() else f for f in found.schema]
-        return self.spark.read.schema(T.StructType(types)).parquet(path)
+            return schema
+        return T.StructType([declared[f.name] if f.name in declared.fieldNames() else f for f in schema])
 
     def write_if_changed(self, df: DataFrame, name: str) -> Published:
         """Publish one table unless its current version has the same content."""
         return self.publish_all({name: df})[name]
 
-    def _write(self, df: DataFrame, name: str, version: str) -> str:
-        """Write a version in its table's layout; the fingerprint is observed on the way."""
+    def _write(self, df: DataFrame, name: str, version: str, key: str | None) -> None:
+        """Write rows of a version in their table's layout."""
+        if key is None:
+            df.write.parquet(self.version_path(name, version))
+        else:  # large years over several files, small ones merged
+            df.hint("rebalance", key).write.partitionBy(key).parquet(self.version_path(name, version))
+
+    def _first(self, df: DataFrame, name: str, run: str, key: str | None) -> dict[str, Figures]:
+        """Write a table that has no version yet. Figures are observed on the way; those of years
+        are read off what was written."""
+        if key is None:
+            watched, figures = observed_figures(df)
+            self._write(watched, name, run, None)
+            return {"": figures()}
+        self._write(df, name, run, key)
+        path = self.version_path(name, run)
+        if not self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+                "pathGlobFilter", "*.parquet").load(path).select("path").isEmpty():
+            return part_figures(self.spark.read.schema(df.schema).parquet(path), _part_of(key))
+        return {}
+
+    def _publish(self, df: DataFrame, name: str, run: str, history: list,
+                 only: Collection[str] | None) -> Stored:
+        """The version that ``df`` makes; parts that no kept version has are written."""
         key = LAYOUT.get(name)
-        if key in df.columns:
-            df = df.hint("rebalance", key)  # large years over several files, small ones merged
-        watched, text = observed_fingerprint(df)
-        writer = watched.write
-        if key in df.columns:
-            writer = writer.partitionBy(key)
-        writer.parquet(self.version_path(name, version))
-        return text()
-
-    def publish_all(self, tables: dict[str, DataFrame]) -> dict[str, Published]:
+        key = key if key in df.columns else None
+        if key is not None and df.schema[key].dataType == T.StringType():
+            df = df.withColumn(key, F.nullif(F.col(key), F.lit("")))  # a folder has no empty name
+        columns, kept = df.schema.json(), self._kept(history)
+        published = self._published(history)
+        current = kept.get(published[-1]["version"]) if published else None
+        place = f"version={run}" if key is None else f"version={run}/{key}="
+        if only is not None and (current is None or key is None or current.columns != columns):
+            raise ValueError(f"parts of {name} need a version with the same columns")
+        if current is None or current.columns is None:
+            figures = self._first(df, name, run, key)
+            parts = [Part(p, place + p, f) for p, f in figures.items()]
+        else:
+            figures = part_figures(df, _part_of(key)) if key else {"": Figures()} | part_figures(df, F.lit(""))
+            have = {(p.part, p.figures): p.folder for s in kept.values() if s.columns == columns for p in s.parts}
+            new = [p for p, f in figures.items() if (p, f) not in have]
+            if new:
+                self._write(df.filter(_part_of(key).isin(new)) if key else df, name, run, key)
+            parts = [Part(p, have.get((p, f), place + p), f) for p, f in figures.items()]
+            if only is not None:
+                parts += [p for p in current.parts if p.part not in only and p.part not in figures]
+        whole = sum((p.figures for p in parts), Figures())
+        return Stored(run, whole.text(df.schema), columns, tuple(sorted(parts, key=lambda p: p.part)))
+
+    def publish_all(self, tables: Mapping[str, DataFrame],
+                    only: Mapping[str, Collection[str]] | None = None) -> dict[str, Published]:
         """Publish the tables of one run together.
 
-        Each frame is evaluated once, by writing it. A version that turns out to be no news is
-        removed again; content equal to an older kept version makes that one current. One append
-        then names the current version of every table of the run. All but the newest versions
-        are pruned, sparing current and mirror.
+        A table without a version is written as it is evaluated. Otherwise the figures of its parts
+        come first, and a second look at the frame writes just the parts that no kept version has: a
+        year that changed, or nothing. Content equal to an older kept version makes that one
+        current. One append then names the current version of every table of the run. All but the
+        newest versions are pruned, sparing current and mirror. Where ``only`` names parts of a
+        table, its frame holds just those, and the others stay as they are.
         """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        run = new_run(now)
-        prints = {name: self._write(df, name, run) for name, df in tables.items()}
-        history, rows, found = self._history(), [], {}
-        for name, text in prints.items():
+        run, history, only = new_run(now), self._history(), only or {}
+        made = dict(zip(tables, together(*[
+            lambda n=name, df=df: self._publish(df, n, run, history.get(n, []), only.get(n))
+            for name, df in tables.items()]), strict=True))
+        rows, found = [], {}
+        for name, version in made.items():
             mine = history.get(name, [])
-            published = self._published(mine)
-            gone = {r["version"] for r in mine if r["action"] == "prune"}
-            kept = {r["fingerprint"]: r["version"] for r in mine
-                    if r["action"] == "store" and r["version"] not in gone}
+            published, text = self._published(mine), version.fingerprint
+            kept = {s.fingerprint: s.version for s in self._kept(mine).values()}
             same = bool(published) and published[-1]["fingerprint"] == text
             stored = text not in kept
-            version = run if stored else published[-1]["version"] if same else kept[text]
+            chosen = run if stored else published[-1]["version"] if same else kept[text]
             if stored:
-                rows.append((name, "store", version, text, now, run))
-            rows.append((name, "publish", version, text, now, run))
-            found[name] = (not same, stored, version)
+                parts = [(p.part, p.folder, p.figures.n_rows, Decimal(p.figures.high), Decimal(p.figures.low),
+                          p.figures.hash_xor) for p in version.parts]
+                rows.append((name, "store", chosen, text, now, run, version.columns, parts))
+            rows.append((name, "publish", chosen, text, now, run))
+            found[name] = (not same, stored, chosen)
         self._append(rows)
         for name, (_, stored, _) in found.items():
             if not stored:
                 remove_path(self.spark, self.version_path(name, run))
-        pruned = {name: self.prune(name) for name in tables}
+        history = self._history()
+        pruned = {name: self.prune(name, history.get(name, [])) for name in tables}
         self.compact()
         return {name: Published(*f, pruned[name]) for name, f in found.items()}
 
-    def prune(self, name: str) -> list[str]:
-        """Log and delete versions beyond the newest ``keep``; current and mirror stay."""
-        history = self._history().get(name, [])
-        if self.keep < 1 or sum(r["action"] == "store" for r in history) <= self.keep:
+    def prune(self, name: str, history: list | None = None) -> list[str]:
+        """Log and delete versions beyond the newest ``keep``; current and mirror stay, and so does
+        every folder that a kept version refers to."""
+        history = self._history().get(name, []) if history is None else history
+        kept = self._kept(history)
+        if self.keep < 1 or len(kept) <= self.keep:
             return []
         spared = {r["version"] for r in self._published(history)[-2:]}
-        stale = stale_versions(self.versions(name), self.keep).collect()
-        stale = sorted((r["version"], r["fingerprint"]) for r in stale if r["version"] not in spared)
+        newest = sorted(((r["stored_at"], r["version"]) for r in history
+                         if r["action"] == "store" and r["version"] in kept), reverse=True)
+        stale = sorted({v for _, v in newest[self.keep:]} - spared)
         if not stale:
             return []
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        self._append([(name, "prune", version, text, now, new_run(now)) for version, text in stale])
-        for version, _ in stale:
-            remove_path(self.spark, self.version_path(name, version))
-        return [version for version, _ in stale]
+        self._append([(name, "prune", v, kept[v].fingerprint, now, new_run(now)) for v in stale])
+        alive = {v: s for v, s in kept.items() if v not in stale}
+        used = {p.folder for s in alive.values() for p in s.parts}
+        roots = {f.split("/")[0] for f in used} | {f"version={v}" for v in alive}
+        for folder in {f"version={v}" for v in stale} | {p.folder for v in stale for p in kept[v].parts} - used:
+            root = folder.split("/")[0]
+            if root not in roots:
+                remove_path(self.spark, f"{self.root}/{name}/{root}")
+            elif folder != root:
+                remove_path(self.spark, f"{self.root}/{name}/{folder}")
+        return stale
+
+
+def _part_of(key: str):
+    """The part that a row belongs to, named like its folder."""
+    return F.coalesce(F.col(key).cast("string"), F.lit(NO_VALUE))
 
 
 def changed_any(results: Iterable[Published]) -> bool:
