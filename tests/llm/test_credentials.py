@@ -92,7 +92,7 @@ def test_no_rows(spark):
 
 
 def test_query(spark):
-    folder = "/root/testdata/sf0.001"
+    folder = "/root/testdata/sf0.01"  # the smallest with credentials
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()
     spans = brute([(r.text, r.source) for r in docs])
     out = {r.doc_id: r for r in queries.QUERIES["op12_secret_scan"](spark, folder).collect()}
@@ -102,4 +102,6 @@ def test_query(spark):
         base = ",".join(s for s in line if not s.startswith("live"))
         assert out[r.doc_id].spans == ",".join(line)
         assert out[r.doc_id].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert out[r.doc_id].n_hex == sum(s.startswith("hex") for s in line)
+        assert [out[r.doc_id][f"n_{k}"] for k in ("assign", "access", "hex")] == [
+            sum(s.startswith(k) for s in line) for k in ("assign", "access", "hex")]
+    assert sum(r.n_assign for r in out.values()) and sum(r.n_hex for r in out.values())
