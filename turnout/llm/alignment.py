@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ STEP = 1 << 20
 #: Neighbouring fragments that one task composes.
 FAN = 16
 #: Stretches that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Id pairs whose counts are sent to all tasks, at most; others are joined.
 HOT = 1 << 17
 #: Bytes that a range sees of what follows it, as a pre-token depends on the next characters.
@@ -134,6 +135,11 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else text.encode())
             if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)):
                 joint.update(zip(text, text[1:], strict=False))
+        self.a_long, self.b_long = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([*map(len, self.b_bytes)])
+        for i, t in self.a_bytes.items():
+            self.a_long[i] = len(t)
+        self.a_text = _written(len(self.a_long), "", ";", ",")
+        self.b_text = _written(len(self.b_bytes), "|", ",")
         # a filter by hash: what it wrongly holds only makes stretches longer
         self.joint = np.zeros(1 << 20, bool)
         first, second = (np.array([ord(p[k]) for p in joint], np.uint32) for k in (0, 1))
@@ -168,46 +174,26 @@ class Aligner:
         out[1:] = ~self.joint[self._place(points[:-1], points[1:])]
         return out
 
-    def _tokens(self, texts: list[str], cuts: list[list[int]]) -> list[tuple[list[int], list[int], bool]]:
-        """(ids of A, ids of B, whether their bytes are the text) of stretches whose pre-tokens
-        begin at ``cuts``."""
-        parts = [t[i:j] for t, c in zip(texts, cuts, strict=True) for i, j in zip(c, [*c[1:], len(t)], strict=True)]
-        coded = iter(self.a.encode_batch_fast(parts, add_special_tokens=False))
-        out = []
-        for text, cut, b in zip(texts, cuts, self.b.encode(texts, num_threads=1), strict=True):
-            a = [i for _ in cut for i in next(coded).ids]
-            raw = text.encode()
-            out.append((a, b, b"".join(map(self.a_bytes.__getitem__, a)) == raw
-                        and b"".join(map(self.b_bytes.__getitem__, b)) == raw))
-        return out
-
     def _ends(self, a: list[int], b: list[int], base: int) -> Open:
         return Open(a, (base + np.cumsum([len(self.a_bytes[i]) for i in a], dtype=np.int64)).tolist(),
                     b, (base + np.cumsum([len(self.b_bytes[i]) for i in b], dtype=np.int64)).tolist())
 
-    def _learn(self, hashes: np.ndarray, stretches) -> np.ndarray:
-        """Rows of the tables for distinct ``hashes``; ``stretches`` gives texts and cuts of some."""
+    def _learn(self, hashes: np.ndarray, text: str, low: np.ndarray, high: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Rows of the tables for distinct ``hashes``, of the stretches ``text[low:high]``.
+
+        ``cuts`` are the places where A's pre-tokens begin, both ends of stretches among them.
+        """
         if len(self.known) > REMEMBERED:
             self._forget()
         there = np.searchsorted(self.known, hashes)
         new = np.flatnonzero((there == len(self.known)) | (np.append(self.known, np.uint64(0))[there] != hashes))
         if len(new):
-            counts, right, pairs, sizes, texts = [], [], [], [], []
-            for a, b, ok in self._tokens(*stretches(new)):
-                groups = self._ends(a, b, 0).cut()[0] if ok else []
-                links = [self.pair(*x) for g in groups for x in g.links()]
-                counts.append((len(a), len(b), len(groups), len(links)))
-                right.append(ok)
-                pairs += links
-                sizes.append(len(links))
-                texts.append(b";".join(g.text() for g in groups))
-            size = np.array(sizes, np.int64)
-            at = len(self.pairs) + np.cumsum(size) - size
+            counts, right, links, texts = self._aligned(text, low[new], high[new], cuts)
+            size = counts[:, 3]
+            self.at = np.append(self.at, len(self.pairs) + np.cumsum(size) - size)
+            self.size, self.pairs = np.append(self.size, size), np.append(self.pairs, links)
             rows = len(self.row) + np.arange(len(new))
-            self.counts = np.concatenate((self.counts, np.array(counts, np.int64)))
-            self.right = np.append(self.right, np.array(right))
-            self.pairs = np.append(self.pairs, np.array(pairs, np.int64))
-            self.at, self.size = np.append(self.at, at), np.append(self.size, size)
+            self.counts, self.right = np.concatenate((self.counts, counts)), np.append(self.right, right)
             held = np.empty(len(texts), object)
             held[:] = texts
             self.texts = np.append(self.texts, held)
@@ -215,10 +201,54 @@ class Aligner:
             there = np.searchsorted(self.known, hashes)
         return self.row[there]
 
+    def _aligned(self, text: str, low: np.ndarray, high: np.ndarray, cuts: np.ndarray):
+        """(counts, whether the tokens' bytes are the text, links, group texts) of many stretches."""
+        n = len(low)
+        first = np.searchsorted(cuts, low)
+        n_parts = np.searchsorted(cuts, high) - first
+        part = np.repeat(first - (np.cumsum(n_parts) - n_parts), n_parts) + np.arange(n_parts.sum())
+        parts = [text[i:j] for i, j in zip(cuts[part].tolist(), cuts[part + 1].tolist(), strict=True)]
+        texts = [text[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        raw = [t.encode() for t in texts]
+        a, a_size = _flat([e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)])
+        b, b_size = _flat(self.b.encode(texts, num_threads=1))
+        a_of, b_of = np.repeat(np.repeat(np.arange(n), n_parts), a_size), np.repeat(np.arange(n), b_size)
+        counts = np.zeros((n, 4), np.int64)
+        right = np.ones(n, bool)
+        sizes = np.fromiter(map(len, raw), np.int64, n)
+        for k, (ids, of, known, long) in enumerate(((a, a_of, self.a_bytes, self.a_long), (b, b_of, self.b_bytes, self.b_long))):
+            counts[:, k] = np.bincount(of, minlength=n)
+            right &= np.bincount(of, weights=long[ids], minlength=n) == sizes
+            if b"".join([known[i] for i in ids.tolist()]) != b"".join(raw):
+                ends = np.cumsum(counts[:, k])
+                right &= np.array([b"".join([known[i] for i in ids[e - c:e].tolist()]) == r
+                                   for r, e, c in zip(raw, ends.tolist(), counts[:, k].tolist(), strict=True)])
+        if not right.all():
+            a, a_of, b, b_of = a[right[a_of]], a_of[right[a_of]], b[right[b_of]], b_of[right[b_of]]
+        a_end, b_end = np.cumsum(self.a_long[a]), np.cumsum(self.b_long[b])
+        # between neighbouring ends of either there is one token of each, and a link for both
+        end = np.union1d(a_end, b_end)
+        i, j = np.searchsorted(a_end, end), np.searchsorted(b_end, end)
+        links, link_of = a[i] * len(self.b_bytes) + b[j], a_of[i]
+        counts[:, 3] = np.bincount(link_of, minlength=n)
+        both = (a_end[i] == end) & (b_end[j] == end)
+        closed = end[both]
+        counts[:, 2] = np.bincount(link_of[both], minlength=n)
+        a_group, b_group = np.searchsorted(closed, a_end), np.searchsorted(closed, b_end)
+        a_first, b_first = (np.diff(g, prepend=-1) > 0 for g in (a_group, b_group))
+        a_kind = np.where(np.diff(a_of, prepend=-1) > 0, 0, np.where(a_first, 1, 2))
+        pieces = np.concatenate((self.a_text[a_kind, a], self.b_text[np.where(b_first, 0, 1), b]))
+        order = np.argsort(np.concatenate((a_group * 2, b_group * 2 + 1)), kind="stable")
+        pieces = pieces[order].tolist()
+        stop = np.cumsum(np.where(right, counts[:, 0] + counts[:, 1], 0))
+        start = np.concatenate(([0], stop[:-1]))
+        return counts, right, links, [b"".join(pieces[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+
     def align(self, ranges: list[Range]) -> list[Found]:
         """What each range of a text says, many at once."""
         strings = [(r.data + r.ahead).decode() for r in ranges]
-        points = np.frombuffer("\n".join([*strings, ""]).encode("utf-32-le"), np.uint32)
+        text = "\n".join([*strings, ""])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
         stop = np.cumsum(sizes) - 1  # the mark after each range
         start = stop + 1 - sizes
@@ -246,14 +276,7 @@ class Aligner:
                   + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
 
-        def stretches(new):
-            texts, cuts = [], []
-            for k in first[new]:
-                texts.append(points[low[k]:high[k]].tobytes().decode("utf-32-le"))
-                cuts.append(np.flatnonzero(a_cut[low[k]:high[k]]).tolist())
-            return texts, cuts
-
-        row = self._learn(unique, stretches)[place]
+        row = self._learn(unique, text, low[first], high[first], np.flatnonzero(a_cut))[place]
         bounds = np.searchsorted(owner[stretch], np.arange(len(ranges) + 1))
         totals = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(self.counts[row], axis=0)))
         totals = totals[bounds[1:]] - totals[bounds[:-1]]
@@ -311,6 +334,20 @@ class Aligner:
         found.close(tail, self)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids, size of each list)."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, size.sum()), size
+
+
+def _written(n: int, *before: str) -> np.ndarray:
+    """Ids below ``n`` as text, a row for each text that stands before."""
+    out = np.empty((len(before), n), object)
+    for k, text in enumerate(before):
+        out[k] = [f"{text}{i}".encode() for i in range(n)]
+    return out
+
+
 @dataclass
 class Range:
     """Bytes of a text, of which A's tokens cover ``a`` and B's cover ``b``; ``base`` is where they
