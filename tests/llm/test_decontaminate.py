@@ -42,7 +42,9 @@ def test_matches(spark, documents):
             (7, "short item four"), (8, " ".join(long.split()[:9])), (9, "pre " * 3000 + part), (12, part + " Éa 日本")]
     assert run(spark, documents, docs, items) == brute(docs, items)
     assert run(spark, documents, docs, items, extra=True) == brute(docs, items)
-    clean = decontaminate.decontaminate(documents(*docs), spark.createDataFrame(items, "item_id long, text string"))
+    named = documents(*docs).selectExpr("*", "1 AS _key", "2 AS hit_key", "3 AS key")
+    clean = decontaminate.decontaminate(named, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == named.columns
     bad = {d for d, _, n, _ in brute(docs, items) if n and d}
     assert sorted((r.doc_id or 0) for r in clean.collect()) == [0] + sorted({d for d, _ in docs if d} - bad)
 

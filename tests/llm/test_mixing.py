@@ -61,3 +61,14 @@ def test_empty_and_copies(spark):
     out = mixing.mixed(frame(spark, rows))
     assert out.columns == ["doc_id", "text", "source", "extra"]
     assert 3 <= out.count() <= 6
+
+
+def test_the_mix_is_the_same_in_any_partitions(spark):
+    rows = [(i % 250, "w " * (1 + i % 7), f"s{i % 3}", 5) for i in range(300)] + [(None, "a b", None, 6)] * 3
+    docs = frame(spark, rows).selectExpr("*", "11 AS row_key", "12 AS _row", "'c' AS row_copies", "map('k', extra) AS m")
+    mixes = [sorted(map(repr, mixing.mixed(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert mixes[0] == mixes[1] and all("row_key=11" in r and "_row=12" in r for r in mixes[0])
+    assert mixing.mixed(docs).columns == docs.columns
+    words = sum(len(t.split()) for _, t, _, _ in rows)
+    taken = sum(len(r.text.split()) for r in mixing.mixed(docs).collect())
+    assert abs(taken - 1.5 * words) <= 4 * 7

@@ -57,6 +57,20 @@ def test_edges(spark, documents):
     model = quality.train(docs, labels)
     out = quality.scored(docs, model).collect()
     assert len(out) == 7 and all(0 <= r.score <= 1 for r in out)
+    twice = quality.scored(docs.withColumn("score", F.lit("old")), model)
+    assert twice.columns.count("score") == 1 and dict(twice.dtypes)["score"] == "double"
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert quality.scored(documents(), model).count() == 0
+
+
+def test_long_texts_teach_from_all_over(spark, documents):
+    assert quality.spread(7, 8).tolist() == list(range(7))
+    lines = quality.spread(100_000)
+    assert len(lines) == quality.LINES == len(set(lines)) and lines[0] == 0 and lines[-1] == 99_999
+    assert max(np.diff(lines)) < 2 * 100_000 / (quality.LINES / quality.BLOCK)
+    good, bad = "A fine line of words.\n" * 3000, "X!! Y!! 9#$\n" * 6000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    docs = documents(*[(i, good if i % 2 else bad) for i in range(30)])
+    out = quality.scored(docs, quality.train(docs, labels)).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in out)

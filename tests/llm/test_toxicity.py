@@ -53,4 +53,6 @@ def test_edges(spark, documents):
     out = toxicity.scored(docs, toxicity.train(docs, labels))
     assert out.count() == len(rows) and out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    twice = toxicity.scored(docs.selectExpr("*", "'old' AS score"), toxicity.train(docs, labels))
+    assert twice.columns.count("score") == 1 and twice.where("score BETWEEN 0 AND 1").count() == len(rows)
     assert toxicity.scored(documents(), None).count() == 0

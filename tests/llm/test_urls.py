@@ -51,21 +51,22 @@ def brute_ratio(train, order):
 
 
 def test_judged_equals_brute_force(spark):
-    rows = [(i, u, "kept") for i, u in enumerate(URLS)]
-    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string, host string"), order=2).collect()
+    rows = [(i, u, "gone", 7.0, "gone", "kept") for i, u in enumerate(URLS)]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string, host string, score double, rule string, _text string"), order=2).collect()
+    assert {r._text for r in out} == {"kept"}
     assert len(out) == len(URLS)
     train = []
     for u in URLS:
         host, path = parts(u)
         v = rule(host, path)[1]
         if v:
-            train.append((0 if v == "allow" else 1, re.sub("[0-9]", "0", host + path)))
+            train.append((0 if v == "allow" else 1, re.sub("[0-9]", "0", u)))
     score = brute_ratio(train, 2)
     for r in out:
         host, path = parts(URLS[r.page_id])
         assert (r.host, r.path) == (host, path)
         assert r.rule == rule(host, path)[0]
-        own = score(re.sub("[0-9]", "0", host + path))
+        own = score(re.sub("[0-9]", "0", URLS[r.page_id] or ""))
         assert r.score == (None if own is None else pytest.approx(own))
         assert r.verdict in ("allow", "block") and (r.rule is None or r.verdict == rule(host, path)[1])
 

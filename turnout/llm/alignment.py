@@ -118,6 +118,8 @@ class Aligner:
         from sentencepiece import sentencepiece_model_pb2
 
         self.cutter = Encoder(byte_level)
+        if not self.cutter.plain:
+            raise ValueError("A must be a byte-level file without normalizer that cuts texts by its own pattern")
         self.a = self.cutter.tokenizer
         self.a.encode_special_tokens = True
         model = sentencepiece_model_pb2.ModelProto()

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout.session import own_path
@@ -126,6 +126,17 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's whole content.
+
+    A null doesn't change a hash, so each column is preceded by whether it is null; maps have no
+    hash and go as JSON.
+    """
+    parts = [x for c, kind in docs.dtypes for x in (
+        F.col(f"`{c}`").isNull(), F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`"))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts[::-1])
+
+
 def held_out(parts: int, which: int):
     """Whether a row is held out: crc32 of doc_id as text modulo ``parts`` is ``which``."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == which, F.lit(False))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import stored, text_steps
+from turnout.llm.common import free_name, stored, text_steps
 from turnout.llm.words import ALNUM, Words
 
 WINDOW = 10
@@ -238,6 +238,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slack: int, window: int
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
-    bad = hits(docs, items, window).where("n_hit > 0").select(F.col("key").alias("_key"))
-    return docs.join(bad, _key() == F.col("_key"), "left_anti")
+    """The rows of ``docs`` without any hit, with their columns, whatever their names."""
+    name = free_name(docs, "hit_key")
+    bad = hits(docs, items, window).where("n_hit > 0").select(F.col("key").alias(name))
+    return docs.join(bad, _key() == F.col(name), "left_anti")

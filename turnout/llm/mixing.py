@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnout.llm.common import stored, word_count
+from turnout.llm.common import free_name, row_hashes, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -153,10 +153,24 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    sizes = stored(rows.select("doc_id", F.col("_row").alias("hash"), "source",
-                               word_count().alias("size")), "sizes")
-    taken = plan(sizes, **options).where("copies > 0").select(F.col("hash").alias("_row"), "copies")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(
-        F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever
+    their names.
+
+    Chances hang on a row's content and on its number among equal rows, so reruns agree, however
+    the rows are partitioned.
+    """
+    keys = [free_name(docs, "row_key"), free_name(docs, "row_check")]
+    copies = free_name(docs, "row_copies")
+    rows = docs.withColumns(dict(zip(keys, row_hashes(docs), strict=True)))
+    # equal rows are one with a count, so that many of them are no large group
+    each = rows.select(F.col(keys[0]).alias("a"), F.col(keys[1]).alias("b"), "doc_id", "source",
+                       word_count().alias("size")).groupBy("a", "b").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count("*").alias("n"))
+    sizes = stored(each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k")).select(
+        F.xxhash64("a", "b", "k").alias("hash"), "a", "b", F.col("doc_id").cast("long").alias("doc_id"), "source", "size"), "sizes")
+    taken = plan(sizes.drop("a", "b"), **options).where("copies > 0").select("hash", "copies")
+    # what equal rows take together is the same whichever of them takes it
+    total = taken.join(sizes.select("hash", "a", "b"), "hash").groupBy("a", "b").agg(F.sum("copies").alias(copies))
+    total = total.withColumnsRenamed({"a": keys[0], "b": keys[1]})
+    return rows.dropDuplicates(keys).join(total, keys).withColumn(copies, F.explode(F.sequence(
+        F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

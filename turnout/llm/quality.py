@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from turnout.llm.common import first_by_hash, free_name, held_out, logistic, text_steps, with_values
 from turnout.llm.words import NONSPACE, Words
 
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+#: Labelled texts to learn from, and lines of one, at most: more are thinned in blocks over all of it.
+SAMPLE, LINES, BLOCK = 4000, 512, 32
 ROUNDS, STEPS = 3, 120
 THRESHOLD = 0.5
 
@@ -175,14 +176,23 @@ def fit(x: np.ndarray, size: np.ndarray, bounds: np.ndarray, quality: np.ndarray
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
+def spread(n: int, most: int = LINES, block: int = BLOCK) -> np.ndarray:
+    """All of ``n`` lines, or blocks of neighbouring ones at equal distances, ``most`` in all."""
+    if n <= most:
+        return np.arange(n)
+    count = most // block
+    starts = np.linspace(0, n - block, count).astype(np.int64)
+    return (starts[:, None] + np.arange(block)).ravel()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Model | None:
     """The model of labelled rows that aren't held out (third part 1 of three); None without any.
 
-    ``labels`` has doc_id and quality; rows with null in either teach nothing."""
+    ``labels`` has doc_id and quality; rows with null in either teach nothing. Of a text with more
+    than ``lines`` lines, blocks spread over the whole of it teach."""
     chosen = labels.where(~held_out(3, 1) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.length(F.coalesce("text", F.lit(""))) <= chars)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = first_by_hash(chosen, sample, "doc_id", "quality")
     rows = texts.join(F.broadcast(few), "doc_id").select(F.col("quality").cast("long").alias("quality"), "text")
 
@@ -190,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         for keys, part in text_steps(batches, "quality"):
             x, size, bounds = line_features(part)
             for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                yield pa.record_batch([pa.array([keys[k]], pa.int64()), pa.array([x[a:b].tobytes()]),
-                                       pa.array([size[a:b].tobytes()])], ["quality", "x", "size"])
+                own = a + spread(b - a, lines)
+                yield pa.record_batch([pa.array([keys[k]], pa.int64()), pa.array([x[own].tobytes()]),
+                                       pa.array([size[own].tobytes()])], ["quality", "x", "size"])
 
     got = rows.mapInArrow(run, "quality long, x binary, size binary").collect()  # bounded by the sample
     got = sorted((bytes(r.x), bytes(r["size"]), r.quality) for r in got)  # the same order in each run
@@ -207,7 +218,8 @@ def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFra
     """``docs`` with the quality score of each row, 0.5 without a model.
 
     Null and empty texts are one empty line and get its score; repeated rows stay, all columns
-    are kept."""
+    are kept but one of that name, which is replaced."""
+    docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights

@@ -21,7 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import first_by_hash, free_name, local_components, stored, text_slices
+from turnout.llm.common import (
+    first_by_hash,
+    free_name,
+    local_components,
+    row_hashes,
+    stored,
+    text_slices,
+)
 from turnout.llm.components import components
 
 WORDS = 4
@@ -266,11 +273,8 @@ def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     judged among themselves, one of each group stays: a copy without an id doesn't displace a named
     document, nor the other way round.
     """
-    # a null doesn't change a hash, so each column is preceded by whether it is null; maps have none
-    parts = [x for c, kind in docs.dtypes for x in (
-        F.col(c).isNull(), F.to_json(F.struct(c)) if "map<" in kind else F.col(c))]
     keys = [free_name(docs, "row_key"), free_name(docs, "row_check")]
-    rows = docs.withColumns({keys[0]: F.xxhash64(*parts), keys[1]: F.xxhash64(F.lit(words), *parts[::-1])})
+    rows = docs.withColumns(dict(zip(keys, row_hashes(docs), strict=True)))
     prints = stored(fingerprints(rows.select("doc_id", *[F.col(k).alias(n) for k, n in zip(keys, "kc", strict=True)],
                                              "text"), words), "fingerprints")
     named = prints.join(stored(_grouped(prints, radius), "roots"), "fp")

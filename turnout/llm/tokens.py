@@ -10,6 +10,7 @@ tokens as a whole.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -39,6 +40,11 @@ class Encoder:
         from tokenizers import Regex, Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        cut = json.loads(self.tokenizer.to_str())
+        own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        kind = cut["pre_tokenizer"] or {}
+        #: Whether texts are cut as ``_cuts`` does; else they are encoded whole.
+        self.plain = cut["normalizer"] is None and {k: kind.get(k) for k in own} == own
         self.special = [t.content.encode() for t in
                         self.tokenizer.get_added_tokens_decoder().values()]
         self.kinds = [(k, normalizers.Replace(Regex(p), "")) for k, p in
@@ -90,7 +96,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        odd = [i for i, t in enumerate(texts) if not self.plain or any(s in t for s in self.special)]
         plain = list(texts)
         for i in odd:
             plain[i] = b""

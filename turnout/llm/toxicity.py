@@ -226,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """``docs`` with each row's toxicity score; zero without a model. Null and empty texts score
-    as texts without passages; repeated rows stay, all columns are kept."""
+    as texts without passages; repeated rows stay, all columns are kept but one of that name, which
+    is replaced."""
+    docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)

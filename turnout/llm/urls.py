@@ -6,8 +6,9 @@ is the log ratio of both models at the longest context in which it was seen; a U
 mean over its characters. The threshold lies between the mean scores of the two training sets, in
 proportion to their spreads. All of it is DataFrame functions.
 
-URLs are modelled as host and path with digits folded, once for each distinct such text, so the
-work and the joins follow the number of distinct texts rather than of pages.
+Whole URLs are modelled, with scheme, query and fragment. Digits are folded to one, as the numbers
+in URLs (ids, pages, dates) differ from one to the next without telling anything: a model would see
+each of them once. So the work and the joins follow the number of distinct folded URLs.
 """
 
 from __future__ import annotations
@@ -110,11 +111,11 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     rows stay; columns of ``pages`` with these names are replaced.
     """
     host, path = host_and_path(F.col("url"))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.drop("rule", "verdict", "score").withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     text_name = free_name(pages, "_text")
     rows = rows.withColumns({"rule": rule, "verdict": verdict, text_name: F.regexp_replace(
-        F.concat("host", "path"), "[0-9]", "0")})
+        F.coalesce("url", F.lit("")), "[0-9]", "0")})
     count = lambda what: F.sum((F.col("verdict") == what).cast("long")).alias(f"n_{what}")
     texts = stored(rows.groupBy(F.col(text_name).alias("text")).agg(count("allow"), count("block")).select(
         "text", F.coalesce("n_allow", F.lit(0)).alias("allowed"), F.coalesce("n_block", F.lit(0)).alias("blocked")),
