@@ -5,6 +5,7 @@ from turnout.checked import (  # noqa: F401
     counts,
     dashboards,
     etl,
+    incremental,
     journey,
     rows,
     storage,

@@ -31,7 +31,7 @@ from turnout.operators.joins import (
 )
 from turnout.operators.reshape import stack
 from turnout.session import own_path, remove_path, written
-from turnout.sinks.versions import Published, VersionedTables, changed_any
+from turnout.sinks.versions import Published, VersionedTables, changed_any, together
 
 # a student row belongs to a workbook; ``updated`` names its year folder
 WORKBOOK = "updated"
@@ -185,53 +185,78 @@ class Landed:
     training: Sequence[DataFrame]
 
 
+def _numbered(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    out = with_surrogate_id(rows, numbers)
+    return out.withColumn("id", F.col("id").cast("string"))
+
+
+def participation_rows(pairs: DataFrame, facts: DataFrame, sign_ins: DataFrame, training: DataFrame,
+                       numbers: DataFrame) -> DataFrame:
+    """Published participation: person data on every pair, ids replaced by their numbers.
+
+    Numbers are attached to the pairs before the join with people makes rows many. Sign-ins and
+    training without a time count as participations, as in the filled union that null dates tell
+    apart; only those rows go through it.
+    """
+    participation = attach_people(with_surrogate_id(pairs, numbers, into="number"), facts)
+    participation = participation.withColumn("id", F.col("number").cast("string")).drop("number")
+    undated = stack(
+        participation.withColumn("year", F.col("year").cast("string")),
+        _numbered(training.filter(F.col("date").isNull()), numbers),
+        _numbered(sign_ins.filter(F.col("timestamp").isNull()), numbers),
+        fill=True,
+    )
+    return split_by_missing(undated)[0].withColumn("year", F.col("year").cast("int"))
+
+
+def studio_rows(sign_ins: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Published sign-ins: those with a time."""
+    return split_by_missing(_numbered(sign_ins, numbers).withColumn(
+        "training", F.lit(None).cast("string")))[1]
+
+
+def training_rows(training: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Published training: records with a date."""
+    return _numbered(training.filter(F.col("date").isNotNull()), numbers).select("id", "date", "training")
+
+
 def build_published(landed: Landed, place: str | None = None) -> dict[str, DataFrame]:
     """All published tables of a run, ids replaced by surrogate numbers.
 
     Every extract is read once: sign-ins, training, participations and people are cleaned and
-    written under ``place``, and the four tables come from those. Numbers are attached to the
-    participations before the join with people makes rows many. Sign-ins and training without a
-    time count as participations, as in the filled union that null dates tell apart; only those
-    rows go through it. ``place`` holds raw ids, so ``publish`` removes it afterwards.
+    written under ``place``, independent ones side by side, and the four tables come from those.
+    ``place`` holds raw ids, so ``publish`` removes it afterwards.
     """
     place = place or f"build-{uuid.uuid4().hex}"
-    selection = written(load_tag_selection(landed.tag_list), f"{place}/selection")
     answers, _ = load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)
-    sign_ins = written(answers, f"{place}/sign-ins")
-    training = written(load_training(*landed.training), f"{place}/training")
-    programmes = stack(programme_tags(*landed.contacts), sign_ins.select("programme", "id"))
-    pairs = written(programme_pairs(replace_tags(programmes, selection)), f"{place}/pairs")
     people = load_people(
         landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship
     )
-    facts = written(person_facts(people), f"{place}/people")
+    facts, training, (sign_ins, selection, pairs) = together(
+        lambda: written(person_facts(people), f"{place}/people"),
+        lambda: written(load_training(*landed.training), f"{place}/training"),
+        lambda: _participations(landed, answers, place),
+    )
     ids = stack(*[part.select("id") for part in (pairs, training, sign_ins)])
     numbers = surrogate_ids(ids, place=f"{place}/numbers")
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        out = with_surrogate_id(rows, numbers)
-        return out.withColumn("id", F.col("id").cast("string"))
-
-    participation = attach_people(with_surrogate_id(pairs, numbers, into="number"), facts)
-    participation = participation.withColumn("id", F.col("number").cast("string")).drop("number")
-    undated = stack(
-        participation.withColumn("year", F.col("year").cast("string")),
-        numbered(training.filter(F.col("date").isNull())),
-        numbered(sign_ins.filter(F.col("timestamp").isNull())),
-        fill=True,
-    )
-    participation, _, _ = split_by_missing(undated)
-    _, studio, _ = split_by_missing(numbered(sign_ins).withColumn(
-        "training", F.lit(None).cast("string")))
     return {
-        "participation": participation.withColumn("year", F.col("year").cast("int")),
-        "studio": studio,
-        "training": numbered(training.filter(F.col("date").isNotNull())).select(
-            "id", "date", "training"),
+        "participation": participation_rows(pairs, facts, sign_ins, training, numbers),
+        "studio": studio_rows(sign_ins, numbers),
+        "training": training_rows(training, numbers),
         "tag_selection": selection,
     }
 
 
+def _participations(landed: Landed, answers: DataFrame, place: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sign-ins, tag selection and the participations of both, written."""
+    sign_ins, selection = together(
+        lambda: written(answers, f"{place}/sign-ins"),
+        lambda: written(load_tag_selection(landed.tag_list), f"{place}/selection"),
+    )
+    programmes = stack(programme_tags(*landed.contacts), sign_ins.select("programme", "id"))
+    return sign_ins, selection, written(programme_pairs(replace_tags(programmes, selection)), f"{place}/pairs")
+
+
 def publish(landed: Landed, target: VersionedTables) -> tuple[bool, dict[str, Published]]:
     """Build and write every table that changed; tells whether readers must reload.
 

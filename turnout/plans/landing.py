@@ -157,8 +157,8 @@ def accept_upload(df: DataFrame, root: str, kind: str, sheet: str, year: str,
     return accept_workbook({sheet: df}, root, kind, year, {sheet: templates}, whole=False)[sheet]
 
 
-def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFrame:
-    """All years of a sheet, with the year in ``updated``; empty when it never landed.
+def read_landed(spark: SparkSession, root: str, kind: str, sheet: str, year: str | None = None) -> DataFrame:
+    """All years of a sheet, or one, with the year in ``updated``; empty when it never landed.
 
     The columns are declared, so years may differ in the columns they have. Where it makes a
     difference whether a sheet has a column at all, it keeps the columns that it came with.
@@ -166,7 +166,8 @@ def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFr
     names = [*LANDED_COLUMNS[kind, sheet], WORKBOOK]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     # one row per year of the sheet
-    found = landed_sheets(spark, root).filter((F.col("kind") == kind) & (F.col("sheet") == sheet)).collect()
+    found = landed_sheets(spark, root).filter((F.col("kind") == kind) & (F.col("sheet") == sheet))
+    found = (found if year is None else found.filter(F.col("updated") == year)).collect()
     if not found:
         return spark.createDataFrame([], schema)
     plain = T.StructType(schema.fields[:-1])
@@ -175,23 +176,25 @@ def read_landed(spark: SparkSession, root: str, kind: str, sheet: str) -> DataFr
                    for r in sorted(found, key=lambda r: r["updated"])], fill=True)
 
 
+def sign_in_form(spark: SparkSession, root: str, kind: str, year: str | None = None) -> DataFrame:
+    """Answers to a sign-in form, of all years or one."""
+    rows = read_landed(spark, root, kind, "Form Responses 1", year).drop(WORKBOOK)
+    return rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
+
+
 def load_landed(spark: SparkSession, root: str) -> Landed:
     """Every landed extract, ready for ``etl.publish``."""
     def sheet(kind: str, name: str) -> DataFrame:
         return read_landed(spark, root, kind, name)
 
-    def form(kind: str) -> DataFrame:
-        rows = sheet(kind, "Form Responses 1").drop(WORKBOOK)
-        return rows.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
-
     return Landed(
         students=sheet("people", "Student"),
         applicants=sheet("people", "Applicant"),
         no_affiliation=sheet("people", "No Affil"),
         no_citizenship=sheet("people", "No citizenship"),
         contacts=[sheet("contacts", "contacts")],
-        maker_sign_ins=form("maker_sign_ins"),
-        hub_sign_ins=form("hub_sign_ins"),
+        maker_sign_ins=sign_in_form(spark, root, "maker_sign_ins"),
+        hub_sign_ins=sign_in_form(spark, root, "hub_sign_ins"),
         tag_list=sheet("tags", "Tags").drop(WORKBOOK),
         training=[sheet("training", s) for s in EQUIPMENT_SHEETS],
     )
