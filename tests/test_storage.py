@@ -81,6 +81,31 @@ def test_columns_of_year_folders_go_by_name(spark, tmp_path, rows):
     assert rows(typed) == [("2019", 1, "F"), ("2020", 2, "M"), ("2021", 3, None)]
 
 
+def test_headers_of_many_files_take_one_job(spark, tmp_path, rows):
+    for n in range(60):
+        folder = tmp_path / str(2000 + n % 12)
+        folder.mkdir(exist_ok=True)
+        text = f"ID,Sex\n{n},F\n" if n % 3 else f'Sex,"ID"\nM,{n}\n' if n % 2 else f'"Sex",ID\nM,{n}\n'
+        (folder / f"From {n}.csv").write_text(text)
+    (tmp_path / "2003" / "From none.csv").write_text("")
+    spark.sparkContext.setJobGroup("headers", "")
+    try:
+        found = tables.scan_year_folders(spark, str(tmp_path), "From*.csv", T.StructType.fromDDL("ID int, Sex string"))
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows(found, "ID") == sorted(((n,) for n in range(60)), key=repr)
+    assert found.filter("Sex = 'F'").count() == 40
+    assert jobs <= 10  # the first lines, and a header for each of three
+
+
+def test_a_dirty_cell_is_null(spark, tmp_path, rows):
+    (tmp_path / "2019").mkdir()
+    (tmp_path / "2019" / "From.csv").write_text("ID,Sex\noops,F\n2,M\n")
+    found = tables.scan_year_folders(spark, str(tmp_path), "From*.csv", T.StructType.fromDDL("ID int, Sex string"))
+    assert rows(found) == [("2019", 2, "M"), ("2019", None, "F")]
+
+
 def test_versions_only_when_content_changes(spark, frames, tmp_path):
     one, two = frames
     target = versions.VersionedTables(spark, str(tmp_path))

@@ -20,7 +20,7 @@ def new_folder(t, name: str) -> str:
 
 
 @query("publish_one_year", """
-SELECT year, count(*) AS n_rows, sum(CASE WHEN level IS NULL THEN 0 ELSE length(level) END) AS n_letters,
+SELECT year, count(*) AS n_rows, CAST(sum(CASE WHEN level IS NULL THEN 0 ELSE length(level) END) AS BIGINT) AS n_letters,
        year = 1995 AS written
 FROM (SELECT * EXCLUDE (level), CASE WHEN year = 1995 THEN concat(level, '!') ELSE level END AS level
       FROM participation) x GROUP BY year""")
@@ -33,7 +33,7 @@ def _(t):
     new = [p.part for p in target.parts("participation").values() if p.folder.startswith(f"version={run}/")]
     return target.read("participation").groupBy("year").agg(
         F.count("*").alias("n_rows"),
-        F.sum(F.coalesce(F.length("level"), F.lit(0))).cast("decimal(38,0)").alias("n_letters"),
+        F.sum(F.coalesce(F.length("level"), F.lit(0))).alias("n_letters"),
     ).withColumn("written", F.col("year").cast("string").isin(new))
 
 

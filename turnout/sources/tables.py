@@ -61,30 +61,42 @@ def scan_published(spark: SparkSession, name: str, path: str, form: str = "parqu
     return clean_published(name, df, distinct)
 
 
+def first_lines(spark: SparkSession, paths: str, file_pattern: str) -> DataFrame:
+    """(line, files): the first line of every file, and the files that begin with it, in one job.
+
+    Only lines of the first block of a file are looked at, and combine to one per file and task.
+    """
+    lines = spark.read.option("pathGlobFilter", file_pattern).text(paths)
+    # the path comes encoded, in which a plus sign stands for itself
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    placed = lines.filter(F.col("_metadata.file_block_start") == 0).select(
+        file.alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    first = placed.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    return first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
 def scan_year_folders(spark: SparkSession, root: str, file_pattern: str,
                       schema: T.StructType | None = None) -> DataFrame:
     """All files of one kind under ``root/<year>/``, with the year in column ``updated``.
 
     A folder counts when its name holds digits; ``file_pattern`` is a glob on file names. Columns
-    go by name: each file is read by its own header and files are stacked, absent columns null.
-    With a ``schema`` the columns are its own, cast to its types.
+    go by name: files with the same header line are read together, and stacked with the others,
+    absent columns null. Headers are found in one job, however many files there are. With a
+    ``schema`` the columns are its own, in its types; a cell that is none of its type is null.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", file_pattern).load(
-        f"{root}/*[0-9]*")
-    # one path per landed file; headers of files of one kind may differ
-    paths = sorted(r["path"] for r in listed.select("path").collect())
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(read_csv(spark, path).columns), []).append(path)
+    for r in first_lines(spark, f"{root}/*[0-9]*", file_pattern).orderBy("files").collect():
+        by_header.setdefault(tuple(read_csv(spark, r["files"][0]).columns), []).extend(r["files"])
     year = F.regexp_extract("_metadata.file_path", r"/[^/]*?(\d+)[^/]*/[^/]+$", 1)
     parts = []
     for header, files in by_header.items():
-        df = read_csv(spark, files)
+        plain = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        df = read_csv(spark, files, plain)
         parts.append(df.select(year.alias("updated"), *[F.col(f"`{c}`") for c in header]))
     if schema is None:
         return stack(*parts, fill=True)
     kinds = {f.name: f.dataType for f in schema}
-    parts = [p.select("updated", *[F.col(f"`{c}`").cast(kinds[c]) for c in p.columns if c in kinds])
+    parts = [p.select("updated", *[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in p.columns if c in kinds])
              for p in parts]
     empty = spark.createDataFrame([], T.StructType([T.StructField("updated", T.StringType()), *schema]))
     return stack(empty, *parts, fill=True)
