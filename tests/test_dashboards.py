@@ -116,6 +116,36 @@ def test_journey_table(events, rows):
         (1, 1, 0, 0, 1), (2, 1, 0, 1, 1), (3, 1, 1, 1, 1)]
 
 
+def test_journey_table_is_in_order_after_one_evaluation(events, rows):
+    table = journey.journey_table(events, destination="z")
+    assert table.columns == ["total", "num_students", "a", "b", "z"]
+    assert rows(table) == [(1, 1, 0, 0, 1), (2, 1, 0, 1, 1), (3, 1, 1, 1, 1)]
+    assert journey.journey_table(events, source="z").columns[2:] == ["z", "a", "b"]
+    assert journey.journey_table(events, destination="y").columns[2:] == ["a", "b", "z", "y"]
+    # people without a listed programme have none of the counted events
+    assert rows(journey.journey_table(events, ["a"])) == [(0, 2, 0), (1, 1, 1)]
+    empty = journey.journey_table(events.limit(0), destination="z")
+    assert empty.columns[2:] == ["z"] and empty.count() == 0
+
+
+def scans(plan: str) -> int:
+    return plan.count("Scan parquet")
+
+
+def test_journeys_scan_their_sources_once(spark, tables, tmp_path):
+    """Figures of the table read each source once; the table and the matrix read what was written."""
+    made = Dashboards(*[tables.slice("journey").select("*"), tables.selection, tables.studio, tables.training])
+    several = Choices(years=[1996, 1997], programmes=None, destination="1997 LARGE")
+    events = made.events(several)
+    once = scans(events._jdf.queryExecution().executedPlan().toString())
+    figures = journey.journey_figures(events)
+    assert once >= 3 and scans(figures._jdf.queryExecution().executedPlan().toString()) == once
+    for name in ("table", "matrix"):
+        out = made.output("journey", name, several)
+        assert out.count() > 0
+        assert {f.rsplit("/", 2)[1].split("-")[0] for f in out.inputFiles()} <= {"journey", "labelled"}
+
+
 def test_journey_matrix(events, rows):
     matrix = journey.journey_matrix(events, destination="z")
     assert matrix.count() == 9

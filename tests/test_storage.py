@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 from turnout.functions.fingerprint import fingerprint_text
-from turnout.sinks import versions
+from turnout.sinks import duplicates, versions
 from turnout.sources import conformance, tables
 
 
@@ -69,6 +69,52 @@ def test_duplicate_files_are_removed_in_every_folder(spark, tmp_path):
     assert versions.remove_duplicate_files(spark, str(tmp_path)) == 0
 
 
+@pytest.fixture
+def copies(tmp_path):
+    texts = {"x/a": "one", "x/b": "one", "x/c": "two", "x/d": "a long text", "x/e": "a long text", "x/f": "a 10ng text",
+             "x/g h%20": "one", "x/i": "", "x/l": "", "y/a": "one", "y/j": "the only one of its size", "y/k": "a long text"}
+    for age, (name, text) in enumerate(texts.items()):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(text)
+        os.utime(path, (1e9 + age, 1e9 + age))
+    return str(tmp_path)
+
+
+def names_of(found):
+    return sorted(f"{r['folder'].rsplit('/', 1)[1]}/{r['name']}" for r in found.collect())
+
+
+def test_sizes_come_before_contents(spark, copies):
+    listed = duplicates.listed_files(spark, copies)
+    sizes = duplicates.repeated_sizes(listed)
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1] and sizes.count() == 2
+    hashed = duplicates.hashed_files(spark, copies, listed)
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [LessThanOrEqual(length" in plan and "GreaterThanOrEqual(length" in plan
+    assert names_of(hashed) == ["x/a", "x/b", "x/c", "x/d", "x/e", "x/f", "x/g h%20"]
+    assert names_of(duplicates.duplicate_files(spark, copies)) == ["x/b", "x/e", "x/g h%20"]
+
+
+@pytest.mark.parametrize("limit", [0, 4])
+def test_files_beyond_the_limit_are_hashed_in_blocks(spark, copies, limit, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    before = spark.conf.get(duplicates.LIMIT)
+    spark.conf.set(duplicates.LIMIT, limit)
+    try:
+        assert names_of(duplicates.duplicate_files(spark, copies)) == ["x/b", "x/e", "x/g h%20"]
+        assert versions.remove_duplicate_files(spark, copies) == 3
+        assert names_of(duplicates.duplicate_files(spark, copies)) == []
+    finally:
+        spark.conf.set(duplicates.LIMIT, before)
+
+
+def test_no_files_no_duplicates(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    assert versions.remove_duplicate_files(spark, str(tmp_path)) == 0
+
+
 def test_columns_of_year_folders_go_by_name(spark, tmp_path, rows):
     for year, text in [("2019", "ID,Sex\n1,F\n"), ("2020", "Sex,ID\nM,2\n"), ("2021", "ID,Age\n3,30\n")]:
         (tmp_path / year).mkdir()

@@ -146,10 +146,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY id) AS total FROM events_of) x GROUP
 
 @query("journey_table", TO_ANCHOR + TABLE)
 def _(t):
-    events = to_destination(t)
-    return journey.journey_table(
-        events, journey.ordered_programmes(events, destination=DESTINATION)
-    )
+    return journey.journey_table(to_destination(t), destination=DESTINATION)
 
 
 @query("journey_pivot_sum", TO_ANCHOR + TABLE)

@@ -9,7 +9,7 @@ from turnout.plans import landing
 from turnout.plans.registry import query
 from turnout.plans.standin import COLUMNS
 from turnout.session import own_path
-from turnout.sinks import versions
+from turnout.sinks import duplicates, versions
 from turnout.sources import conformance, tables
 
 
@@ -239,6 +239,23 @@ def _(t):
     return versions.exact_duplicates(files)
 
 
+@query("duplicate_files", """
+SELECT c_nationkey AS nation, count(*) - count(DISTINCT n) AS n_removed FROM (
+  SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) x GROUP BY c_nationkey""")
+def _(t):
+    root = new_folder(t, "files")
+    figures = t.source("customer").groupBy("c_nationkey", "c_mktsegment").agg(
+        F.count("*").cast("string").alias("n"))
+    # a file for each row
+    figures.select(F.col("c_nationkey").alias("nation"), "n").write.option(
+        "maxRecordsPerFile", 1).partitionBy("nation").text(root)
+    removed = duplicates.duplicate_files(t.spark, root).groupBy("folder").agg(F.count("*").alias("n"))
+    folders = duplicates.listed_files(t.spark, root).select("folder").distinct()
+    return folders.join(removed, "folder", "left").select(
+        F.regexp_extract("folder", "nation=(.*)$", 1).cast("int").alias("nation"),
+        F.coalesce("n", F.lit(0)).alias("n_removed"))
+
+
 @query("changed_any", """
 SELECT TRUE AS first_run, FALSE AS second_run, count(*) AS n_rows FROM training""")
 def _(t):

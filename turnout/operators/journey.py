@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from turnout import fixed_values as fixed
 from turnout.functions.nulls import not_in, paste
 
 from turnout.operators.joins import of_people, tag_dates
-from turnout.operators.reshape import pivot_sum, stack
+from turnout.operators.reshape import stack
+from turnout.session import written
 
 EVENT_COLUMNS = ["programme", "id", "date", "year", "count"]
 
@@ -122,33 +124,62 @@ def first_appearance_order(events: DataFrame) -> DataFrame:
     return firsts.orderBy("date", "programme")
 
 
+def in_order(names: list[str], source: str = "", destination: str = "") -> list[str]:
+    """Names with the source first or the destination last."""
+    others = [n for n in names if n != (source or destination)]
+    return [source, *others] if source else [*others, destination]
+
+
 def ordered_programmes(events: DataFrame, source: str = "", destination: str = "") -> list[str]:
     """Column order of the journey table: by date, source first or destination last.
 
     Reads back at most one name per chosen programme.
     """
     names = [r["programme"] for r in first_appearance_order(events).collect()]
-    anchor = source or destination
-    others = [n for n in names if n != anchor]
-    return [source, *others] if source else [*others, destination]
+    return in_order(names, source, destination)
+
+
+def journey_figures(events: DataFrame, programmes=None) -> DataFrame:
+    """For each number of events and programme: the events, the programme's first date, and how
+    many people have that number (counted with the first of their programmes by name). With
+    ``programmes`` only their events count.
+
+    One row per number and programme, whatever the number of people. Events are moved to their
+    person once; both groupings by person then stay where they are.
+    """
+    kept = F.col("count")
+    if programmes is not None:
+        kept = F.when(F.col("programme").isin(list(programmes)), kept).otherwise(0)
+    per_person = events.repartition("id").groupBy("id", "programme").agg(
+        F.sum(kept).alias("count"), F.min("date").alias("date"))
+    person = Window.partitionBy("id")
+    counted = per_person.withColumns({
+        "total": F.sum("count").over(person),
+        "_first": F.col("programme").eqNullSafe(F.min("programme").over(person)),
+    })
+    return counted.groupBy("total", "programme").agg(
+        F.sum("count").alias("count"), F.min("date").alias("date"),
+        F.count_if("_first").alias("num_students"))
 
 
-def journey_table(events: DataFrame, programmes) -> DataFrame:
+def journey_table(events: DataFrame, programmes=None, source: str = "", destination: str = ""
+                  ) -> DataFrame:
     """One row per number of events: people with that many, and events per programme.
 
-    Counting per person with one column per programme gives both the person's total and the
-    figures to sum, so events are shuffled once.
+    Without ``programmes`` the columns are those of the events, by first date, source first or
+    destination last. Figures and order come from one evaluation of the events: the figures are
+    written, and the small written table gives both.
     """
-    programmes = list(programmes)
-    per_person = pivot_sum(events, ["id"], "programme", programmes, "count")
-    quoted = [F.col(f"`{p}`") for p in programmes]
-    total = quoted[0]
-    for c in quoted[1:]:
-        total = total + c
-    return per_person.groupBy(total.alias("total")).agg(
-        F.count("*").alias("num_students"),
-        *[F.sum(c).alias(p) for c, p in zip(quoted, programmes)],
-    )
+    if programmes is None:
+        figures = written(journey_figures(events), f"journey-{uuid.uuid4().hex}")
+        programmes = ordered_programmes(figures, source, destination)
+    else:
+        programmes = list(programmes)
+        figures = journey_figures(events, programmes)
+    return figures.groupBy("total").agg(
+        F.sum("num_students").alias("num_students"),
+        *[F.coalesce(F.sum(F.when(F.col("programme") == p, F.col("count"))), F.lit(0)).alias(p)
+          for p in programmes])
 
 
 def journey_events_by_total(events: DataFrame, selection: DataFrame, totals=None) -> DataFrame:
@@ -273,11 +304,12 @@ def journey_label(events: DataFrame, source: str = "", destination: str = "") ->
 def journey_matrix(events: DataFrame, source: str = "", destination: str = "") -> DataFrame:
     """Count per programme label and person, 0 where a person lacks the label.
 
-    Each person's row lists the labels once, from a subquery over the few distinct labels, so
-    only the result itself has the size people times labels.
+    The labelled events are written once and give both the labels and the cells. Each person's row
+    lists the labels once, from a subquery over the few distinct labels, so only the result itself
+    has the size people times labels.
     """
     labelled = journey_label(events, source, destination).select("programme", "id", "count")
-    labelled = labelled.distinct()
+    labelled = written(labelled.distinct(), f"labelled-{uuid.uuid4().hex}")
     labels = labelled.agg(F.sort_array(F.collect_set("programme")).alias("labels")).scalar()
     per_person = labelled.groupBy("id").agg(
         F.map_from_entries(F.collect_set(F.struct("programme", "count"))).alias("_counts")

@@ -156,8 +156,7 @@ class Dashboards:
         if name == "participants_by_events":
             return journey.events_per_participant(events)
         if name == "table":
-            ordered = journey.ordered_programmes(events, **ends)
-            return journey.journey_table(events, ordered).drop("num_students")
+            return journey.journey_table(events, **ends).drop("num_students")
         if name == "events_by_total":
             return journey.journey_events_by_total(events, self.selection, choices.totals)
         if name == "matrix":

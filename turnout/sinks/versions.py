@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 
 from turnout import fixed_values as fixed
 from turnout.functions.fingerprint import Figures, observed_figures, part_figures
-from turnout.operators.groups import newest_in_group
+from turnout.operators.groups import all_but, newest_in_group
 from turnout.schemas import PUBLISHED
 from turnout.session import path_exists, remove_path
+from turnout.sinks.duplicates import exact_duplicates, remove_duplicate_files  # noqa: F401
 from turnout.sources.tables import CSV_OPTIONS
 
 LOG_SCHEMA = (
@@ -89,11 +90,6 @@ def versions_to_keep() -> int:
     return int(text) if re.fullmatch(r"[+-]?[0-9]+", text) else 0
 
 
-def all_but(rows: DataFrame, kept: DataFrame, keys) -> DataFrame:
-    """Rows that are not among the kept ones. ``keys`` name one row each, so no key is hot."""
-    return rows.join(kept.select(*keys), list(keys), "left_anti")
-
-
 def stale_versions(catalog: DataFrame, keep: int) -> DataFrame:
     """Versions beyond the newest ``keep`` of each name; newest by time, then by version.
 
@@ -109,50 +105,11 @@ def stale_versions(catalog: DataFrame, keep: int) -> DataFrame:
     return all_but(catalog, newest, ["name", "version"])
 
 
-def exact_duplicates(files: DataFrame, content: str = "content", folder: str = "folder",
-                     name: str = "name", age: str = "modified") -> DataFrame:
-    """Files whose folder holds an older file with the same content (ties: smaller name).
-
-    One kept file per content comes from a combining aggregate over length and SHA-256, so
-    many copies of one file cost one record per map task. The rest are told by their unique
-    (folder, name), for which the content is not read again.
-    """
-    described = files.select(
-        folder, name, age, F.length(content).alias("_length"), F.sha2(content, 256).alias("_hash")
-    )
-    kept = described.groupBy(folder, "_length", "_hash").agg(
-        F.min(F.struct(age, name)).alias("_oldest")
-    )
-    kept = kept.select(folder, F.col(f"_oldest.{name}").alias(name))
-    return all_but(files.select(folder, name, age), kept, [folder, name])
-
-
 def with_prefix(files: DataFrame, prefix: str, c: str = "name") -> DataFrame:
     """Files whose name begins with ``prefix``, of which no character is special."""
     return files.filter(F.col(c).startswith(prefix))
 
 
-def duplicate_files(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, name, modified) of the files to remove: in every folder below ``root``, all but
-    the oldest of files with the same content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    parts = files.select(
-        F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"),
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-        F.col("modificationTime").alias("modified"), "content")
-    return exact_duplicates(parts)
-
-
-def remove_duplicate_files(spark: SparkSession, root: str) -> int:
-    """Remove the duplicates and tell how many there were. Names come to the driver one
-    partition at a time; files are removed one by one, so a second call finishes a lost one."""
-    n = 0
-    for r in duplicate_files(spark, root).toLocalIterator():
-        remove_path(spark, f"{r['folder']}/{r['name']}")
-        n += 1
-    return n
-
-
 def unseen_versions(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Candidates whose name has no stored version with the same fingerprint, once each.
 
