@@ -6,11 +6,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnout.functions.cleaning import merge_faculties
 from turnout.operators import counts, filters, journey, studio
+from turnout.operators.indexes import PICKED, indexed, indexed_values
 from turnout.operators.joins import classify_curricula
-from turnout.operators.reshape import first_months
+from turnout.operators.reshape import first_months, journey_programme_choices, picker_values
+from turnout.sinks.derived import DerivedTables
 from turnout.sinks.versions import VersionedTables
 from turnout.sources.tables import clean_published
 
@@ -47,14 +50,20 @@ class Dashboards:
 
     ``keep=True`` persists each tab's rows and each journey's events on first use, for sessions
     that ask for many outputs; ``release`` frees them, as after a new publish.
+    ``rollup`` holds the distinct (id, year, programme, faculty) of the participations, and
+    ``values`` the value index of each table by name. Where they are given, yearly counts and
+    pickers read them instead of the tables.
     """
 
     def __init__(self, participation: DataFrame, selection: DataFrame, studio: DataFrame,
-                 training: DataFrame, keep: bool = False):
+                 training: DataFrame, keep: bool = False, rollup: DataFrame | None = None,
+                 values: Mapping[str, DataFrame] | None = None):
         self.participation = participation
         self.selection = selection
         self.studio = studio
         self.training = training
+        self._rollup = rollup
+        self._values = values or {}
         self._keep = keep
         self._kept: dict[object, DataFrame] = {}
 
@@ -70,16 +79,42 @@ class Dashboards:
             df.unpersist()
         self._kept.clear()
 
-    def _slice(self, tab: str) -> DataFrame:
+    def _slice(self, tab: str, rows: DataFrame) -> DataFrame:
         if tab == "curricula":
-            rows = classify_curricula(self.participation, self.selection)
+            rows = classify_curricula(rows, self.selection)
         else:
-            rows = filters.slice_for_dashboard(self.participation, self.selection, tab)
+            rows = filters.slice_for_dashboard(rows, self.selection, tab)
         return merge_faculties(rows)
 
     def slice(self, tab: str) -> DataFrame:
         """The tab's participation rows, with merged faculty names."""
-        return self._remember(tab, lambda: self._slice(tab))
+        return self._remember(tab, lambda: self._slice(tab, self.participation))
+
+    def yearly(self, tab: str) -> DataFrame:
+        """The tab's rows for counts by year, programme and faculty."""
+        if self._rollup is None:
+            return self.slice(tab)
+        return self._remember(("yearly", tab), lambda: self._slice(tab, self._rollup))
+
+    def picker(self, name: str, c: str, descending: bool = False) -> DataFrame:
+        """Sorted values of a column of ``participation``, ``studio`` or ``training``."""
+        if name in self._values and c in PICKED[name]:
+            return indexed_values(self._values[name], c, descending)
+        table = {"participation": self.participation, "studio": self.studio,
+                 "training": self.training.withColumnRenamed("training", "programme")}[name]
+        return picker_values(table, c, descending)
+
+    def journey_choices(self, years: Sequence[int]) -> DataFrame:
+        """Year-labelled programmes, trainings and spaces that a journey may pass in ``years``."""
+        if not self._values:
+            return journey_programme_choices(self.slice("journey"), self.training, self.studio, years)
+        by_year = {n: indexed(index, "programme") for n, index in self._values.items()}
+        number = F.col("year").cast("int")
+        programmes = by_year["participation"].withColumn("year", number)
+        trained = by_year["training"].select(F.col("programme").alias("training"), F.make_date(
+            number, F.lit(1), F.lit(1)).alias("date"))
+        flagged = filters.slice_for_dashboard(programmes, self.selection, "journey")
+        return journey_programme_choices(flagged, trained, by_year["studio"], years)
 
     def general(self, tab: str, choices: Choices) -> DataFrame:
         rows = filters.years_and_programmes(self.slice(tab), choices.years, choices.programmes)
@@ -109,7 +144,7 @@ class Dashboards:
         return self._programme(tab, name, choices)
 
     def _overview(self, name: str, choices: Choices) -> DataFrame:
-        rows = self.slice("overview")
+        rows = self.yearly("overview")
         if name == "total":
             return counts.participations_by_year(rows)
         if name == "unique_vs_repeat":
@@ -123,9 +158,9 @@ class Dashboards:
 
     def _programme(self, tab: str, name: str, choices: Choices) -> DataFrame:
         if name == "unique":
-            return counts.unique_by_programme_year(self.slice(tab), choices.programmes)
+            return counts.unique_by_programme_year(self.yearly(tab), choices.programmes)
         if name == "repeat":
-            return counts.repeat_by_programme_year(self.slice(tab), choices.programmes)
+            return counts.repeat_by_programme_year(self.yearly(tab), choices.programmes)
         rows = self.general(tab, choices)
         detailed = tab in DETAILED_TABS
         chosen = filters.chosen_columns(choices.filters) if detailed else []
@@ -169,13 +204,17 @@ class Dashboards:
 def published(tables: VersionedTables, keep: bool = False) -> Dashboards:
     """Dashboards over the current version of every table, all of one run.
 
-    Each table is cleaned as every reader does, and training gets its published name back.
+    Each table is cleaned as every reader does, and training gets its published name back. Yearly
+    counts and pickers come from what was derived of each part at publish.
     """
     names = tables.current_versions()
+    derived = DerivedTables(tables)
     read = {n: clean_published(n, tables.read(n, names[n]), distinct=True) for n in
             ("participation", "tag_selection", "studio", "training")}
     return Dashboards(read["participation"], read["tag_selection"], read["studio"],
-                      read["training"].withColumnRenamed("programme", "training"), keep)
+                      read["training"].withColumnRenamed("programme", "training"), keep,
+                      derived.read("participation", "rollup", names["participation"]),
+                      {n: derived.read(n, "values", names[n]) for n in PICKED})
 
 
 ATTRIBUTES = {

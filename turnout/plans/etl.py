@@ -31,6 +31,7 @@ from turnout.operators.joins import (
 )
 from turnout.operators.reshape import stack
 from turnout.session import own_path, remove_path, written
+from turnout.sinks.derived import DerivedTables
 from turnout.sinks.versions import Published, VersionedTables, changed_any, together
 
 # a student row belongs to a workbook; ``updated`` names its year folder
@@ -260,10 +261,12 @@ def _participations(landed: Landed, answers: DataFrame, place: str) -> tuple[Dat
 def publish(landed: Landed, target: VersionedTables) -> tuple[bool, dict[str, Published]]:
     """Build and write every table that changed; tells whether readers must reload.
 
-    What the build wrote for itself is removed, also when the run fails."""
+    What the build wrote for itself is removed, also when the run fails. Pickers and yearly counts are
+    derived from the parts that are new."""
     spark, place = landed.students.sparkSession, f"build-{uuid.uuid4().hex}"
     try:
         results = target.publish_all(build_published(landed, place))
     finally:
         remove_path(spark, own_path(spark, place))
+    DerivedTables(target).update()
     return changed_any(results.values()), results

@@ -28,6 +28,7 @@ from turnout.operators.joins import person_facts, programme_pairs, replace_tags
 from turnout.operators.reshape import stack
 from turnout.plans import etl, landing
 from turnout.session import own_path, path_exists, remove_path, written
+from turnout.sinks.derived import DerivedTables
 from turnout.sinks.versions import NO_VALUE, Published, VersionedTables, changed_any, new_run, together
 
 STATE = "run string, units string, dictionary string, versions string"
@@ -174,6 +175,7 @@ class IncrementalBuild:
         for u in replaced:
             remove_path(self.spark, f"{self.folder}/{u.place}")
         self.ids.clean({dictionary})
+        DerivedTables(self.target).update()
         return Outcome(changed_any(results.values()), results, [(u.kind, u.year) for u in fresh], years)
 
     def _save(self, run: str, units, dictionary: str, versions: dict[str, str]) -> None:

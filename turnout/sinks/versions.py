@@ -262,8 +262,14 @@ class VersionedTables:
             raise LookupError(f"no version {version or ''} of {name}")
         return found
 
-    def read(self, name: str, version: str | None = None) -> DataFrame:
-        """The current version of a table, or another one; years are partitions of the scan."""
+    def kept_folders(self, name: str) -> set[str]:
+        """Folders of the parts of all kept versions."""
+        return {p.folder for s in self._kept(self._history().get(name, [])).values() for p in s.parts}
+
+    def read(self, name: str, version: str | None = None, only: Collection[str] | None = None
+             ) -> DataFrame:
+        """The current version of a table, or another one; years are partitions of the scan. Where
+        ``only`` names parts, no others are read."""
         found = self._find(name, version)
         if found.columns is None:
             path = self.version_path(name, found.version)
@@ -271,12 +277,13 @@ class VersionedTables:
             return self.spark.read.schema(self._declared(name, seen)).parquet(path)
         # the columns of the version (a tag list may lack one) with their declared types
         schema = self._declared(name, T.StructType.fromJson(json.loads(found.columns)))
-        if not found.parts:
+        parts = [p for p in found.parts if only is None or p.part in only]
+        if not parts:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema)
         if LAYOUT.get(name) in schema.names:
             reader = reader.option("basePath", f"{self.root}/{name}")
-        return reader.parquet(*[f"{self.root}/{name}/{p.folder}" for p in found.parts]).select(*schema.names)
+        return reader.parquet(*[f"{self.root}/{name}/{p.folder}" for p in parts]).select(*schema.names)
 
     @staticmethod
     def _declared(name: str, schema: T.StructType) -> T.StructType:
