@@ -141,3 +141,55 @@ def test_people_join_with_shared_ids(spark, rows):
         for u, s in found:
             expected.append((i, y, prog, u, "EXTERNAL" if i == "EXTERNAL" else s))
     assert rows(joins.attach_people(p, f)) == sorted(expected, key=repr)
+
+
+def numbered(spark, tmp_path, pairs, facts):
+    """Tables of pairs, facts and the numbers of all ids."""
+    out = []
+    ids = pairs.select("id").union(facts.select("id"))
+    for name, df in (("pairs", pairs), ("facts", facts), ("numbers", identity.surrogate_ids(ids))):
+        df.write.parquet(f"{tmp_path}/{name}")
+        out.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    return out
+
+
+def test_numbered_people_equal_the_plain_joins(spark, rows, tmp_path):
+    pairs = spark.createDataFrame(
+        [(i, y, p) for i in (None, "NA", "EXTERNAL", "x EXTERNAL", "a", "b", "") for y in (1, 2) for p in "pq"],
+        "id string, year int, programme string")
+    facts = spark.createDataFrame(
+        [(u, i, s) for i in (None, "EXTERNAL", "x EXTERNAL", "a", "c") for u in "12" for s in ("F", None)],
+        "updated string, id string, sex string")
+    for case, people in enumerate((facts, facts.filter("id = 'a'"), facts.filter("false"))):
+        p, f, n = numbered(spark, tmp_path / str(case), pairs, people)
+        found = joins.attach_numbered_people(p, f, n)
+        assert found.columns == ["id", "year", "programme", "number", "updated", "sex"]
+        plain = joins.attach_people(p, f)
+        assert rows(found.drop("number")) == rows(plain.select("id", "year", "programme", "updated", "sex"))
+        number = {r.id: r.number for r in n.collect()}
+        assert all(r.number == number["NA" if r.id is None else r.id] for r in found.collect())
+
+
+def test_pairs_move_once_and_shared_ids_are_split(spark, tmp_path):
+    many = 100_000
+    pairs = spark.range(2 * many).selectExpr(
+        "IF(id % 2 = 0, NULL, CAST(id AS string)) AS id", "2020 AS year",
+        "CONCAT('p', IF(id % 2 = 0, id % 6, id)) AS programme").distinct()
+    facts = spark.range(2 * many).selectExpr(
+        "'2020' AS updated", "IF(id % 2 = 0, NULL, CAST(id AS string)) AS id", "CAST(id AS string) AS name")
+    p, f, n = numbered(spark, tmp_path, pairs, facts)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = joins.attach_numbered_people(p, f, n)
+        plan = joins.named_people(p, f, n)._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in found.filter("id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(sizes) == 3 * many  # every null pair with every null person
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 3, sizes
+    assert plan.count("Exchange hashpartitioning") == 3  # pairs, numbers and people move once each

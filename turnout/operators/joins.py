@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnout import fixed_values as fixed
 from turnout.functions.cleaning import fill_external, split_year_prefix
-from turnout.functions.nulls import starts_with_year
+from turnout.functions.nulls import MISSING_TEXT, starts_with_year
 from turnout.operators.filters import FLAG
 from turnout.operators.groups import first_in_group, join_groups, join_null_safe, with_group_stats
+from turnout.operators.identity import with_surrogate_id
+
+# texts that stand for people who are not known; any number of people rows may share one of them
+SHARED_IDS = (fixed.EXTERNAL, MISSING_TEXT)
 
 
 def programme_pairs(programmes: DataFrame) -> DataFrame:
@@ -28,10 +33,56 @@ def attach_people(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """
     return fill_external(
         join_null_safe(pairs, facts, ["id"], "left"),
-        keep=("id", "updated", "year", "programme", "number"),
+        keep=("id", "updated", "year", "programme"),
+    )
+
+
+def _shared(c: str) -> Column:
+    return F.col(c).isNull() | F.col(c).isin(*SHARED_IDS)
+
+
+def named_people(pairs: DataFrame, facts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Pairs of ids that are a person's own, with number and person data.
+
+    Both joins are on the plain id, so pairs, numbers and people are shuffled once each.
+    """
+    own = numbers.select(F.col("id").alias("_id"), "number").filter(~_shared("_id"))
+    facts = facts.filter(~_shared("id")).withColumnRenamed("id", "_right_id")
+    return (
+        pairs.filter(~_shared("id"))
+        .join(own, F.col("id") == F.col("_id"))
+        .join(facts, F.col("id") == F.col("_right_id"), "left")
+        .drop("_id", "_right_id")
     )
 
 
+def shared_people(pairs: DataFrame, facts: DataFrame, numbers: DataFrame, salts: int) -> DataFrame:
+    """Pairs of the shared ids, with number and person data.
+
+    There are as many pairs as programmes, while any number of people rows may share an id. The
+    people rows are cut into ``salts`` slices, for each of which the pairs are repeated.
+    """
+    few = with_surrogate_id(pairs.filter(_shared("id")), numbers.filter(_shared("id")), into="number")
+    many = facts.filter(_shared("id"))
+    met = join_groups(many, few, ["id"], salts=salts)
+    unmet = join_null_safe(few, many.select("id").distinct(), ["id"], "left_anti")
+    return met.unionByName(unmet, allowMissingColumns=True)
+
+
+def attach_numbered_people(pairs: DataFrame, facts: DataFrame, numbers: DataFrame,
+                           salts: int | None = None) -> DataFrame:
+    """``attach_people`` on pairs that get their surrogate ``number`` first.
+
+    A chain of joins on one shuffle cannot be split by adaptive execution, hence ids that many
+    people rows share go by themselves: null and the texts in ``SHARED_IDS``. There are as many
+    ``salts`` as shuffle partitions by default. Every input is read twice, so it should be a table.
+    """
+    salts = salts or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = named_people(pairs, facts, numbers)
+    rows = named.unionByName(shared_people(pairs, facts, numbers, salts))
+    return fill_external(rows, keep=("id", "updated", "year", "programme", "number"))
+
+
 def enrich_participation(programmes: DataFrame, people: DataFrame) -> DataFrame:
     """Person data on every (id, programme) pair, with the year split off the programme."""
     return attach_people(programme_pairs(programmes), person_facts(people))

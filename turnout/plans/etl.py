@@ -24,7 +24,7 @@ from turnout.operators.filters import (
 from turnout.operators.groups import first_in_group, keep_group_max
 from turnout.operators.identity import surrogate_ids, with_surrogate_id
 from turnout.operators.joins import (
-    attach_people,
+    attach_numbered_people,
     person_facts,
     programme_pairs,
     replace_tags,
@@ -195,11 +195,12 @@ def participation_rows(pairs: DataFrame, facts: DataFrame, sign_ins: DataFrame,
                        numbers: DataFrame) -> DataFrame:
     """Published participation: person data on every pair, ids replaced by their numbers.
 
-    Numbers are attached to the pairs before the join with people makes rows many. Sign-ins and
+    Numbers are attached to the pairs before the join with people makes rows many, by the same
+    partitioning. ``pairs``, ``facts`` and ``numbers`` should be tables, as they are read twice. Sign-ins and
     training without a time count as participations, as in the filled union that null dates tell
     apart; only those rows go through it.
     """
-    participation = attach_people(with_surrogate_id(pairs, numbers, into="number"), facts)
+    participation = attach_numbered_people(pairs, facts, numbers)
     participation = participation.withColumn("id", F.col("number").cast("string")).drop("number")
     undated = stack(
         participation.withColumn("year", F.col("year").cast("string")),

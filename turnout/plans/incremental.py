@@ -209,6 +209,7 @@ class IncrementalBuild:
         tables = self._tables(list(units.values()))
         mine = {n: _of(tables[n], concerned) for n in ("contacts", "sign_ins", "facts", "training")}
         mine["sign_ins"] = written(mine["sign_ins"], f"{temporary}/sign-ins")
+        mine["facts"] = written(mine["facts"], f"{temporary}/facts")
         pairs = written(self._pairs({**mine, "selection": tables["selection"]}), f"{temporary}/pairs")
         if kinds == {"people"}:
             dictionary = old.dictionary  # people alone neither add nor take ids
