@@ -49,6 +49,20 @@ def test_matches(spark, documents):
     assert sorted((r.doc_id or 0) for r in clean.collect()) == [0] + sorted({d for d, _ in docs if d} - bad)
 
 
+def test_long_text_of_a_frequent_pair(spark, documents):
+    """Every place of the text is a shift of the items, and tasks see them in small batches."""
+    items = [(1, "ab cd " * 8), (2, "cd ab " * 7 + "end"), (3, "ab cd"), (4, "ab " * 12)]
+    docs = [(1, "ab cd " * 6000 + "end"), (2, "ab cd " * 4), (3, "x " * 50 + "cd ab"), (4, "ab x " * 3000), (5, None)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        assert run(spark, documents, docs, items) == brute(docs, items)
+        assert run(spark, documents, [*docs, *docs], items) == brute([*docs, *docs], items)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_empty(spark, documents):
     assert run(spark, documents, [(1, "a b")], []) == [(1, 2, 0, [])]
     assert run(spark, documents, [], [(1, "a b")]) == []

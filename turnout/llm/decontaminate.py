@@ -8,7 +8,9 @@
 4. The rarest word's list, shifted by its place in the item, is intersected with the shifted list
    of the second: (document, item, shift). With a slack this gives proximity matches.
 5. Exact check: along each shift the words of document and item are compared, and runs of a
-   window's length or more are hits.
+   window's length or more are hits. A document's text, its items and their shifts are rows of their
+   own that reach a task in this order, so it holds one document and one item at a time, however
+   many shifts there are.
 
 Words are 64-bit hashes of lower-cased letters, digits and non-ASCII characters. Documents are
 keyed by a hash of id and text, so ids may be null or repeated; equal rows share their result.
@@ -143,42 +145,72 @@ def index(docs: DataFrame, held) -> DataFrame:
 
 def intersect(postings: DataFrame, anchors: DataFrame, slack: int = 0) -> DataFrame:
     """(key, iid, shift): where a window's two rarest words stand as far apart as in the item, or
-    differ by at most ``slack``; a shift is the document's position minus the item's."""
+    differ by at most ``slack``; a shift is the document's position minus the item's.
+
+    Lists are as long as a word is frequent in one document, and intersected by hash."""
     lists = postings.where("term IS NOT NULL").select("key", "term", "places").distinct()
     first = anchors.join(lists, F.col("first") == F.col("term")).select(
-        "iid", "key", "first", "second", "second_at",
-        F.explode("places").alias("place"), "first_at").select(
-        "iid", "key", "first", "second", "second_at", (F.col("place") - F.col("first_at")).alias("shift"))
-    single = first.where("first = second")
-    pair = first.where("first != second").withColumnRenamed("key", "of").join(
-        lists, (F.col("second") == F.col("term")) & (F.col("of") == F.col("key"))).where(
-        F.exists("places", lambda x: F.abs(x - F.col("shift") - F.col("second_at")) <= slack))
-    columns = ["key", "iid", "shift"]
-    return pair.select(*columns).union(single.select(*columns)).distinct()
+        "iid", F.col("key").alias("of"), "first", "second", "second_at",
+        F.transform("places", lambda x: x - F.col("first_at")).alias("shifts"))
+    second = F.transform("places", lambda x: x - F.col("second_at"))
+    if slack:
+        second = F.flatten(F.transform(second, lambda x: F.sequence(x - slack, x + slack)))
+    single = first.where("first = second").select(F.col("of").alias("key"), "iid", "shifts")
+    pair = first.where("first != second").join(
+        lists, (F.col("second") == F.col("term")) & (F.col("of") == F.col("key"))).select(
+        "key", "iid", F.array_intersect("shifts", second).alias("shifts"))
+    return pair.union(single).select("key", "iid", F.explode("shifts").alias("shift")).distinct()
+
+
+class _Document:
+    """A document whose words are compared with one item after the other."""
+
+    def __init__(self, key: int, text: bytes):
+        self.key, self.text, self.words = key, text, None
+        self.hit, self.found = np.zeros(0, bool), set()
+
+    def take(self, item_id: str | None, item: np.ndarray, window: int) -> None:
+        if self.words is None:
+            self.words = Words([self.text], ALNUM, lower=True).hashes.view(np.int64)
+            self.hit = np.zeros(len(self.words), bool)
+        self.item_id, self.item, self.least = item_id, item, min(window, len(item))
+
+    def compare(self, shift: int) -> None:
+        low, high = max(0, -shift), min(len(self.item), len(self.words) - shift)
+        if high <= low:
+            return
+        same = self.words[low + shift:high + shift] == self.item[low:high]
+        edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            if b - a >= self.least:
+                self.hit[low + shift + a:low + shift + b] = True
+                self.found.add(self.item_id)
+
+    def row(self) -> pa.RecordBatch:
+        items = sorted(x for x in self.found if x is not None)
+        return pa.record_batch([pa.array([self.key], pa.int64()), pa.array([int(self.hit.sum())], pa.int64()),
+                                pa.array([items], pa.list_(pa.string()))], ["key", "n_hit", "items"])
 
 
 def _compare(window: int):
+    """Rows come sorted by key, iid and shift, nulls first: text, then each item before its shifts."""
+
     def run(batches):
+        doc = None
         for batch in batches:
-            for row in batch.to_pylist():  # one document with the shifts to look at
-                words = Words([(row["text"] or "").encode()], ALNUM, lower=True).hashes.view(np.int64)
-                hit, found = np.zeros(len(words), bool), set()
-                for c in row["tries"]:
-                    item, shift = np.array(c["words"], np.int64), c["shift"]
-                    low, high = max(0, -shift), min(len(item), len(words) - shift)
-                    if high <= low:
-                        continue
-                    same = words[low + shift:high + shift] == item[low:high]
-                    edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
-                        if b - a >= min(window, len(item)):
-                            hit[low + shift + a:low + shift + b] = True
-                            found.add(c["item_id"])
-                if hit.any():
-                    yield pa.record_batch(
-                        [pa.array([row["key"]], pa.int64()), pa.array([int(hit.sum())], pa.int64()),
-                         pa.array([sorted(x for x in found if x is not None)], pa.list_(pa.string()))],
-                        ["key", "n_hit", "items"])
+            texts, ids, words = (batch.column(c) for c in ("text", "item_id", "words"))
+            rows = zip(*[batch.column(c).to_pylist() for c in ("key", "iid", "shift")], strict=True)
+            for i, (key, iid, shift) in enumerate(rows):
+                if shift is not None:
+                    doc.compare(shift)
+                elif iid is not None:
+                    doc.take(ids[i].as_py(), words[i].values.to_numpy(), window)
+                elif doc is None or doc.key != key:  # equal rows of the table share a key
+                    if doc is not None and doc.hit.any():
+                        yield doc.row()
+                    doc = _Document(key, (texts[i].as_py() or "").encode())
+        if doc is not None and doc.hit.any():
+            yield doc.row()
 
     return run
 
@@ -205,10 +237,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
             yield batch.filter(pa.array(_in(held.value, keys)))
 
     texts = keyed.select("key", "text").mapInArrow(possible, "key long, text string")
-    tries = shifts.join(words, "iid").groupBy("key").agg(
-        F.collect_set(F.struct("shift", "item_id", "words")).alias("tries"))
-    found = texts.join(tries, "key").mapInArrow(
-        _compare(window), "key long, n_hit long, items array<string>").dropDuplicates(["key"])
+    pairs = shifts.select("key", "iid").distinct().join(words, "iid")
+    tries = texts.unionByName(pairs, allowMissingColumns=True).unionByName(shifts, allowMissingColumns=True)
+    found = tries.repartition("key").sortWithinPartitions("key", "iid", "shift").mapInArrow(
+        _compare(window), "key long, n_hit long, items array<string>")
     sizes = postings.where("term IS NULL").groupBy("key").agg(
         F.first("n").alias("n_words"), F.count("*").alias("rows"))
     return sizes.join(found, "key", "left").select(
