@@ -56,6 +56,22 @@ def test_the_log_is_compacted(spark, table, tmp_path, monkeypatch):
     assert target.versions("a").count() == 5 and target.read("a").count() == 5
 
 
+def test_the_log_stays_bounded_over_many_runs(spark, table, tmp_path, monkeypatch):
+    """Kept versions and the last publishes remain, with the rows of the runs since the compaction."""
+    monkeypatch.setattr(versions, "COMPACT_FROM", 4)
+    target, sizes = versions.VersionedTables(spark, str(tmp_path), keep=2), []
+    for n in range(1, 25):
+        target.publish_all({"a": table("id int", (n,))})
+        if n % 6 == 0:
+            sizes.append(target.log().count())
+            assert [r["id"] for r in target.read("a").collect()] == [n]
+            assert target.versions("a").count() == 2
+            mirror = target.read("a", target.mirror_version("a"))
+            assert [r["id"] for r in mirror.collect()] == [n - 1]
+    # two kept versions and two publishes, then a store, a publish and a prune for each run
+    assert max(sizes) <= 4 + 3 * 4, sizes
+
+
 def test_duplicate_files_are_removed_in_every_folder(spark, tmp_path):
     for name, text, age in [("x/a", "one", 1), ("x/b", "one", 2), ("y/c", "one", 3), ("y/z/d", "two", 1),
                             ("y/z/e", "two", 1), ("y/z/f", "three", 0)]:
