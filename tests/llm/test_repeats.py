@@ -70,20 +70,22 @@ def unit(rng, n):
     return " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 5))) for _ in range(n))
 
 
-@pytest.mark.parametrize("frequent", [1 / 16, 0.0])
-def test_bytes(spark, documents, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, size", [(1 / 16, 1 << 25), (0.0, 1 << 25), (1 / 16, 1000)])
+def test_bytes(spark, documents, monkeypatch, frequent, size):
     monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     rows = corpus(np.random.default_rng(2), unit)
-    out = substrings.without_repeats(documents(*rows, extra=bool(frequent)), window=30, core=12).collect()
+    out = substrings.without_repeats(documents(*rows, extra=bool(frequent) and size > 1000), window=30, core=12).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.starts), bytes(r.kept)) for r in out), key=repr)
     assert got == brute(rows, 30, False)
 
 
-@pytest.mark.parametrize("frequent", [1 / 16, 0.0])
-def test_words(spark, documents, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, size", [(1 / 16, 1 << 25), (0.0, 1 << 25), (1 / 16, 1000)])
+def test_words(spark, documents, monkeypatch, frequent, size):
     monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
     rows = corpus(np.random.default_rng(3), unit)
-    out = passages.without_repeats(documents(*rows, extra=bool(frequent)), window=9, core=4).collect()
+    out = passages.without_repeats(documents(*rows, extra=bool(frequent) and size > 1000), window=9, core=4).collect()
     got = sorted(((r.doc_id, r.n_words, r.n_removed, len(r.starts), r.kept) for r in out), key=repr)
     assert got == brute(rows, 9, True)
 
@@ -97,3 +99,42 @@ def test_edges(documents, operator):
     assert [d for d, _ in removed] == [1, 1, 2, 9]
     assert removed[1][1] == (len(text[:-40]) if operator is substrings else len(text[:-40].split()))
     assert removed[2] == (2, 0) and removed[3][1] > 0
+
+
+def _group_sizes(spark, monkeypatch, operator, docs, size, **kind):
+    """(most suffixes in a group, tasks times groups) of the exchange that ``operator`` sorts."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", size)
+    seen, plain = [], repeats.exchanged
+
+    def spy(rows, dealt, *order):
+        if not order and len(rows.columns) > 6:
+            seen.append((rows, dealt))
+        return plain(rows, dealt, *order)
+
+    monkeypatch.setattr(repeats, "exchanged", spy)
+    operator.without_repeats(docs, **kind)
+    rows, dealt = seen[0]
+    counts = {}
+    for r in rows.where("kind = 0").select("part", "at").collect():
+        counts[r.part] = counts.get(r.part, 0) + len(r["at"]) // 4
+    return max(counts.values()), dealt[0] * dealt[1]
+
+
+@pytest.mark.parametrize("operator, notice", [
+    (substrings, "All rights reserved. See the license for details of the use."),
+    (passages, "all rights reserved see the license for details of its use today")])
+def test_a_shared_notice_is_spread(spark, documents, monkeypatch, operator, notice):
+    """A notice in every text that is shorter than a window: its suffixes go to many groups."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = [(k, " ".join([*(word() for _ in range(30)), notice, *(word() for _ in range(30))])) for k in range(400)]
+    most, parts = _group_sizes(spark, monkeypatch, operator, documents(*rows), 4000)
+    assert parts >= 32
+    assert most <= 400  # one group for each core would hold the slices of all texts
+
+
+def test_groups_follow_the_text(spark, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 100)
+    tasks, each = repeats.groups(documents((1, "x" * 5000), (2, None)))
+    assert each == -(-5000 // (100 * tasks))
+    assert repeats.groups(documents())[1] == 1

@@ -1,9 +1,11 @@
 """Repeated passages of words by prefix-partitioned suffix trees.
 
-``repeats`` prunes to the suffixes that can begin a repeat. They are dealt by a prefix: the core's
-words, or, for frequent cores, the longer prefix of a slice of windows, so that groups fit in a
-task. Each task sorts its suffixes and builds the tree of their common prefixes; internal nodes at
-a window's depth or deeper, with what precedes them, are the repeats.
+``repeats`` prunes to the suffixes that can begin a repeat. They are dealt to groups by a prefix of
+variable length: the core's words, or, where the counted group of a core is too large, all words of
+a window. Equal windows of a task are sent once, so a group with that longest prefix has at most
+one suffix for each task that gathers. A task reads one group after the other, sorts its suffixes
+and builds the tree of their common prefixes; internal nodes at a window's depth or deeper, with
+what precedes them, are the repeats.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from turnout.llm import repeats
-from turnout.llm.common import partitions
-from turnout.llm.repeats import SLICE, Kind
+from turnout.llm.repeats import Kind
 from turnout.llm.words import MIX, NONSPACE, Words
 
-WINDOW, CORE = 20, 8
+#: Words of a window, of a core, and windows in a slice of a frequent core's block: the prefix of a
+#: slice has WINDOW - SLICE + 1 words.
+WINDOW, CORE, SLICE = 20, 8, 1
 #: Suffixes that a task gathers before it drops equal ones and sends the others on.
 GATHER = 1 << 18
 
@@ -109,7 +112,7 @@ def _groups(kind: Kind, frequent: set, parts: int):
             one, two = ((s[stop] - s[low]) * back[low] for s in sums)
             prefix = found.core.copy()
             cut = found.core == 0
-            long = repeats._span_hashes(values, kind.window - SLICE + 1)
+            long = repeats._span_hashes(values, kind.window - kind.slice + 1)
             prefix[cut] = long[place[cut]]
             joined = words.bytes.tobytes()
             pieces = [joined[a:b] for a, b in zip(words.starts[low].tolist(), words.stops[stop - 1].tolist(), strict=True)]
@@ -128,18 +131,20 @@ def _groups(kind: Kind, frequent: set, parts: int):
 
 def _trees(kind: Kind, parts: int):
     def run(batches):
+        for _, rows in repeats.by_group(batches):
+            yield from grouped(rows)
+
+    def grouped(rows):
         unpack = zstandard.ZstdDecompressor()
         keys, places, shapes, texts = [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"]:
-                    yield pa.record_batch([pa.array([row[c]], pa.int32() if c in ("part", "kind") else pa.binary())
-                                           for c in _NAMES[:6]], _NAMES[:6])
-                    continue
-                keys.append(np.frombuffer(unpack.decompress(row["docs"]), np.int64).reshape(-1, 2))
-                places.append(np.frombuffer(row["at"], np.uint32).astype(np.int64))
-                shapes.append(np.frombuffer(row["sizes"], np.uint16).astype(np.int64))
-                texts.append(unpack.decompress(row["texts"]))
+        for row in rows:
+            if row["kind"]:
+                yield repeats._record(row)
+                continue
+            keys.append(np.frombuffer(unpack.decompress(row["docs"]), np.int64).reshape(-1, 2))
+            places.append(np.frombuffer(row["at"], np.uint32).astype(np.int64))
+            shapes.append(np.frombuffer(row["sizes"], np.uint16).astype(np.int64))
+            texts.append(unpack.decompress(row["texts"]))
         if not keys:
             return
         key, at, shape = (np.concatenate(x) for x in (keys, places, shapes))
@@ -180,11 +185,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE) ->
     as a whole, if a window fits. Rows without id come after all others. An empty table gives no
     rows; further columns are ignored.
     """
-    kind, spark = Kind(True, window, core), docs.sparkSession
-    parts, rows = partitions(spark), repeats.keyed(docs)
-    found, frequent = repeats.candidates(rows, kind)
-    groups = repeats.beside_texts(rows, found, _GROUPS, _groups(kind, frequent, parts))
-    marked = groups.repartitionById(parts, "part").mapInArrow(_trees(kind, parts), repeats._PLACES)
+    kind, rows = Kind(True, window, core, SLICE), repeats.keyed(docs)
+    dealt = repeats.groups(rows)
+    parts = dealt[0] * dealt[1]
+    found, frequent = repeats.candidates(rows, kind, dealt)
+    groups = repeats.beside_texts(rows, found, _GROUPS, _groups(kind, frequent, parts), dealt)
+    marked = repeats.exchanged(groups, dealt).mapInArrow(_trees(kind, parts), repeats._PLACES)
 
     def finish(state, steps):
         for ids, th, texts, again in steps:
@@ -208,4 +214,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE) ->
 
     return repeats.beside_texts(
         rows, marked, "doc_id long, n_words long, n_removed long, starts array<long>, stops array<long>, kept string",
-        finish)
+        finish, dealt)

@@ -9,7 +9,7 @@ all suffixes would move every text many times, so exact pruning goes first:
   it is a *block*.
 * Cores are counted over all documents. One entry per distinct core and task is exchanged, so a
   frequent one costs no more than a rare one. Blocks whose core occurs once hold no repeat.
-* Blocks of the few cores that hold a large share of all places are cut into slices of SLICE
+* Blocks of the few cores that hold a large share of all places are cut into slices of a few
   windows. A slice has its own, longer core and goes where that is dealt.
 
 The remaining blocks are suffixes: the symbols from the core's start on (``right``), with the ones
@@ -18,13 +18,20 @@ common prefixes; what does that is up to the operator. In that order two windows
 symbols before the core are equal if their right parts share W - d symbols and their left parts d:
 ``repeated`` marks, for each d, all but the earliest.
 
+Places, suffixes and documents are dealt to *groups* of some GROUP_BYTES of text by hash. A task
+has many groups if it has much text; Spark sorts what it receives by group, on disk where needed,
+and one group after the other is read, so memory follows the group and not the task.
+
 Documents are ordered by id, then by a hash of the text; rows without id come last. Rows with
 equal id and text are one document for the search; all but one of them are repeats.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +42,27 @@ from pyspark.sql import functions as F
 from turnout.llm.common import STEP_BYTES, partitions, stored, text_steps
 from turnout.llm.words import _BACK, _BASE, _VALUE, MIX, NONSPACE, Words, _power
 
-#: Windows in a slice of a frequent core's block; a core is frequent from this part of the places
-#: that its task counts.
-SLICE, FREQUENT = 4, 1 / 16
+#: A core is frequent from this part of the places that its group counts.
+FREQUENT = 1 / 16
+#: Text that a group stands for, about.
+GROUP_BYTES = 32 << 20
 #: Entries that a task gathers before it sends them on.
 GATHER = 1 << 19
 _NO_ID = 1 << 62
-_PLACE = np.uint64((1 << 30) - 1)
+#: Bits of a place in a step; Spark's texts are shorter than 2 GiB.
+_BITS = np.uint64(31)
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """Bytes or words, with the window's and the core's length."""
+    """Bytes or words, with the window's and the core's length, and the windows in a slice of a
+    frequent core's block."""
 
     words: bool
     window: int
     core: int
+    slice: int
 
     def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words | None]:
         """(a 64-bit value for each symbol, first symbol of each text and the end, the words)."""
@@ -92,7 +104,7 @@ def blocks(values: np.ndarray, bounds: np.ndarray, kind: Kind) -> Blocks:
     if n < kind.window:
         return Blocks(none, none, none, none, none.astype(np.uint64))
     core = _span_hashes(values, kind.core)
-    key = core >> np.uint64(30) << np.uint64(30) | np.arange(len(core), dtype=np.uint64)
+    key = core >> _BITS << _BITS | np.arange(len(core), dtype=np.uint64)
     width, have = kind.window - kind.core + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -137,6 +149,25 @@ def doc_part(ids: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return ((mixed >> np.uint64(34)) % np.uint64(parts)).astype(np.int64)
 
 
+def groups(docs: DataFrame) -> tuple[int, int]:
+    """(tasks, groups of each): as many that a group stands for GROUP_BYTES of text."""
+    tasks = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return tasks, max(1, math.ceil(size / (tasks * GROUP_BYTES)))
+
+
+def exchanged(rows: DataFrame, dealt: tuple[int, int], *order: str) -> DataFrame:
+    """``rows`` at the tasks of their groups, sorted by group and then ``order``."""
+    tasks, each = dealt
+    return rows.repartitionById(tasks, F.expr(f"CAST(part DIV {each} AS INT)")).sortWithinPartitions("part", *order)
+
+
+def by_group(batches):
+    """(group, its rows) of a partition that is sorted by group; rows come one at a time."""
+    rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
+    return groupby(rows, key=itemgetter("part"))
+
+
 def by_part(part: np.ndarray):
     """(part, its rows) for each part."""
     order = np.argsort(part, kind="stable")
@@ -162,6 +193,12 @@ def places(part: int, ids, th, at, more: np.ndarray | None = None, kind: int = 0
                            ["part", "kind", "docs", "runs", "at", "more"])
 
 
+def _record(row: dict) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _PLACES.split(", ")]
+    return pa.record_batch([pa.array([row[c]], pa.int32() if c in ("part", "kind") else pa.binary())
+                            for c in names], names)
+
+
 def read_places(row: dict, more) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, th, at, more) of a row of places."""
     keys = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)
@@ -180,11 +217,11 @@ def _steps(batches):
             yield both[:, 0], both[:, 1], texts
 
 
-def candidates(docs: DataFrame, kind: Kind) -> tuple[DataFrame, set]:
+def candidates(docs: DataFrame, kind: Kind, dealt: tuple[int, int]) -> tuple[DataFrame, set]:
     """Places of blocks whose core occurs elsewhere, dealt by document, and the frequent cores.
 
-    A core is known by its part and 32 bits; cores that share them only add candidates."""
-    parts = partitions(docs.sparkSession)
+    A core is known by its group and 32 bits; cores that share them only add candidates."""
+    parts = dealt[0] * dealt[1]
 
     def name(batches):
         gathered, size = [], 0
@@ -217,18 +254,19 @@ def candidates(docs: DataFrame, kind: Kind) -> tuple[DataFrame, set]:
             yield from sent()
 
     def count(batches):
-        rows = []
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part, group in by_group(batches):
+            rows = []
+            for row in group:
                 if row["kind"]:
-                    yield pa.RecordBatch.from_pylist([row], batch.schema)
+                    yield _record(row)
                 else:
                     ids, th, at, more = read_places(row, np.uint32)
-                    rows.append((ids, th, at, more.reshape(-1, 2), np.full(len(ids), row["part"])))
-        if not rows:
-            return
-        ids, th, at, more, part = (np.concatenate(x) for x in zip(*rows, strict=True))
-        core = part.astype(np.uint64) << np.uint64(32) | more[:, 0].astype(np.uint64)
+                    rows.append((ids, th, at, more.reshape(-1, 2)))
+            if rows:
+                yield from counted(part, *(np.concatenate(x) for x in zip(*rows, strict=True)))
+
+    def counted(part, ids, th, at, more):
+        core = np.uint64(part) << np.uint64(32) | more[:, 0].astype(np.uint64)
         _, back = np.unique(core, return_inverse=True)
         total = np.bincount(back, more[:, 1])
         once = np.flatnonzero((more[:, 1] == 1) & (total[back] > 1))
@@ -236,25 +274,23 @@ def candidates(docs: DataFrame, kind: Kind) -> tuple[DataFrame, set]:
             yield places(p, ids[once[on]], th[once[on]], at[once[on]], kind=1)
         heavy = np.unique(core[total[back] >= max(64, FREQUENT * total.sum())])
         if len(heavy):
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([2], pa.int32()),
-                                   *[pa.array([b""])] * 3, pa.array([heavy.tobytes()])], ["part", "kind", "docs", "runs", "at", "more"])
+            yield _record({"part": -1, "kind": 2, "docs": b"", "runs": b"", "at": b"", "more": heavy.tobytes()})
 
-    named = docs.mapInArrow(name, _PLACES).repartitionById(parts, "part")
+    named = exchanged(docs.mapInArrow(name, _PLACES), dealt)
     found = stored(named.mapInArrow(count, _PLACES), "candidates")
-    frequent = set()  # at most 1 / FREQUENT cores of each part
+    frequent = set()  # at most 1 / FREQUENT cores of each group
     for row in found.where("kind = 2").select("more").collect():
         frequent |= set(np.frombuffer(row.more, np.uint64).tolist())
     return found.where("kind = 1"), frequent
 
 
-def beside_texts(docs: DataFrame, side: DataFrame, schema: str, run) -> DataFrame:
+def beside_texts(docs: DataFrame, side: DataFrame, schema: str, run, dealt: tuple[int, int]) -> DataFrame:
     """Bring rows of places together with their documents.
 
-    ``run(state, steps)`` yields batches of ``schema`` for a partition. ``steps`` gives (ids, th,
+    ``run(state, steps)`` yields batches of ``schema`` for a group. ``steps`` gives (ids, th,
     texts, whether each row repeats an equal one); by its first step ``state["all"]`` has the
-    sorted arrays (ids, th, at, more) of the partition's places, or None. Texts travel
-    compressed."""
-    parts = partitions(docs.sparkSession)
+    sorted arrays (ids, th, at, more) of the group's places, or None. Texts travel compressed."""
+    parts = dealt[0] * dealt[1]
 
     def packed(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -268,48 +304,45 @@ def beside_texts(docs: DataFrame, side: DataFrame, schema: str, run) -> DataFram
                 ["part", "kind", "docs", "runs", "at", "more"])
 
     def joined(batches):
+        for _, rows in by_group(batches):
+            state = {}
+            yield from run(state, steps(rows, state))
+
+    def steps(rows, state):
         unpack = zstandard.ZstdDecompressor()
-        held, seen, state = [], set(), {}
-
-        def steps():
-            keys, texts, again, size = [], [], [], 0
-            for batch in batches:
-                kinds = batch.column("kind").to_numpy()
-                for k in range(batch.num_rows):
-                    if kinds[k] != 9:
-                        held.append({c: batch.column(c)[k].as_py() for c in ("docs", "runs", "at", "more")})
-                        continue
-                    if "all" not in state:  # texts come after all places
-                        state["all"] = gathered()
-                    key = batch.column("docs")[k].as_py()
-                    text = unpack.decompress(batch.column("more")[k].as_py())
-                    if texts and size + len(text) > STEP_BYTES:
-                        both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                        yield both[:, 0], both[:, 1], texts, np.array(again)
-                        keys, texts, again, size = [], [], [], 0
-                    keys.append(key)
-                    texts.append(text)
-                    again.append(key in seen)
-                    seen.add(key)
-                    size += len(text)
-            if texts:
+        held, seen, keys, texts, again, size = [], set(), [], [], [], 0
+        for row in rows:
+            if row["kind"] != 9:
+                held.append(row)
+                continue
+            if "all" not in state:  # texts come after all places
+                state["all"] = gathered(held)
+            text = unpack.decompress(row["more"])
+            if texts and size + len(text) > STEP_BYTES:
                 both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 yield both[:, 0], both[:, 1], texts, np.array(again)
-
-        def gathered():
-            got = [read_places(r, np.uint64) for r in held]
-            held.clear()
-            if not got:
-                return None
-            ids, th, at = (np.concatenate([g[k] for g in got]) for k in range(3))
-            more = np.concatenate([g[3] for g in got]) if len(got[0][3]) else np.zeros(len(ids), np.uint64)
-            order = np.lexsort((at, th, ids))
-            return ids[order], th[order], at[order], more[order]
-
-        yield from run(state, steps())
+                keys, texts, again, size = [], [], [], 0
+            keys.append(row["docs"])
+            texts.append(text)
+            again.append(row["docs"] in seen)
+            seen.add(row["docs"])
+            size += len(text)
+        if texts:
+            both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            yield both[:, 0], both[:, 1], texts, np.array(again)
+
+    def gathered(held):
+        got = [read_places(r, np.uint64) for r in held]
+        held.clear()
+        if not got:
+            return None
+        ids, th, at = (np.concatenate([g[k] for g in got]) for k in range(3))
+        more = np.concatenate([g[3] for g in got]) if len(got[0][3]) else np.zeros(len(ids), np.uint64)
+        order = np.lexsort((at, th, ids))
+        return ids[order], th[order], at[order], more[order]
 
     both = side.select(*[c.split()[0] for c in _PLACES.split(", ")]).union(docs.mapInArrow(packed, _PLACES))
-    return both.repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(joined, schema)
+    return exchanged(both, dealt, "kind").mapInArrow(joined, schema)
 
 
 def of_docs(found, ids: np.ndarray, th: np.ndarray) -> list[tuple[int, int]]:
@@ -342,8 +375,8 @@ def candidate_blocks(found, ids, th, again, values, bounds, kind: Kind, frequent
         return own
     # slices are of fixed distances before the core, so equal windows are in equal slices
     pieces = [light]
-    for near in range(0, kind.window - kind.core + 1, SLICE):
-        far = near + SLICE - 1
+    for near in range(0, kind.window - kind.core + 1, kind.slice):
+        far = near + kind.slice - 1
         high, low = np.minimum(cut.high, cut.at - near), np.maximum(cut.low, cut.at - far)
         on = np.flatnonzero(high >= low)
         pieces.append(Blocks(cut.doc[on], cut.at[on] - near, low[on], high[on], np.zeros(len(on), np.uint64)))

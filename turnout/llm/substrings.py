@@ -2,10 +2,12 @@
 
 ``repeats`` prunes to the suffixes that can begin a repeat. Each task sorts its own into runs,
 with the length that each shares with the one before, keeps one of equal ones, and sends them
-front-coded (shared length and tail only) to the task that has their range of the alphabet. There
-a loser tree merges the runs: a comparison starts behind the prefix that both contenders are known
-to share with the last winner, and different shared lengths decide without looking at bytes. The
-merged order comes with its common-prefix lengths, which tell the repeated windows.
+front-coded (shared length and tail only) to the task that has their range of the alphabet, in as
+many groups by the core's hash as memory needs. Slices of a frequent core can begin with the same
+bytes throughout, so they are dealt by all that their windows share. In each group a loser tree
+merges the runs: a comparison starts behind the prefix that both contenders are known to share with
+the last winner, and different shared lengths decide without looking at bytes. The merged order
+comes with its common-prefix lengths, which tell the repeated windows.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import repeats
-from turnout.llm.common import first_by_hash, partitions
+from turnout.llm.common import first_by_hash
 from turnout.llm.repeats import Kind
 
-WINDOW, CORE = 100, 50
+#: Bytes of a window, of a core, and windows in a slice of a frequent core's block.
+WINDOW, CORE, SLICE = 100, 50, 4
 #: Suffixes in a run, and documents (with at most so many characters) that the ranges are chosen by.
 RUN, SAMPLE, SAMPLE_CHARS = 1 << 18, 400, 20_000
 
@@ -126,13 +129,15 @@ def _splitters(docs: DataFrame, kind: Kind, parts: int, sample: int) -> np.ndarr
     return np.unique(starts[np.arange(1, parts) * len(starts) // parts])
 
 
-def _runs(kind: Kind, frequent: set, parts: int, splitters: np.ndarray):
+def _runs(kind: Kind, frequent: set, dealt: tuple[int, int], splitters: np.ndarray):
+    each, parts = np.uint64(dealt[1]), dealt[0] * dealt[1]
+
     def run(state, steps):
         pack = zstandard.ZstdCompressor(level=1)
         gathered, size = [], 0
 
         def sent():
-            right, n_right, left, n_left, ids, th, at, mask = (
+            right, n_right, left, n_left, ids, th, at, mask, core, cut = (
                 np.concatenate(x) for x in zip(*gathered, strict=True))
             early = np.lexsort((at, th, ids))
             key = np.column_stack([right, n_right, left, n_left + 1]).astype(np.uint8)[early]
@@ -145,7 +150,11 @@ def _runs(kind: Kind, frequent: set, parts: int, splitters: np.ndarray):
                 batch = repeats.places(p, ids[rows], th[rows], at[rows], mask[rows], kind=1)
                 yield pa.record_batch([*batch.columns, *[pa.nulls(1, pa.binary())] * 3], _NAMES)
             order = order[~same]
-            part = np.searchsorted(splitters, _rows_as_text(right[order, :kind.core]), "right")
+            part = np.searchsorted(splitters, _rows_as_text(right[order, :kind.core]), "right") * dealt[1]  # the range
+            part += (core[order] % each).astype(np.int64)
+            part = np.where(cut[order], repeats.deal(core[order], parts), part)
+            by = np.argsort(part, kind="stable")
+            order, part = order[by], part[by]
             differ = right[order[1:]] != right[order[:-1]]
             common = np.where(differ.any(axis=1), differ.argmax(axis=1), kind.window)
             common = np.append(0, np.minimum(common, np.minimum(n_right[order[1:]], n_right[order[:-1]])))
@@ -167,10 +176,14 @@ def _runs(kind: Kind, frequent: set, parts: int, splitters: np.ndarray):
             found = repeats.candidate_blocks(state["all"], ids, th, again, values, bounds, kind, frequent, parts)
             if len(found.at):
                 data = np.frombuffer(b"".join(texts), np.uint8)
+                cut = found.core == 0  # slices go by what all their windows share
+                if cut.any():
+                    common = repeats._span_hashes(values, kind.window - kind.slice + 1)
+                    found.core[cut] = common[bounds[found.doc[cut]] + found.at[cut]]
                 for low in range(0, len(found.at), RUN // 4):
                     few = found.pick(slice(low, low + RUN // 4))
                     gathered.append((*_sides(data, bounds, few, kind), ids[few.doc], th[few.doc], few.at,
-                                     repeats.whole_mask(few)))
+                                     repeats.whole_mask(few), few.core, cut[low:low + RUN // 4]))
                     size += len(few.at)
                     if size >= RUN:
                         yield from sent()
@@ -183,29 +196,31 @@ def _runs(kind: Kind, frequent: set, parts: int, splitters: np.ndarray):
 
 def _merged(kind: Kind, parts: int):
     def run(batches):
+        for _, rows in repeats.by_group(batches):
+            yield from grouped(rows)
+
+    def grouped(rows):
         unpack = zstandard.ZstdDecompressor()
         runs, commons, keys, places, fronts, lefts = [], [], [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"]:
-                    yield pa.record_batch([pa.array([row[c]], pa.int32() if c in ("part", "kind") else pa.binary())
-                                           for c in _NAMES[:6]], _NAMES[:6])
-                    continue
-                front = np.frombuffer(unpack.decompress(row["front"]), np.uint8).reshape(-1, 3)
-                tails, last, strings, at = unpack.decompress(row["tails"]), b"", [], 0
-                for shared, size in front[:, :2].tolist():
-                    last = last[:shared] + tails[at:at + size - shared]
-                    at += size - shared
-                    strings.append(last)
-                runs.append(strings)
-                commons.append(front[:, 0].tolist())
-                fronts.append(front)
-                keys.append(np.frombuffer(unpack.decompress(row["docs"]), np.int64).reshape(-1, 2))
-                places.append(np.frombuffer(row["at"], np.uint32).astype(np.int64))
-                width = kind.window - kind.core
-                left = np.zeros((len(front), width), np.uint8)
-                left[np.arange(width) < front[:, 2][:, None]] = np.frombuffer(unpack.decompress(row["lefts"]), np.uint8)
-                lefts.append(left)
+        for row in rows:
+            if row["kind"]:
+                yield repeats._record(row)
+                continue
+            front = np.frombuffer(unpack.decompress(row["front"]), np.uint8).reshape(-1, 3)
+            tails, last, strings, at = unpack.decompress(row["tails"]), b"", [], 0
+            for shared, size in front[:, :2].tolist():
+                last = last[:shared] + tails[at:at + size - shared]
+                at += size - shared
+                strings.append(last)
+            runs.append(strings)
+            commons.append(front[:, 0].tolist())
+            fronts.append(front)
+            keys.append(np.frombuffer(unpack.decompress(row["docs"]), np.int64).reshape(-1, 2))
+            places.append(np.frombuffer(row["at"], np.uint32).astype(np.int64))
+            width = kind.window - kind.core
+            left = np.zeros((len(front), width), np.uint8)
+            left[np.arange(width) < front[:, 2][:, None]] = np.frombuffer(unpack.decompress(row["lefts"]), np.uint8)
+            lefts.append(left)
         if not runs:
             return
         owner, common = (np.array(x) for x in merge(runs, commons))
@@ -243,11 +258,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE) ->
     Rows without id come after all others. An empty table gives no rows; further columns are
     ignored.
     """
-    kind, spark = Kind(False, window, core), docs.sparkSession
-    parts, rows = partitions(spark), repeats.keyed(docs)
-    found, frequent = repeats.candidates(rows, kind)
-    runs = repeats.beside_texts(rows, found, _RUNS, _runs(kind, frequent, parts, _splitters(docs, kind, parts, SAMPLE)))
-    marked = runs.repartitionById(parts, "part").mapInArrow(_merged(kind, parts), repeats._PLACES)
+    kind, rows = Kind(False, window, core, SLICE), repeats.keyed(docs)
+    dealt = repeats.groups(rows)
+    found, frequent = repeats.candidates(rows, kind, dealt)
+    runs = repeats.beside_texts(
+        rows, found, _RUNS, _runs(kind, frequent, dealt, _splitters(docs, kind, dealt[0], SAMPLE)), dealt)
+    marked = repeats.exchanged(runs, dealt).mapInArrow(_merged(kind, dealt[0] * dealt[1]), repeats._PLACES)
 
     def finish(state, steps):
         for ids, th, texts, again in steps:
@@ -270,4 +286,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, core: int = CORE) ->
 
     return repeats.beside_texts(
         rows, marked, "doc_id long, n_bytes long, n_removed long, starts array<long>, stops array<long>, kept binary",
-        finish)
+        finish, dealt)
