@@ -12,6 +12,11 @@ is faster and loses pairs. Equal vectors are compared once.
 The centres come from a bounded sample and only decide the balance. Large cells are cut into
 chunks of members and chunks of visitors. Pairs of chunks with members are separate tasks. A task
 returns the number of links of each vector, and links that span its groups, never all pairs.
+
+A block of products is bounded first: of vectors turned so that the sample varies most along the
+leading coordinates, x.y is at most the product of the leading ones plus that of the norms of the
+rest. That product of short vectors in single precision, with its rounding allowed for, leaves few
+pairs whose cosine is then taken in double precision.
 """
 
 from __future__ import annotations
@@ -28,7 +33,11 @@ from turnout.llm.components import components
 
 COSINE = 0.9
 #: Vectors that the centres are fitted on, at most; vectors in a cell and in a chunk.
-SAMPLE, CELL, CHUNK = 16384, 65536, 16384
+SAMPLE, CELL, CHUNK = 16384, 8192, 16384
+#: Leading coordinates that a product is bounded by.
+LEAD = 24
+#: Rounding of such a product in single precision.
+_LOOSE = np.float32(1e-5)
 ROUNDS = 8
 #: Distance to a separating plane up to which a vector visits the other side; None loses no pair.
 REACH = None
@@ -38,7 +47,14 @@ _CHUNKS = 1 << 24
 _SLACK = 1e-9
 
 
-def _units(rows: list) -> np.ndarray:
+def _raw(column) -> np.ndarray:
+    """Vectors of equal length as rows, in the precision that they came with."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares may overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -58,24 +74,47 @@ def centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return found
 
 
-def _compare(x, weight, home, chunk, own_cell, cell: int, same: bool, least: float, found, reach: float):
+def turned(sample: np.ndarray) -> np.ndarray:
+    """Directions as columns, by falling second moment of the sample."""
+    return np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+
+
+def _bounds(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Short vectors whose products are never below the cosines of ``x``, but for rounding."""
+    y = x @ turn
+    return np.column_stack([y[:, :LEAD], np.linalg.norm(y[:, LEAD:], axis=1)]).astype(np.float32)
+
+
+def _near(x: np.ndarray, short: np.ndarray, low: int, high: int, least: float):
+    """Pairs a < b with cosines of at least ``least`` of the rows low to high with all from low on."""
+    close = short[low:high] @ short[low:].T >= np.float32(least) - _LOOSE
+    close[:, :high - low] &= np.tri(high - low, dtype=bool).T
+    np.fill_diagonal(close, False)
+    a, b = np.divmod(np.flatnonzero(close), close.shape[1])
+    if len(a) * 16 > close.size:  # a dense block
+        a, b = np.nonzero(close & (x[low:high] @ x[low:].T >= least))
+    else:
+        sure = [np.einsum("ij,ij->i", x[low + a[i:i + 65536]], x[low + b[i:i + 65536]]) >= least
+                for i in range(0, len(a), 65536)]
+        sure = np.concatenate(sure) if sure else np.zeros(0, bool)
+        a, b = a[sure], b[sure]
+    return low + a, low + b
+
+
+def _compare(x, weight, home, chunk, own_cell, cell: int, same: bool, least: float, found, turn, reach: float):
     """(links of each vector, links a-b that span groups) of home vectors with all others.
 
     A pair of two cells is found in either or in both. A home vector counts its links here; a
     visitor's are counted here only if the other vector doesn't visit the visitor's cell."""
     order = np.argsort(~home, kind="stable")
     x, weight, home, chunk, own_cell = (c[order] for c in (x, weight, home, chunk, own_cell))
-    n, rows = len(x), np.flatnonzero(home)
+    n, members, short = len(x), np.count_nonzero(home), _bounds(x, turn)
     links, ends = np.zeros(n, np.int64), []
-    for low in range(0, len(rows), 512):
-        own = rows[low:low + 512]
-        first = own[0]
-        near = x[own] @ x[first:].T >= least
-        near &= np.arange(first, n)[None, :] > own[:, None]
+    for low in range(0, members, 512):
+        a, b = _near(x, short, low, min(low + 512, members), least)
         if not same:
-            near &= chunk[own][:, None] != chunk[first:][None, :]
-        a, b = np.nonzero(near)
-        a, b = own[a], b + first
+            other = chunk[a] != chunk[b]
+            a, b = a[other], b[other]
         np.add.at(links, a, weight[b])
         here = home[b]
         for part in np.array_split(np.flatnonzero(~here), 1 + len(a) // 4096):
@@ -88,7 +127,7 @@ def _compare(x, weight, home, chunk, own_cell, cell: int, same: bool, least: flo
             b = np.flatnonzero(label != np.arange(n))
             a = label[b]
         ends.append((a, b))
-    a, b = (np.concatenate(c) for c in zip(*ends, strict=True)) if ends else (rows, rows)
+    a, b = (np.concatenate(c) for c in zip(*ends, strict=True)) if ends else 2 * (np.zeros(0, np.int64),)
     label = local_components(n, a, b)
     moved = np.flatnonzero(label != np.arange(n))
     return order, links, moved, label[moved]
@@ -111,7 +150,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, cell: int = CELL,
     spark = vectors.sparkSession
     usable = (F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e)
               & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    single = vectors.select("embedding").dtypes[0][1] == "array<float>"  # half the bytes to send
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
+                          F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     marked = rows.withColumn("good", F.coalesce(usable, F.lit(False)))
     # equal vectors are one, with their number: a group of copies costs one row
     distinct = stored(marked.where("good").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
@@ -144,9 +185,11 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     """Rows (a, n) with the links of each vector in a cell, and (a, b) that span groups."""
     spark = own.sparkSession
     some = first_by_hash(own.select("key", "v"), sample, "key").select("v").toArrow()  # bounded
-    points = _units(some.column("v").to_pylist())
+    points = _units(_raw(some.column("v")))
     k = max(1, min(len(points), math.ceil(n / cell)))
     shared = spark.sparkContext.broadcast(centres(points, k))  # at most ``sample`` vectors
+    turn = turned(points)
+    kind = np.float32 if dict(own.dtypes)["v"] == "array<float>" else np.float64
     exact = math.sqrt(2 - 2 * least)
     reach = exact if reach is None else min(reach, exact)
 
@@ -156,7 +199,7 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     def widest(batches):
         found = np.full(k, -1.0)
         for batch in batches:
-            x = _units(batch.column("v").to_pylist())
+            x = _units(_raw(batch.column("v")))
             for low in range(0, len(x), 1024):
                 close = x[low:low + 1024] @ shared.value.T
                 np.maximum.at(found, close.argmax(axis=1), angle(close.max(axis=1)))
@@ -171,7 +214,7 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     least_close[np.isinf(radius)] = 2
 
     def routed(batch):
-        found, x = shared.value, _units(batch.column("v").to_pylist())
+        found, x = shared.value, _units(_raw(batch.column("v")))
         gaps = np.sqrt(np.maximum(2 - 2 * np.clip(found @ found.T, -1, 1), 0))
         for low in range(0, len(x), 1024):
             part = x[low:low + 1024]
@@ -182,12 +225,12 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
             visit &= close >= least_close
             visit[np.arange(len(part)), home] = True
             row, to = np.nonzero(visit)
-            yield row + low, to, home[row], x
+            yield row + low, to, home[row]
 
     def count(batches):
         sums = np.zeros((2, k), np.int64)
         for batch in batches:
-            for _, to, home, _ in routed(batch):
+            for _, to, home in routed(batch):
                 for side in (0, 1):
                     sums[side] += np.bincount(to[(to == home) == (side == 0)], minlength=k)
         some = np.flatnonzero(sums.sum(axis=0))
@@ -204,7 +247,8 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     def deal(batches):
         for batch in batches:
             keys, weight = batch.column("key").to_numpy(), batch.column("copies").to_numpy()
-            for row, to, cell_of, x in routed(batch):
+            x = _raw(batch.column("v"))
+            for row, to, cell_of in routed(batch):
                 home = to == cell_of
                 m, v = members[to], visitors[to]
                 mixed = (keys[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -215,7 +259,7 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
                     on = np.flatnonzero(j < g)
                     pair = np.minimum(own[on], j) * _CHUNKS + np.maximum(own[on], j)
                     vectors = pa.FixedSizeBinaryArray.from_buffers(
-                        pa.binary(8 * x.shape[1]), len(on), [None, pa.py_buffer(np.ascontiguousarray(x[row[on]]).tobytes())])
+                        pa.binary(x.itemsize * x.shape[1]), len(on), [None, pa.py_buffer(np.ascontiguousarray(x[row[on]]).tobytes())])
                     yield pa.record_batch(
                         [pa.array(to[on]), pa.array(pair), pa.array(own[on]), pa.array(home[on]), pa.array(cell_of[on]),
                          pa.array(keys[row[on]]), pa.array(weight[row[on]]), vectors.cast(pa.binary())],
@@ -224,11 +268,11 @@ def _links(own: DataFrame, n: int, least: float, cell: int, chunk: int, sample:
     def compare(key, table):
         pair = key[1].as_py()
         keys = table.column("key").to_numpy()
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(len(keys), -1)
+        x = _units(np.frombuffer(b"".join(table.column("x").to_pylist()), kind).reshape(len(keys), -1))
         order, links, moved, root = _compare(
             x, table.column("copies").to_numpy(), table.column("home").to_numpy(zero_copy_only=False),
             table.column("chunk").to_numpy(), table.column("own_cell").to_numpy(), key[0].as_py(),
-            pair // _CHUNKS == pair % _CHUNKS, least, shared.value, reach)
+            pair // _CHUNKS == pair % _CHUNKS, least, shared.value, turn, reach)
         keys = keys[order]
         on = np.flatnonzero(links)
         return pa.table({
