@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from turnout.llm import simhash
 
@@ -86,8 +87,27 @@ def test_links_equal_brute_force(spark):
     i, j = np.nonzero(apart <= 4)
     expected = simhash.local_components(len(fps), i, j)
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
-    for chunk, sample in ((100, 1 << 16), (16384, 200)):
-        found = simhash.links(frame, len(fps), leaf=64, chunk=chunk, sample=sample).collect()
+    for sizes in ({"chunk": 100}, {"sample": 200}, {"chunk": 100, "sample": 200, "deep": 100},
+                  {"chunk": 50, "sample": 100, "deep": 300, "at_once": 60}):
+        found = simhash.links(frame, len(fps), leaf=64, **sizes).collect()
         a, b = (np.array([place[r[k]] for r in found]) for k in (0, 1))
         assert (apart[a, b] <= 4).sum() >= 0
         assert np.array_equal(simhash.local_components(len(fps), a, b), expected)
+
+
+def test_large_leaves_grow_on(spark):
+    """At ten and at a hundred times the sample no task compares more than two chunks, and the leaves
+    of the second level are far below those of the first."""
+    fps = np.unique(np.random.default_rng(8).integers(0, 2**64, 20000, dtype=np.uint64))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+
+    def sizes(*keys, **how):
+        rows = simhash.in_leaves(frame, len(fps), leaf=64, **how).groupBy(*keys).agg(
+            F.countDistinct("fp").alias("n"))
+        return rows.agg(F.max("n").alias("most")).first().most
+
+    for sample in (2000, 200):
+        first = sizes("leaf", "node", sample=sample)
+        how = {"chunk": 500, "sample": sample, "deep": 1000, "at_once": 2000}
+        assert sizes("leaf", "node", "pair", **how) <= 1200
+        assert sample == 2000 or 2 * sizes("leaf", "node", **how) < first

@@ -8,9 +8,12 @@ also visits the near side while its distance does not exceed the median by more
 radius. The triangle inequality makes every other pair of the two sides too far apart, so a leaf
 compares its own fingerprints with themselves and with its visitors, and no pair is lost.
 
-Trees are built from a bounded sample, which only decides the balance. Leaves that stay large
-are cut into chunks whose pairs are separate tasks. Tasks return links to one representative per
-local group instead of all pairs.
+Trees are built from a bounded sample, which only decides the balance. A leaf that holds more than a
+task compares grows on: tasks that read the fingerprints of such a leaf get a sample of them first,
+build the tree of the second level from it, and pass the others through. Every task of a leaf gets
+the same sample, so a large leaf can have many tasks. Leaves that stay large, as their
+fingerprints agree in the block, are cut into chunks whose pairs are separate tasks. Tasks return
+links to one representative per local group instead of all pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from turnout.llm.common import (
     first_by_hash,
     free_name,
     local_components,
+    partitions,
     row_hashes,
     stored,
     text_slices,
@@ -38,6 +42,8 @@ SEED = 42
 SAMPLE = 1 << 16
 #: Fingerprints that a leaf should hold, and that a task compares with one another.
 LEAF, CHUNK = 512, 16384
+#: Fingerprints that the tree of a large leaf is built from, about, and that one task passes through it.
+DEEP, ROUTED = 8192, 1 << 20
 #: A pair of chunks is the number first * PAIRS + second.
 PAIRS = 1 << 31
 
@@ -126,10 +132,13 @@ class Tree:
                 self.far[node] = self._grow(points[apart > median], leaf, rng)
         return node
 
-    def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home): the leaf each fingerprint is in, and the leaves that it visits."""
+    def route(self, fps: np.ndarray, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home): the leaf each fingerprint is in, and the leaves that it visits.
+
+        Fingerprints that aren't ``home`` visit only."""
         row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
-        home, block, done = np.ones(len(fps), bool), fps & self.mask, []
+        home = np.ones(len(fps), bool) if home is None else home
+        block, done = fps & self.mask, []
         while len(row):
             ended = self.median[node] < 0
             done.append((row[ended], node[ended], home[ended]))
@@ -178,9 +187,14 @@ def _links(fps: np.ndarray, home: np.ndarray, chunk: np.ndarray, i: int, j: int,
     return fps[moved], fps[label[moved]]
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, chunk: int = CHUNK,
-          sample: int = SAMPLE) -> DataFrame:
-    """Links (a, b) between ``n`` distinct fingerprints ``fp`` that span each group of links."""
+def _mixed(fps: np.ndarray) -> np.ndarray:
+    return (fps * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def in_leaves(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, chunk: int = CHUNK,
+              sample: int = SAMPLE, deep: int = DEEP, at_once: int = ROUTED) -> DataFrame:
+    """(leaf, node, home, fp, chunk, pair) of ``n`` distinct fingerprints ``fp``: the leaves that each
+    is in or visits, a node of the second level in large ones, and a row for each pair of chunks."""
     spark, masks = distinct.sparkSession, _masks(radius)
     rows = first_by_hash(distinct.select("fp"), sample, "fp").collect()  # bounded by the parameter
     points = np.array([r.fp for r in rows], np.int64).view(np.uint64)
@@ -205,37 +219,94 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF, c
                               ["leaf", "n"])
 
     # one row for each large leaf of the trees, whose number the sample bounds
-    large = {r.leaf: -(-r.n // chunk) for r in
+    large = {r.leaf: r.n for r in
              distinct.mapInArrow(count, "leaf long, n long").groupBy("leaf")
              .agg(F.sum("n").alias("n")).where(F.col("n") > chunk).collect()}
+    names = np.array(sorted(large), np.int64)
+    sizes = np.array([large[k] for k in names.tolist()], np.int64)
 
     def deal(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for row, leaves, home in routed(fps):
-                out = [(row, leaves, home, np.zeros(len(row), np.int64), np.zeros(len(row), np.int64))]
-                if large:
-                    g = np.array([large.get(int(x), 1) for x in leaves])
-                    own = (fps[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % g
-                    out = []
-                    for k in range(int(g.max())):
-                        with_ = np.flatnonzero(k < g)
-                        pair = np.minimum(own[with_], k) * PAIRS + np.maximum(own[with_], k)
-                        out.append((row[with_], leaves[with_], home[with_], pair, own[with_]))
-                for r, lf, h, pair, own in out:
-                    yield pa.record_batch([pa.array(lf), pa.array(pair), pa.array(own),
-                                           pa.array(h), pa.array(fps[r].view(np.int64))],
-                                          ["leaf", "pair", "chunk", "home", "fp"])
+                on = ~np.isin(leaves, names)
+                row, leaves, home = row[on], leaves[on], home[on]
+                yield pa.record_batch([pa.array(leaves), pa.array(np.zeros(len(row), np.int64)),
+                                       pa.array(home), pa.array(fps[row].view(np.int64))],
+                                      ["leaf", "node", "home", "fp"])
+
+    def to_large(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for row, leaves, home in routed(fps):
+                on = np.isin(leaves, names)
+                own, leaves, home = fps[row[on]], leaves[on], home[on]
+                total, mixed = sizes[np.searchsorted(names, leaves)], _mixed(own)
+                tasks = -(-total // at_once)
+                first = home & (mixed * (1.0 / (1 << 31)) * total < deep)
+                at = np.flatnonzero(first)
+                copy = np.repeat(at, tasks[at])  # each task of the leaf gets the sample
+                to = np.arange(len(copy)) - np.repeat(np.cumsum(tasks[at]) - tasks[at], tasks[at])
+                yield pa.record_batch(
+                    [pa.array(np.concatenate([leaves[copy], leaves])),
+                     pa.array(np.concatenate([to, _mixed(own ^ np.uint64(0xFF51AFD7ED558CCD)) % tasks])),
+                     pa.array(np.concatenate([np.zeros(len(copy), np.int32), np.ones(len(own), np.int32)])),
+                     pa.array(np.concatenate([home[copy], home])),
+                     pa.array(np.concatenate([own[copy], own]).view(np.int64))],
+                    ["leaf", "task", "later", "home", "fp"])
+
+    def deepened(batches):
+        now, tree, first = None, None, []
+        for batch in batches:
+            leaves, task, later = (batch.column(c).to_numpy() for c in ("leaf", "task", "later"))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            edges = np.flatnonzero((np.diff(leaves) != 0) | (np.diff(task) != 0)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(fps)], strict=True):
+                if low == high:
+                    continue
+                if now != (leaves[low], task[low]):
+                    now, tree, first = (leaves[low], task[low]), None, []
+                cut = low + int(np.searchsorted(later[low:high], 1))
+                first.append(fps[low:cut])
+                if cut == high:
+                    continue
+                if tree is None:
+                    points = np.sort(np.concatenate(first))
+                    tree = Tree(points, masks[int(now[0]) % len(masks)],
+                                max(4, leaf * len(points) // large[int(now[0])]), reach)
+                row, node, stays = tree.route(fps[cut:high], home[cut:high])
+                yield pa.record_batch([pa.array(leaves[cut + row]), pa.array(node), pa.array(stays),
+                                       pa.array(fps[cut + row].view(np.int64))], ["leaf", "node", "home", "fp"])
+
+    schema, none = "leaf long, node long, home boolean, fp long", F.lit(0).cast("long")
+    dealt = distinct.mapInArrow(deal, schema).select("*", none.alias("chunk"), none.alias("pair"))
+    if large:
+        grown = distinct.mapInArrow(to_large, "leaf long, task long, later int, home boolean, fp long")
+        grown = stored(grown.repartition(partitions(spark), "leaf", "task")
+                       .sortWithinPartitions("leaf", "task", "later").mapInArrow(deepened, schema), "leaves")
+        chunks = grown.groupBy("leaf", "node").agg(F.ceil(F.count("*") / chunk).alias("g")).where("g > 1")
+        cut = grown.join(chunks, ["leaf", "node"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+        cut = cut.withColumn("chunk", F.pmod(F.xxhash64("fp"), "g")).withColumn(
+            "other", F.explode(F.sequence(none, F.col("g") - 1)))
+        dealt = dealt.union(cut.select(
+            "leaf", "node", "home", "fp", "chunk",
+            (F.least("chunk", "other") * PAIRS + F.greatest("chunk", "other")).alias("pair")))
+    return dealt
+
+
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, **sizes) -> DataFrame:
+    """Links (a, b) between ``n`` distinct fingerprints ``fp`` that span each group of links."""
 
     def compare(key, table):
-        pair = key[1].as_py()
+        pair = key[2].as_py()
         a, b = _links(table.column("fp").to_numpy().view(np.uint64),
                       table.column("home").to_numpy(zero_copy_only=False),
                       table.column("chunk").to_numpy(), pair // PAIRS, pair % PAIRS, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.mapInArrow(deal, "leaf long, pair long, chunk long, home boolean, fp long")
-    return dealt.groupBy("leaf", "pair").applyInArrow(compare, "a long, b long")
+    return in_leaves(distinct, n, radius, **sizes).groupBy("leaf", "node", "pair").applyInArrow(
+        compare, "a long, b long")
 
 
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:
