@@ -50,7 +50,9 @@ def brute_ratio(train, order):
     return score
 
 
-def test_judged_equals_brute_force(spark):
+@pytest.mark.parametrize("piece", [urls.PIECE, 7])
+def test_judged_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(urls, "PIECE", piece)
     rows = [(i, u, "gone", 7.0, "gone", "kept") for i, u in enumerate(URLS)]
     out = urls.judged(spark.createDataFrame(rows, "page_id long, url string, host string, score double, rule string, _text string"), order=2).collect()
     assert {r._text for r in out} == {"kept"}
@@ -75,3 +77,14 @@ def test_without_training(spark):
     frame = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
     assert urls.judged(frame()).count() == 0
     assert [r.verdict for r in urls.judged(frame("http://b.org/", None)).collect()] == ["allow", "allow"]
+
+
+def test_very_long_urls_and_one_row_for_each_character(spark):
+    long = "http://b.org/" + "ab/ü" * 20000
+    frame = spark.createDataFrame([(long,), ("http://www.example.com/en/",), ("http://b.net/es/",), ("",)], "url string")
+    texts = frame.withColumnRenamed("url", "text")
+    grams = urls._grams(texts, urls.ORDER)
+    assert grams.count() == sum(len(r.url) + 1 for r in frame.collect())
+    assert {len(r.gram) for r in grams.select("gram").distinct().collect()} == {urls.ORDER + 1}
+    out = {r.url: r for r in urls.judged(frame).collect()}
+    assert out[long].score is not None and out["http://b.net/es/"].verdict == "block"

@@ -9,6 +9,10 @@ proportion to their spreads. All of it is DataFrame functions.
 Whole URLs are modelled, with scheme, query and fragment. Digits are folded to one, as the numbers
 in URLs (ids, pages, dates) differ from one to the next without telling anything: a model would see
 each of them once. So the work and the joins follow the number of distinct folded URLs.
+
+A character is one row, with the longest context before it. Shorter contexts are taken of the
+distinct longest ones, of which there are few: in training after their counts are summed, in scoring
+when each is given its ratio, which the characters then get by one join.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from turnout.llm.common import free_name, stored
 
 ORDER = 4
 SYMBOLS = 256.0
+#: Characters that are cut from a URL at once, so that work on a very long one doesn't grow with its square.
+PIECE = 256
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts like its own.
 RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -50,12 +56,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _grams(texts: DataFrame, order: int) -> DataFrame:
-    """A row for each character of ``text`` and context length: the context and the character."""
+    """A row for each character of ``text`` and its end, as the last of the ``gram`` of the ``order``
+    characters before it and itself."""
+    n, width = F.length("text") + 1, F.lit(PIECE)
     padded = F.concat(F.lit(_START * order), F.col("text"), F.lit(_END))
-    place = F.explode(F.sequence(F.lit(order + 1), F.length("text") + order + 1)).alias("at")
-    size = F.explode(F.array(*map(F.lit, range(order + 1))))
-    return texts.select("*", place).select("*", size.alias("k")).withColumn(
-        "gram", F.substring(padded, F.col("at") - F.col("k"), F.col("k") + 1))
+    pieces = texts.select("*", F.explode(F.sequence(F.lit(0), ((n - 1) / PIECE).cast("int"))).alias("p")).withColumns({
+        "piece": F.substring(padded, F.col("p") * PIECE + 1, F.lit(PIECE + order)),
+        "size": F.least(width, n - F.col("p") * PIECE)})
+    return pieces.select("*", F.explode(F.sequence(F.lit(1), "size")).alias("at")).withColumn(
+        "gram", F.substring("piece", F.col("at"), F.lit(order + 1))).select(*texts.columns, "gram")
+
+
+def _shorter(grams: DataFrame, order: int) -> DataFrame:
+    """A row for each context length k: the end of ``gram`` with k + 1 characters as ``short``."""
+    return grams.select("*", F.explode(F.array(*map(F.lit, range(order + 1)))).alias("k")).withColumn(
+        "short", F.substring("gram", order + 1 - F.col("k"), F.col("k") + 1))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -63,7 +78,8 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     ``texts`` has distinct texts with their numbers of allowed and blocked URLs (allowed,
     blocked)."""
-    counted = stored(_grams(texts, order).groupBy("gram", "k").agg(
+    longest = _grams(texts, order).groupBy("gram").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    counted = stored(_shorter(longest, order).groupBy(F.col("short").alias("gram"), "k").agg(
         F.sum("allowed").cast("double").alias("allowed"), F.sum("blocked").cast("double").alias("blocked")),
         "grams")
     context = F.expr("substring(gram, 1, k)")
@@ -98,9 +114,12 @@ def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def scores(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """(text, score): the mean over characters of the log ratio at the longest context seen."""
-    best = _grams(texts.select("text"), order).join(model.drop("k"), "gram").groupBy("text", "at").agg(
+    characters = _grams(texts.select("text"), order)
+    ratios = _shorter(characters.select("gram").distinct(), order).join(
+        model.select(F.col("gram").alias("short"), "ratio"), "short").groupBy("gram").agg(
         F.max(F.struct("k", "ratio"))["ratio"].alias("ratio"))
-    return best.groupBy("text").agg((F.sum("ratio") / (F.length("text") + 1)).alias("score"))
+    return characters.join(stored(ratios, "ratios"), "gram").groupBy("text").agg(
+        (F.sum("ratio") / (F.length("text") + 1)).alias("score"))
 
 
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
