@@ -115,3 +115,49 @@ texts AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN texts USING (doc_id)"""
+
+
+def _level(k: int) -> str:
+    """Witten-Bell smoothing of the grams with k characters of context over those with one less."""
+    low = "l.p_{0}" if k else "(1 / 256.0)"
+    mixed = ", ".join(
+        f"CASE WHEN {c}_all + {c}_kinds > 0 THEN (g.{c} + {c}_kinds * {low.format(c)}) / ({c}_all + {c}_kinds) "
+        f"ELSE {low.format(c)} END AS p_{c}" for c in "ab")
+    below = f"JOIN level_{k - 1} l ON l.g = substr(g.g, 2)" if k else ""
+    return f"""
+level_{k} AS (SELECT g.g, {mixed} FROM grams g JOIN contexts c ON c.k = g.k AND c.c = substr(g.g, 1, g.k) {below}
+  WHERE g.k = {k})"""
+
+
+def _fits(host: str, start: str) -> str:
+    return f"(host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '{start}')"
+
+
+URLS = f"""
+WITH rests AS (SELECT page_id, coalesce(url, '') AS u, CASE WHEN contains(url, '://')
+                 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_replace(u, '[0-9]', '0', 'g') AS t,
+            translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+ruled AS (SELECT *, CASE WHEN {_fits("www.example.com", "/en/")} THEN 'www.example.com/en/'
+            WHEN {_fits("example.com", "/en/")} THEN 'example.com/en/' WHEN {_fits("net", "/es/")} THEN 'net/es/'
+            WHEN {_fits("net", "/fr/")} THEN 'net/fr/' WHEN {_fits("com", "/")} THEN 'com/' END AS rule FROM parts),
+told AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END
+           AS fixed FROM ruled),
+texts AS (SELECT t, CAST(count(*) FILTER (fixed = 'allow') AS DOUBLE) AS a,
+                 CAST(count(*) FILTER (fixed = 'block') AS DOUBLE) AS b FROM told GROUP BY t),
+places AS (SELECT t, a, b, i, k, substr(repeat(chr(2), 4) || t || chr(3), i + 4 - k, k + 1) AS g
+           FROM (SELECT *, unnest(range(1, length(t) + 2)) AS i FROM texts) x, (SELECT unnest(range(0, 5)) AS k) y),
+grams AS (SELECT k, g, sum(a) AS a, sum(b) AS b FROM places WHERE a + b > 0 GROUP BY k, g),
+contexts AS (SELECT k, substr(g, 1, k) AS c, sum(a) AS a_all, count(*) FILTER (a > 0) AS a_kinds,
+                    sum(b) AS b_all, count(*) FILTER (b > 0) AS b_kinds FROM grams GROUP BY 1, 2),
+{",".join(map(_level, range(5)))},
+model AS ({" UNION ALL ".join(f"SELECT {k} AS k, g, ln(p_a) - ln(p_b) AS ratio FROM level_{k}" for k in range(5))}),
+longest AS (SELECT t, i, arg_max(ratio, k) AS ratio FROM places JOIN model USING (k, g) GROUP BY t, i),
+scores AS (SELECT t, sum(ratio) / (length(t) + 1) AS score FROM longest GROUP BY t),
+means AS (SELECT sum(score * a) / sum(a) AS ma, sum(score * b) / sum(b) AS mb, sum(score * score * a) / sum(a) AS qa,
+                 sum(score * score * b) / sum(b) AS qb FROM scores JOIN texts USING (t)),
+spreads AS (SELECT ma, mb, sqrt(greatest(0, qa - ma * ma)) AS sa, sqrt(greatest(0, qb - mb * mb)) AS sb FROM means),
+bound AS (SELECT CASE WHEN sa + sb > 0 THEN (ma * sb + mb * sa) / (sa + sb) ELSE (ma + mb) / 2 END AS least FROM spreads)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN score < least THEN 'block' ELSE 'allow' END) AS verdict
+FROM told LEFT JOIN scores USING (t), bound"""

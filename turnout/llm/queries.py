@@ -30,6 +30,7 @@ SQL: dict[str, str] = {
     "op2_embedding_near_duplicates": oracles.EMBEDDINGS,
     "op3_suffix_array_dedup": oracles.SUBSTRINGS,
     "op7_substring_dedup": oracles.PASSAGES,
+    "op9_url_filter": oracles.URLS,
     "op10_benchmark_decontamination": oracles.DECONTAMINATION,
     "op12_secret_scan": oracles.SECRETS,
 }
