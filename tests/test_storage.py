@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnout.checked import storage
 from turnout.functions.fingerprint import fingerprint_text
 from turnout.sinks import duplicates, versions
 from turnout.sources import conformance, tables
@@ -232,6 +234,24 @@ def test_fingerprint_sees_rows_not_their_order(table):
     assert print_of().startswith("0|")
 
 
+def test_reordering_has_no_fixed_number_of_partitions(spark):
+    """A column with one value still gives partitions of bounded size."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("CAST(id AS STRING) AS id", "'x' AS degree")
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for size in sizes:
+        spark.conf.set(size, "64k")
+    try:
+        seen = storage.reordered_by(rows, "degree").groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count("*").alias("n"), F.max("id")).collect()
+    finally:
+        for size in sizes:
+            spark.conf.unset(size)
+    assert sum(r["n"] for r in seen) == 200_000
+    assert len(seen) > 3 and max(r["n"] for r in seen) < 50_000
+    assert fingerprint_text(storage.reordered_by(rows, "degree")) == fingerprint_text(rows)
+
+
 def test_year_folders(spark, tmp_path, rows):
     for year, name, text in [("2019", "From A.csv", "ID,Sex\n1,F\n"),
                              ("2020", "From B.csv", "ID,Sex\n2,NA\n"),
