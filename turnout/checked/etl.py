@@ -124,10 +124,7 @@ BUILD = ",".join([PEOPLE, TAGGED, SIGN_INS, SELECTION, TRAINED, ENRICHED, NUMBER
 
 @query("load_people", f"WITH {PEOPLE} SELECT * FROM people")
 def _(t):
-    landed = t.landed()
-    return etl.load_people(
-        landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship
-    )
+    return etl.load_people(**t.landed_people())
 
 
 @query("load_people_first_file_rules", f"""
@@ -135,50 +132,44 @@ WITH {PEOPLE.replace(FACULTY, "CASE WHEN updated = (SELECT min(updated) FROM peo
                      f"WHERE sheet = 'Student') THEN {FACULTY} ELSE faculty END")}
 SELECT * FROM people""")
 def _(t):
-    landed = t.landed()
-    return etl.load_people(
-        landed.students, landed.applicants, landed.no_affiliation, landed.no_citizenship,
-        parity=True,
-    )
+    return etl.load_people(**t.landed_people(), parity=True)
 
 
 @query("load_programme_tags", f"WITH {TAGGED} SELECT * FROM programme_tags")
 def _(t):
-    return etl.load_programme_tags(*t.landed().contacts)
+    return etl.load_programme_tags(t.extract("contacts"))
 
 
 @query("load_studio", f"WITH {SIGN_INS} SELECT * FROM sign_ins")
 def _(t):
-    landed = t.landed()
-    return etl.load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)[0]
+    return etl.load_sign_ins(t.extract("maker_sign_ins"), t.extract("hub_sign_ins"))[0]
 
 
 @query("load_studio_participations", f"WITH {SIGN_INS} SELECT * FROM visits")
 def _(t):
-    landed = t.landed()
-    return etl.load_sign_ins(landed.maker_sign_ins, landed.hub_sign_ins)[1]
+    return etl.load_sign_ins(t.extract("maker_sign_ins"), t.extract("hub_sign_ins"))[1]
 
 
 @query("load_tags", f"WITH {SELECTION} SELECT * FROM chosen_tags")
 def _(t):
-    return etl.load_tag_selection(t.landed().tag_list)
+    return etl.load_tag_selection(t.extract("tag_list"))
 
 
 @query("load_tags_without_co_curricula", f"""
 WITH {SELECTION} SELECT DISTINCT * EXCLUDE (co_curricula) FROM chosen_tags""")
 def _(t):
-    return etl.load_tag_selection(t.landed().tag_list.drop("co_curricula"))
+    return etl.load_tag_selection(t.extract("tag_list").drop("co_curricula"))
 
 
 @query("load_training", f"WITH {TRAINED} SELECT * FROM trained")
 def _(t):
-    return etl.load_training(*t.landed().training)
+    return etl.load_training(t.extract("training_sheets"))
 
 
 @query("training_rows", f"""
 WITH {TRAINED} SELECT training, count(*) AS n_rows FROM trained GROUP BY training""")
 def _(t):
-    rows = etl.load_training(*t.landed().training)
+    rows = etl.load_training(t.extract("training_sheets"))
     return rows.groupBy("training").agg(F.count("*").alias("n_rows"))
 
 

@@ -253,7 +253,11 @@ class StandIn:
     def _write_landed(self, name: str) -> DataFrame:
         path = f"{self._root}/landed/{name}"
         rows = self.derived(name)
-        write_table(rows, path, "parquet", *(["sheet"] if "sheet" in rows.columns else []))
+        if "sheet" in rows.columns:
+            # a task sorts what it writes by sheet, so it gets a share that Spark bounds
+            write_table(rows.hint("rebalance", "sheet"), path, "parquet", "sheet")
+        else:
+            write_table(rows, path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def extract(self, name: str) -> DataFrame:
@@ -404,13 +408,18 @@ class StandIn:
             "residency", F.col("citizenship")
         )
         citizen = ["display_name" if c == "birthdate" else c for c in CITIZEN_SHEET]
-        return etl.Landed(
-            students=sheet("Student", schemas.STUDENT_SHEET),
-            applicants=sheet("Applicant", schemas.APPLICANT_SHEET),
-            no_affiliation=no_affiliation.select("updated", *schemas.NO_AFFILIATION_SHEET),
-            no_citizenship=workbooks_with_sheet(people, "No citizenship")
+        return {
+            "students": sheet("Student", schemas.STUDENT_SHEET),
+            "applicants": sheet("Applicant", schemas.APPLICANT_SHEET),
+            "no_affiliation": no_affiliation.select("updated", *schemas.NO_AFFILIATION_SHEET),
+            "no_citizenship": workbooks_with_sheet(people, "No citizenship")
             .withColumn("display_name", F.col("birthdate"))
             .select("updated", *citizen),
+        }
+
+    def landed(self) -> etl.Landed:
+        return etl.Landed(
+            **self.landed_people(),
             contacts=[self.extract("contacts")],
             maker_sign_ins=self.extract("maker_sign_ins"),
             hub_sign_ins=self.extract("hub_sign_ins"),
