@@ -1,5 +1,6 @@
 """Stand-in extracts: bounded writes, and queries that make only what they read."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import turnout.checked  # noqa: F401  registers the queries
@@ -44,3 +45,13 @@ def test_a_load_step_needs_its_own_extract_alone(table, rows):
     sheets = table("sheet string, date string, id string, tag string, tag_1 string, tag_2 string",
                    ("A", "40000", "1", "2019 x", "t", "O"), ("A", "40000", "2", "2019 x", "NA", "O"))
     assert rows(QUERIES["training_rows"].run(Extracts(training_sheets=sheets))) == [("2019 t", 1)]
+
+
+def test_outputs_of_participation_publish_nothing_else(monkeypatch):
+    asked = []
+    monkeypatch.setattr(standin.StandIn, "__init__", lambda self: None)
+    monkeypatch.setattr(standin.StandIn, "_table", lambda self, name: asked.append(name))
+    boards = standin.StandIn().participation_tabs
+    assert asked == ["participation", "tag_selection"] and boards.studio is None
+    with pytest.raises(KeyError):
+        boards.output("programme", "no such output", None)

@@ -81,7 +81,7 @@ for _tab in PROGRAMME_TABS:
                 years=YEARS, programmes=PICKED[tab], filters=SELECTED if filtered else {},
                 faculties=FACULTIES, levels=LEVELS,
             )
-            return t.dashboards.output(tab, name, choices)
+            return t.participation_tabs.output(tab, name, choices)
 
 
 STUDIO_SQL = """

@@ -390,15 +390,22 @@ class StandIn:
     def dashboards(self) -> Dashboards:
         return Dashboards(self.participation, self.selection, self.studio, self.training)
 
+    @property
+    def participation_tabs(self) -> Dashboards:
+        """Dashboards for outputs that look at neither sign-ins nor training, which then need not
+        be published first."""
+        return Dashboards(self.participation, self.selection, None, None)
+
     def slice(self, tab: str) -> DataFrame:
         """Participation rows of one dashboard, with merged faculty names."""
-        return self.dashboards.slice(tab)
+        return self.participation_tabs.slice(tab)
 
     @property
     def people_sheets(self) -> DataFrame:
         return self.extract("people_sheets")
 
-    def landed(self) -> etl.Landed:
+    def landed_people(self) -> dict[str, DataFrame]:
+        """The four kinds of people sheets, by their name in ``Landed``."""
         people = self.people_sheets
 
         def sheet(name: str, columns) -> DataFrame:
