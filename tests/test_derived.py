@@ -112,3 +112,21 @@ def test_nulls_and_empty_tables(table, rows, spark, tmp_path):
     derived = DerivedTables(target)
     derived.update()
     assert derived.read("studio", "values").count() == 0
+
+
+def test_picker_records_hold_no_names(table, rows):
+    """Each row used to give records with the name of their column and the year as text."""
+    from turnout.operators.indexes import value_index
+
+    some = table("id string, year int, sex string, n int", ("1", 2019, "F", 1), ("2", 2019, "F", None),
+                 ("3", 2020, None, 1), ("3", 2020, None, 1), ("4", None, "F", 1))
+    found = value_index(some, ["sex", "n"])
+    assert rows(found, "column", "value", "year") == sorted([
+        ("sex", "F", "2019"), ("sex", None, "2020"), ("sex", "F", None), ("n", "1", "2019"), ("n", None, "2019"),
+        ("n", "1", "2020"), ("n", "1", None)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("\n", plan.index("Aggregate")):]
+    assert "AS year" not in below and "sex AS column" not in below
+    dated = table("date date, programme string", (dt.date(2019, 5, 1), "x"), (dt.date(2019, 6, 1), "x"), (None, "y"))
+    assert rows(value_index(dated, ["programme"]), "column", "value", "year") == [
+        ("programme", "x", "2019"), ("programme", "y", None)]
