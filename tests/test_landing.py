@@ -1,11 +1,12 @@
 """From uploads with their own headers to published tables, end to end."""
 
 import datetime as dt
+import threading
 
 import pytest
 
 from turnout.plans import etl, landing
-from turnout.sinks.versions import VersionedTables
+from turnout.sinks.versions import VersionedTables, together
 from turnout.sources.conformance import ColumnMismatch
 
 STUDENT = ["ID", "Admit.Term", "Birthdate", "Sex", "Age", "Ethnic.Group", "Ethnicity", "Iwi",
@@ -154,3 +155,29 @@ def test_a_workbook_replaces_the_earlier_one_whole(spark, tmp_path, rows):
     landing.accept_upload(frame(spark, TAGS[:9] + TAGS[10:], *[("2019 A",) * 12]), root, "tags", "Tags", "2019")
     landing.accept_upload(frame(spark, TAGS, *[("2019 B",) * 13]), root, "tags", "Tags", "2018")
     assert rows(landing.read_landed(spark, root, "tags", "Tags"), "tags") == [("2019 B",)]
+
+
+def test_sheets_are_written_side_by_side(spark, tmp_path, rows, monkeypatch):
+    """They used to be written one after the other."""
+    met, archive = threading.Barrier(2, timeout=60), landing.archive_upload
+
+    def waiting(*args):
+        met.wait()
+        return archive(*args)
+
+    monkeypatch.setattr(landing, "archive_upload", waiting)
+    sheet = ["Date.Stamp...do.not.copy.into.here", "ID", "Tag", "Tag.1", "Tag.2"]
+    first, second = landing.EQUIPMENT_SHEETS[:2]
+    landing.accept_workbook({first: frame(spark, sheet, ("1", "a", "2019 x", "t", None)),
+                             second: frame(spark, sheet, ("1", "b", "2019 x", "t", None))},
+                            str(tmp_path), "training", "2019")
+    for name, i in ((first, "a"), (second, "b")):
+        assert rows(landing.read_landed(spark, str(tmp_path), "training", name), "id") == [(i,)]
+    assert len(list(tmp_path.glob("uploads/2019/training-*/*/_SUCCESS"))) == 2
+
+
+def test_workbooks_of_several_years_land_side_by_side(spark, tmp_path, rows):
+    root, years = str(tmp_path), [str(y) for y in range(2010, 2018)]
+    together(*[lambda y=y: landing.accept_workbook(
+        {"Student": frame(spark, STUDENT, student(y, "1193"))}, root, "people", y) for y in years])
+    assert rows(landing.read_landed(spark, root, "people", "Student"), "updated", "id") == [(y, y) for y in years]
