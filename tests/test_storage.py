@@ -1,6 +1,7 @@
 """Versioned tables, archives, year folders, sheets and column checks."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import types as T
 
 from turnout.checked import storage
 from turnout.functions.fingerprint import fingerprint_text
+from turnout.session import FREED, OPEN_FILES, written
 from turnout.sinks import duplicates, versions
 from turnout.sources import conformance, tables
 
@@ -318,3 +320,36 @@ def test_published_tables_have_their_declared_types(spark, table, tmp_path, rows
     read = tables.scan_published(spark, "studio", path, "csv")
     assert [str(r["timestamp"]) for r in read.collect()] == ["2024-01-01 10:00:00.250000"]
     assert dict(read.dtypes)["year"] == "string"
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id % 7 AS year", "id % 100 AS id").distinct()
+    before = shuffle_files(spark)
+    kept = written(rows, "shuffled")
+    versions.write_table(rows.hint("rebalance", "year"), str(tmp_path / "table"), "parquet", "year")
+    versions.archive_upload(rows, str(tmp_path), "2026", "rows")
+    for _ in range(50):  # files are removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(FREED, None) is None and kept.count() == 700
+
+
+def test_rows_dealt_before_are_written_as_they_come(spark, tmp_path):
+    rows = spark.range(0, 900, 1, 3).selectExpr("id % 2 + 2019 AS year", "CAST(id AS STRING) AS id")
+    files, figures = {}, {}
+    for dealt in ((), ("participation",)):
+        tables = versions.VersionedTables(spark, str(tmp_path / str(len(dealt))))
+        tables.publish_all({"participation": rows}, dealt=dealt)
+        files[dealt] = len(tables.read("participation").inputFiles())
+        figures[dealt] = {p: x.figures for p, x in tables.parts("participation").items()}
+    assert files == {(): 2, ("participation",): 6} and len(set(map(str, figures.values()))) == 1
+    assert spark.conf.get(OPEN_FILES[0]) == "0"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnout.functions.nulls import MISSING_TEXT
-from turnout.session import path_exists, remove_path, written
+from turnout.session import path_exists, remove_path, save, written
 from turnout.sinks.versions import new_run
 
 #: Ids that a range should hold.
@@ -97,7 +97,7 @@ class IdDictionary:
             "id", F.concat_ws("-", "range", "piece").alias("range"))
         placed = split.withColumn("position", F.row_number().over(w).cast("long"))
         path = f"{self.root}/run={run}"
-        placed.select("id", "position", "range").write.partitionBy("range").parquet(path)
+        save(placed.select("id", "position", "range"), path, "range")
         done = self.spark.read.schema("id string, position long, range string").parquet(path)
         made = done.groupBy("range").agg(F.min("id").alias("least"), F.count("*").alias("n")).collect()
         new = [IdRange(r["least"], f"run={run}/range={r['range']}", r["n"]) for r in made]

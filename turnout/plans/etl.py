@@ -36,6 +36,9 @@ from turnout.sinks.versions import Published, VersionedTables, changed_any, toge
 
 # a student row belongs to a workbook; ``updated`` names its year folder
 WORKBOOK = "updated"
+# tables whose rows come from a join on ids: person data makes one narrow row many wide ones, which are not
+# shuffled again
+JOINED = ("participation",)
 
 
 def latest_admit_term(students: DataFrame, keys: Sequence[str] = (WORKBOOK, "id")) -> DataFrame:
@@ -266,7 +269,7 @@ def publish(landed: Landed, target: VersionedTables) -> tuple[bool, dict[str, Pu
     derived from the parts that are new."""
     spark, place = landed.students.sparkSession, f"build-{uuid.uuid4().hex}"
     try:
-        results = target.publish_all(build_published(landed, place))
+        results = target.publish_all(build_published(landed, place), dealt=JOINED)
     finally:
         remove_path(spark, own_path(spark, place))
     DerivedTables(target).update()

@@ -15,7 +15,7 @@ from turnout import schemas
 from turnout.operators.filters import renamed
 from turnout.plans.etl import TAG_SHEET, WORKBOOK, Landed
 from turnout.operators.reshape import stack
-from turnout.session import path_exists
+from turnout.session import path_exists, save
 from turnout.sinks.versions import archive_upload, new_run, together
 from turnout.sources.conformance import ColumnMismatch, conform
 from turnout.sources.tables import as_text
@@ -149,7 +149,7 @@ def accept_workbook(sheets: Mapping[str, DataFrame], root: str, kind: str, year:
     # every write has a folder of its own, so they run side by side
     together(*[lambda s=sheet, df=df: archive_upload(df, root, year, f"{kind}-{s}", upload)
                for sheet, df in sheets.items()],
-             *[lambda df=ready[sheet], to=path: df.write.parquet(to) for _, sheet, _, _, path in rows])
+             *[lambda df=ready[sheet], to=path: save(df, to) for _, sheet, _, _, path in rows])
     gone = [s for k, s in LANDED_COLUMNS if k == kind and s not in sheets] if whole else []
     _record(spark, root, [*rows, *[(kind, s, key, upload, None) for s in gone]])
     return {r[1]: r[4] for r in rows}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators.indexes import PICKED, rollup_of_part, values_of_part
 from turnout.operators.reshape import stack
-from turnout.session import path_exists, remove_path
+from turnout.session import path_exists, remove_path, save
 from turnout.sinks.versions import COMPACT_FROM, LAYOUT, Part, VersionedTables, new_run, together
 
 LOG_SCHEMA = "name string, kind string, folder string, place string, run string"
@@ -56,10 +56,8 @@ class DerivedTables:
     def _write(self, name: str, kind: str, version: str, parts: list[Part], run: str) -> list[tuple]:
         rows = KINDS[kind].derive(name, self.tables.read(name, version, [p.part for p in parts]))
         key, path = LAYOUT.get(name), f"{self.root}/{kind}/{name}/run={run}"
-        if key is None:
-            rows.write.parquet(path)
-        else:
-            rows.hint("rebalance", key).write.partitionBy(key).parquet(path)
+        # distinct rows come in shares that Spark bounds, so they are not dealt again by year
+        save(rows, path, *([] if key is None else [key]))
         place = f"run={run}"
         return [(name, kind, p.folder, place if key is None else f"{place}/{key}={p.part}", run) for p in parts]
 

@@ -31,7 +31,7 @@ from turnout import fixed_values as fixed
 from turnout.functions.fingerprint import Figures, observed_figures, part_figures
 from turnout.operators.groups import all_but, newest_in_group
 from turnout.schemas import PUBLISHED
-from turnout.session import path_exists, remove_path
+from turnout.session import path_exists, remove_path, save, save_unsorted
 from turnout.sinks.duplicates import exact_duplicates, remove_duplicate_files  # noqa: F401
 from turnout.sources.tables import CSV_OPTIONS
 
@@ -52,13 +52,8 @@ KEEP_VARIABLE = "TURNOUT_KEEP_VERSIONS"
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", *partition_by: str) -> None:
     """Replace the table at ``path``. CSV gets a header and writes null as ``NA``."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if form == "csv":
-        writer.options(**{**CSV_OPTIONS, "timestampNTZFormat": CSV_TIME}).csv(path)
-    else:
-        writer.parquet(path)
+    options = {**CSV_OPTIONS, "timestampNTZFormat": CSV_TIME} if form == "csv" else {}
+    save(df, path, *partition_by, mode="overwrite", form=form, **options)
 
 
 def new_run(now: datetime | None = None) -> str:
@@ -73,7 +68,7 @@ def archive_upload(df: DataFrame, root: str, year: str, name: str, run: str | No
     Every upload has a folder of its own; none is ever written over.
     """
     path = f"{root}/uploads/{year}/{name}/{run or new_run()}"
-    df.write.parquet(path)
+    save(df, path)
     return path
 
 
@@ -296,21 +291,23 @@ class VersionedTables:
         """Publish one table unless its current version has the same content."""
         return self.publish_all({name: df})[name]
 
-    def _write(self, df: DataFrame, name: str, version: str, key: str | None) -> None:
+    def _write(self, df: DataFrame, name: str, version: str, key: str | None, dealt: bool) -> None:
         """Write rows of a version in their table's layout."""
         if key is None:
-            df.write.parquet(self.version_path(name, version))
+            save(df, self.version_path(name, version))
+        elif dealt:  # a file for each share and year
+            save_unsorted(df, self.version_path(name, version), key)
         else:  # large years over several files, small ones merged
-            df.hint("rebalance", key).write.partitionBy(key).parquet(self.version_path(name, version))
+            save(df.hint("rebalance", key), self.version_path(name, version), key)
 
-    def _first(self, df: DataFrame, name: str, run: str, key: str | None) -> dict[str, Figures]:
+    def _first(self, df: DataFrame, name: str, run: str, key: str | None, dealt: bool) -> dict[str, Figures]:
         """Write a table that has no version yet. Figures are observed on the way; those of years
         are read off what was written."""
         if key is None:
             watched, figures = observed_figures(df)
-            self._write(watched, name, run, None)
+            self._write(watched, name, run, None, dealt)
             return {"": figures()}
-        self._write(df, name, run, key)
+        self._write(df, name, run, key, dealt)
         path = self.version_path(name, run)
         if not self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
                 "pathGlobFilter", "*.parquet").load(path).select("path").isEmpty():
@@ -318,7 +315,7 @@ class VersionedTables:
         return {}
 
     def _publish(self, df: DataFrame, name: str, run: str, history: list,
-                 only: Collection[str] | None) -> Stored:
+                 only: Collection[str] | None, dealt: bool, known: Mapping[str, Figures] | None) -> Stored:
         """The version that ``df`` makes; parts that no kept version has are written."""
         key = LAYOUT.get(name)
         key = key if key in df.columns else None
@@ -330,15 +327,19 @@ class VersionedTables:
         place = f"version={run}" if key is None else f"version={run}/{key}="
         if only is not None and (current is None or key is None or current.columns != columns):
             raise ValueError(f"parts of {name} need a version with the same columns")
+        if known is not None and only is None:
+            raise ValueError(f"figures of {name} are known for parts only")
         if current is None or current.columns is None:
-            figures = self._first(df, name, run, key)
+            figures = self._first(df, name, run, key, dealt)
             parts = [Part(p, place + p, f) for p, f in figures.items()]
         else:
-            figures = part_figures(df, _part_of(key)) if key else {"": Figures()} | part_figures(df, F.lit(""))
+            figures = known
+            if figures is None:
+                figures = part_figures(df, _part_of(key)) if key else {"": Figures()} | part_figures(df, F.lit(""))
             have = {(p.part, p.figures): p.folder for s in kept.values() if s.columns == columns for p in s.parts}
             new = [p for p, f in figures.items() if (p, f) not in have]
             if new:
-                self._write(df.filter(_part_of(key).isin(new)) if key else df, name, run, key)
+                self._write(df.filter(_part_of(key).isin(new)) if key else df, name, run, key, dealt)
             parts = [Part(p, have.get((p, f), place + p), f) for p, f in figures.items()]
             if only is not None:
                 parts += [p for p in current.parts if p.part not in only and p.part not in figures]
@@ -346,7 +347,9 @@ class VersionedTables:
         return Stored(run, whole.text(df.schema), columns, tuple(sorted(parts, key=lambda p: p.part)))
 
     def publish_all(self, tables: Mapping[str, DataFrame],
-                    only: Mapping[str, Collection[str]] | None = None) -> dict[str, Published]:
+                    only: Mapping[str, Collection[str]] | None = None,
+                    dealt: Collection[str] = (),
+                    figures: Mapping[str, Mapping[str, Figures]] | None = None) -> dict[str, Published]:
         """Publish the tables of one run together.
 
         A table without a version is written as it is evaluated. Otherwise the figures of its parts
@@ -354,12 +357,16 @@ class VersionedTables:
         year that changed, or nothing. Content equal to an older kept version makes that one
         current. One append then names the current version of every table of the run. All but the
         newest versions are pruned, sparing current and mirror. Where ``only`` names parts of a
-        table, its frame holds just those, and the others stay as they are.
+        table, its frame holds just those, and the others stay as they are. The rows of tables that
+        ``dealt`` names come in shares that Spark bounds, as from a join on ids: they are written as
+        they come, while those of other tables are dealt by their years first. ``figures`` are those of
+        the parts in ``only``, from callers that know them.
         """
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        run, history, only = new_run(now), self._history(), only or {}
+        run, history, only, figures = new_run(now), self._history(), only or {}, figures or {}
         made = dict(zip(tables, together(*[
-            lambda n=name, df=df: self._publish(df, n, run, history.get(n, []), only.get(n))
+            lambda n=name, df=df: self._publish(df, n, run, history.get(n, []), only.get(n), n in dealt,
+                                            figures.get(n))
             for name, df in tables.items()]), strict=True))
         rows, found = [], {}
         for name, version in made.items():
