@@ -5,7 +5,7 @@ import shutil
 import pytest
 from test_landing import STUDENT, TAGS, frame, student
 
-from turnout.plans import etl, landing
+from turnout.plans import etl, incremental, landing
 from turnout.plans.incremental import IncrementalBuild
 from turnout.sinks.versions import VersionedTables
 
@@ -124,3 +124,47 @@ def test_a_tag_list_makes_all_anew(spark, lake, tmp_path_factory):
     # someone else published meanwhile: the state belongs to another version
     target.write_if_changed(target.read("training").limit(0), "training")
     assert build.publish().units == [] and contents(target) == full(spark, root, tmp_path_factory)
+
+
+def test_a_workbook_of_people_makes_its_own_rows_anew(spark, tmp_path, tmp_path_factory, monkeypatch):
+    root = str(tmp_path)
+
+    def upload(kind, sheet, year, columns, *rows):
+        landing.accept_upload(frame(spark, columns, *rows), root, kind, sheet, year)
+
+    def people(year, *rows):
+        upload("people", "Student", year, STUDENT, *rows)
+
+    def nobody(term):
+        return (None, *student("0", term)[1:])
+
+    people("2019", student("10", "1193"), student("20", "1193"), student("EXTERNAL", "1193"), student("NA", "1193"),
+           nobody("1193"))
+    people("2020", student("10", "1203"), student("20", "1203"), student("30", "1203"), student("EXTERNAL", "1203", "M"),
+           nobody("1203"))
+    upload("contacts", "contacts", "2019", CONTACTS, *[(f"r{i}", n, "2019 Course,2020 Course") for i, n in enumerate(
+        ("10", "20", "30", "40", "EXTERNAL", "NA"))])
+    upload("tags", "Tags", "2020", TAGS, *tags("2019 Course", "2020 Course", f"2019 {SPACE}"))
+    upload("maker_sign_ins", "Form Responses 1", "2019", MAKER, ("2019-06-01 08:00:00", None, "x", "y", None))
+    upload("training", "3D Printer", "2019", TRAINING, ("oops", "30", "2019 x", "Laser", None))
+    target = VersionedTables(spark, str(tmp_path / "tables"))
+    build = IncrementalBuild(spark, root, target, str(tmp_path / "state"))
+    build.publish()
+    made, write = [], incremental.written
+
+    def watched(df, name):
+        table = write(df, name)
+        if name.endswith("/participation"):
+            made.append({r["updated"] for r in table.select("updated").distinct().collect()})
+        return table
+
+    monkeypatch.setattr(incremental, "written", watched)
+    # other people: 10 is only in the other workbook now, 30 in none, 40 and NA are here for the first time
+    people("2020", student("20", "1203", "M"), student("40", "1203"), student("EXTERNAL", "1203"), student("NA", "1203"))
+    outcome = build.publish()
+    assert outcome.units == [("people", "2020")] and outcome.years is not None and made == [{"2020", None}]
+    other = VersionedTables(spark, str(tmp_path_factory.mktemp("full")))
+    etl.publish(landing.load_landed(spark, root), other)
+    assert contents(target, ["participation"]) == contents(other, ["participation"])
+    assert {p: x.figures for p, x in target.parts("participation").items()} == {
+        p: x.figures for p, x in other.parts("participation").items()}

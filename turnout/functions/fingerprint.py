@@ -86,6 +86,11 @@ class Figures:
         return Figures(self.n_rows + other.n_rows, self.high + other.high, self.low + other.low,
                        self.hash_xor ^ other.hash_xor)
 
+    def __sub__(self, other: Figures) -> Figures:
+        """Figures of the rows that are left when those of ``other`` go."""
+        return Figures(self.n_rows - other.n_rows, self.high - other.high, self.low - other.low,
+                       self.hash_xor ^ other.hash_xor)
+
     def text(self, schema: StructType) -> str:
         """What ``fingerprint_text`` gives for rows with these figures."""
         columns = ",".join(f"{f.name}:{f.dataType.simpleString()}"

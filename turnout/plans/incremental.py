@@ -5,7 +5,8 @@ training workbook. The landing log names the sheets in force, so a unit whose sh
 than at the last publish has changed. Only changed units are read and cleaned; the cleaned rows of each
 unit stay in the state, with the ids they came with. The ids that a changed unit held before, or holds
 now, are concerned. Published participation depends on each id by itself: rows of other ids stay, rows
-of the concerned ones are made anew, and only the years that hold them are written. Surrogate numbers
+of the concerned ones are made anew, and only the years that hold them are written. Where workbooks of
+people are all that changed, rows with person data of other workbooks stay as well. Surrogate numbers
 come from a kept dictionary; if ids came or went, numbers shift, and all years are made from the state.
 
 The state is written first and named in one log row after the publish, along with the versions that it
@@ -22,14 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnout import schemas
+from turnout.functions.fingerprint import Figures, part_figures
 from turnout.functions.nulls import MISSING_TEXT
+from turnout.operators.groups import join_null_safe
 from turnout.operators.id_ranges import RANGE_IDS, IdDictionary
 from turnout.operators.joins import person_facts, programme_pairs, replace_tags
 from turnout.operators.reshape import stack
 from turnout.plans import etl, landing
-from turnout.session import own_path, path_exists, remove_path, written
+from turnout.session import own_path, path_exists, remove_path, save, written
 from turnout.sinks.derived import DerivedTables
-from turnout.sinks.versions import NO_VALUE, Published, VersionedTables, changed_any, new_run, together
+from turnout.sinks.versions import (
+    NO_VALUE, Published, VersionedTables, _part_of, changed_any, new_run, together,
+)
 
 STATE = "run string, units string, dictionary string, versions string"
 FORMS = ("maker_sign_ins", "hub_sign_ins")
@@ -154,7 +159,7 @@ class IncrementalBuild:
         changed = [u for k, u in landed.items() if k not in old.units or old.units[k].paths != u.paths]
         gone = [u for k, u in old.units.items() if k not in landed]
         place = lambda u: f"cleaned/{run}/{u.kind}-{u.year}"
-        together(*[lambda u=u: self._clean(u).write.parquet(f"{self.folder}/{place(u)}") for u in changed])
+        together(*[lambda u=u: save(self._clean(u), f"{self.folder}/{place(u)}") for u in changed])
         units = {k: Unit(u.kind, u.year, u.paths, place(u)) if u in changed else old.units[k]
                  for k, u in landed.items()}
         replaced = [old.units[u.kind, u.year] for u in changed if (u.kind, u.year) in old.units] + gone
@@ -197,7 +202,7 @@ class IncrementalBuild:
             "studio": etl.studio_rows(tables["sign_ins"], numbers),
             "training": etl.training_rows(tables["training"], numbers),
             "tag_selection": tables["selection"],
-        }), dictionary, None
+        }, dealt=etl.JOINED), dictionary, None
 
     def _touched(self, units, replaced: list[Unit], fresh: list[Unit], old: State, temporary: str):
         """The tables that changed units reach, for the ids and years concerned."""
@@ -209,27 +214,33 @@ class IncrementalBuild:
         tables = self._tables(list(units.values()))
         mine = {n: _of(tables[n], concerned) for n in ("contacts", "sign_ins", "facts", "training")}
         mine["sign_ins"] = written(mine["sign_ins"], f"{temporary}/sign-ins")
-        mine["facts"] = written(mine["facts"], f"{temporary}/facts")
-        pairs = written(self._pairs({**mine, "selection": tables["selection"]}), f"{temporary}/pairs")
+        pairs = self._pairs({**mine, "selection": tables["selection"]})
         if kinds == {"people"}:
+            facts, elsewhere = self._changed_people(list(units.values()), fresh, concerned)
+            pairs = written(join_null_safe(pairs, elsewhere, ["id"], "left_anti"), f"{temporary}/pairs")
             dictionary = old.dictionary  # people alone neither add nor take ids
         else:
+            facts = written(mine["facts"], f"{temporary}/facts")
+            pairs = written(pairs, f"{temporary}/pairs")
             now = stack(*[x.select(_key("id")) for x in (pairs, mine["training"], mine["sign_ins"])]).distinct()
             now = written(now, f"{temporary}/now")
             dictionary = self.ids.update(now, concerned.join(now, "id", "left_anti"))
         if dictionary != old.dictionary:
             return self._renumbered(units, tables, kinds, dictionary, temporary)
         numbers = self.ids.numbers(dictionary)
-        made = written(etl.participation_rows(pairs, mine["facts"], mine["sign_ins"], mine["training"], numbers),
-                       f"{temporary}/participation")
+        before = self.target.read("participation")
+        made = written(etl.participation_rows(pairs, facts, mine["sign_ins"], mine["training"], numbers)
+                       .select(*before.columns), f"{temporary}/participation")
         # numbers are the same as before, so published rows tell whose they are
         whose = numbers.join(concerned, "id").select(F.col("number").cast("string").alias("id"))
-        before = self.target.read("participation")
-        years = _years(made).union(_years(before.join(whose, "id", "left_semi"))).distinct()
-        touched = sorted(r["year"] for r in years.collect())
-        in_years = F.coalesce(F.col("year").cast("string"), F.lit(NO_VALUE)).isin(touched)
-        stay = before.filter(in_years).join(whose, "id", "left_anti")
-        tables_out = {"participation": stay.unionByName(made.select(*before.columns)).select(*before.columns)}
+        gone, stay = _parted(before, whose, [u.year for u in both] if kinds == {"people"} else None)
+        # rows that stay were counted when they were published
+        new, lost = together(*[lambda x=x: part_figures(x, _part_of("year")) for x in (made, gone)])
+        touched, had = sorted({*new, *lost}), self.target.parts("participation")
+        figures = {y: (had[y].figures if y in had else Figures()) + new.get(y, Figures()) - lost.get(y, Figures())
+                   for y in touched}
+        figures = {y: f for y, f in figures.items() if f.n_rows}
+        tables_out = {"participation": stay.filter(_part_of("year").isin(touched)).unionByName(made)}
         only = {"participation": touched}
         if kinds & set(FORMS):
             reach = _years(self._rows(both, *FORMS)).distinct()
@@ -239,7 +250,18 @@ class IncrementalBuild:
             tables_out["studio"] = etl.studio_rows(studio, numbers)
         if "training" in kinds:
             tables_out["training"] = etl.training_rows(tables["training"], numbers)
-        return self.target.publish_all(tables_out, only), dictionary, touched
+        return self.target.publish_all(
+            tables_out, only, etl.JOINED, {"participation": figures}), dictionary, touched
+
+    def _changed_people(self, units: list[Unit], fresh: list[Unit], concerned: DataFrame):
+        """Person data of the changed workbooks, and the concerned ids that have person data in other ones
+        alone. Pairs of those have no row in a changed workbook, nor one without person data."""
+        facts = self._rows(fresh, "people")
+        facts = facts if facts is not None else self.spark.createDataFrame([], FACTS)
+        others = self._rows([u for u in units if u not in fresh], "people")
+        others = others if others is not None else self.spark.createDataFrame([], FACTS)
+        ids = _of(others.select("id"), concerned).distinct()
+        return facts, join_null_safe(ids, facts.select("id").distinct(), ["id"], "left_anti")
 
     def _renumbered(self, units, tables, kinds, dictionary: str, temporary: str):
         """All rows from the state, as numbers shifted."""
@@ -250,7 +272,7 @@ class IncrementalBuild:
             "participation": etl.participation_rows(pairs, tables["facts"], sign_ins, tables["training"], numbers),
             "studio": etl.studio_rows(sign_ins, numbers),
             "training": etl.training_rows(tables["training"], numbers),
-        }), dictionary, None
+        }, dealt=etl.JOINED), dictionary, None
 
 
 def _key(c: str):
@@ -263,6 +285,16 @@ def _of(rows: DataFrame, concerned: DataFrame) -> DataFrame:
     return rows.join(concerned.select(F.col("id").alias("_id")), _key("id") == F.col("_id"), "left_semi")
 
 
+def _parted(rows: DataFrame, whose: DataFrame, workbooks: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Published participation that goes and that stays: by the ids concerned, or where workbooks of people
+    are all that changed, by workbook. Of rows without person data, only those of ids are told by the id."""
+    if workbooks is None:
+        return rows.join(whose, "id", "left_semi"), rows.join(whose, "id", "left_anti")
+    theirs, unknown = F.col("updated").isin(workbooks), rows.filter(F.col("updated").isNull())
+    return (rows.filter(theirs).unionByName(unknown.join(whose, "id", "left_semi")),
+            rows.filter(~theirs).unionByName(unknown.join(whose, "id", "left_anti")))
+
+
 def _years(rows: DataFrame) -> DataFrame:
     """Years of the rows, named like the parts of a version."""
     return rows.select(F.coalesce(F.col("year").cast("string"), F.lit(NO_VALUE)).alias("year")).distinct()
