@@ -29,6 +29,18 @@ def test_sheets_are_written_in_bounded_shares(spark, rows, monkeypatch, tmp_path
     assert rows(figures[0]) == rows(figures[1])
 
 
+def test_a_workbook_of_a_year_is_read_alone(spark, rows, monkeypatch, tmp_path):
+    made = spark.createDataFrame([("2019", "Student", "1"), ("2019", "Applicant", "2"), ("2020", "Student", "3"),
+                                  (None, "Student", "4")], "updated string, sheet string, id string")
+    tables = standin.StandIn(spark, str(tmp_path))
+    monkeypatch.setattr(tables, "derived", lambda name: made)
+    landed = tables.extract("people_sheets")
+    assert rows(landed, "updated", "sheet", "id") == rows(made)
+    one = landed.filter("updated = '2019' AND sheet = 'Student'")
+    assert rows(one, "id") == [("1",)] and landed.schema["updated"].dataType.simpleString() == "string"
+    assert "updated" in str(one._jdf.queryExecution().executedPlan()).split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 class Extracts:
     """Stand-in tables that have the named extracts alone."""
 
